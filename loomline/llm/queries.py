@@ -2,7 +2,52 @@
 
 from __future__ import annotations
 
+from loomline.llm.lattice import op5_lattice
 from loomline.llm.minhash import op1_minhash
+from loomline.llm.ordinal import op10_ordinal
+from loomline.llm.packing import op6_packing
+from loomline.llm.passages import op4_passages
+from loomline.llm.quality_rules import op2_quality_rules
+from loomline.llm.secrets import op3_secrets
+from loomline.llm.sharding import op7_jump_hash
+from loomline.llm.url_filter import LISTED, op9_url_filter
+from loomline.llm.winnowing import op8_winnowing
 
-QUERIES = {"op1_minhash": op1_minhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_secrets": op3_secrets,
+    "op4_passages": op4_passages,
+    "op5_lattice": op5_lattice,
+    "op6_packing": op6_packing,
+    "op7_jump_hash": op7_jump_hash,
+    "op8_winnowing": op8_winnowing,
+    "op9_url_filter": op9_url_filter,
+    "op10_ordinal": op10_ordinal,
+}
+
+_SITES = ", ".join(f"'{u.removeprefix('http://').rstrip('/')}'" for u in LISTED)
+
+ORACLES: dict[str, str] = {
+    "op9_url_filter": rf"""
+        with p as (
+            select page_id, url,
+                   translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+            from pages
+        ), r as (
+            select *, case
+                when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+                when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+                when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+                when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/'
+            end as rule
+            from p
+        )
+        select page_id, host, path, rule,
+               case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+                    when regexp_extract(regexp_replace(host, ':[0-9]*$|\.$', ''), '([^.]+\.example\.[a-z]+)$', 1) in ({_SITES}) then 'block'
+                    else 'allow' end as verdict
+        from r
+    """,
+}

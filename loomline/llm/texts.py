@@ -15,7 +15,7 @@ import xxhash
 P = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Words whose hashes a worker remembers; beyond it forgets all and goes on.
-MEMO = 400_000
+MEMO = 150_000
 
 
 class WordHashes(dict):
