@@ -1,8 +1,8 @@
 """Repeated passages, removed by sharded automata.
 
 A window is 20 consecutive words.  Its anchor is the smallest hash of its 6-word
-grams; neighbouring windows mostly share one, and a run of windows with one anchor
-is a segment.  Equal passages are cut into equal segments but for their ends, so
+grams, the leftmost of equal ones; neighbouring windows mostly share it, and a run of
+windows with the anchor at one place is a segment.  Equal passages are cut into equal segments but for their ends, so
 counting segments (by anchor and content) by map-side combined sums finds most of
 what recurs at an eighth of the rows.  Where one anchor stands in different
 segments, the windows of these are counted themselves; a filter of fixed size
@@ -74,8 +74,14 @@ class Segments:
             self.a = self.c = np.empty(0, np.int64)
             return
         at = np.arange(n - GRAM + 1)
-        low = winnow(self.runs.of(at, at + GRAM), WINDOW - GRAM + 1)
-        turn = np.flatnonzero(low[1:] != low[:-1])
+        grams = self.runs.of(at, at + GRAM)
+        low = winnow(grams, WINDOW - GRAM + 1)
+        place = np.arange(len(low))  # of the leftmost smallest gram; a repeated one starts a segment of its own
+        for i in range(WINDOW - GRAM, 0, -1):
+            place[grams[i : i + len(low)] == low] = i
+        place[grams[: len(low)] == low] = 0
+        place += np.arange(len(low))
+        turn = np.flatnonzero(place[1:] != place[:-1])
         self.lo, self.hi = np.concatenate([[0], turn + 1]), np.append(turn, len(low) - 1)
         self.a = signed(low[self.lo])
         self.c = signed(self.runs.of(self.lo, self.hi + WINDOW))

@@ -124,13 +124,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     bound_batches(spark)
     names = list(dict.fromkeys([id_col, *keep]))
     keys = [f"__k{i}" for i in range(len(names))]
-    source = docs.select(*(F.col(c).alias(k) for c, k in zip(names, keys)), F.col(text_col).alias("__text"))
-    schema = T.StructType([f for f in source.schema if f.name != "__text"] + [T.StructField(s, T.LongType()) for s in STATS])
-    stats = source.mapInArrow(_stats, schema)
-    voted = stats.select("*", *(F.expr(f"case when n_words = 0 then 0 when {bad} then -1 when {good} then 1 else 0 end").alias(f"__v{i}") for i, (_, good, bad) in enumerate(RULES)))
-    voted = Scratch(spark).cut(voted, "votes")
     columns = [f"__v{i}" for i in range(len(RULES))]
+
+    def votes(width: int) -> DataFrame:
+        source = docs.select(*(F.col(c).alias(k) for c, k in zip(names[:width], keys)), F.col(text_col).alias("__text"))
+        schema = T.StructType([f for f in source.schema if f.name != "__text"] + [T.StructField(s, T.LongType()) for s in STATS])
+        cast = (F.expr(f"case when n_words = 0 then 0 when {bad} then -1 when {good} then 1 else 0 end") for _, good, bad in RULES)
+        return source.mapInArrow(_stats, schema).select("*", *(v.alias(c) for v, c in zip(cast, columns)))
+
+    # the statistics are kept between the two passes; with further columns, which may be texts, they are taken again
+    voted = Scratch(spark).cut(votes(1), "votes") if len(names) == 1 else votes(1)
     patterns = voted.filter("n_words > 0").groupBy(*columns).count().orderBy(*columns).collect()
+    voted = voted if len(names) == 1 else votes(len(names))
     table = np.array([list(r) for r in patterns], float).reshape(-1, len(RULES) + 1)
     start, up, down = weights(*estimate(table[:, :-1], table[:, -1]))
     odds = F.lit(start)
