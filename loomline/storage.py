@@ -60,7 +60,7 @@ class Scratch:
         """Writes ``df`` and returns the written table; its lineage ends there."""
         self.made += 1
         path = f"{self.base}/{self.made:03d}-{label}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "snappy").parquet(path)
         fs, p = self._fs(path)
         fs.deleteOnExit(p)
         out = self.spark.read.schema(df.schema).parquet(path)
