@@ -10,10 +10,11 @@ probability J^4 exactly.  32 bands miss a pair at J = 0.75 with probability 5e-6
 Equal sets are one node throughout.  In a bucket of nodes that share a band every
 member is compared with the bucket's smallest id (a star), and the confirmed
 links give first components.  What a star leaves open are pairs of one bucket in
-different components; all of these are compared too, but for those that the
-triangle inequality of the Jaccard distance rules out by the distances to the
-star's centre.  No pair within a bucket is skipped for the bucket's size, and a
-bucket of thousands of near copies costs one comparison for each of them.
+different components.  The members of such buckets are joined by prefixes: with
+shingles in order of rarity, two sets at J >= t share one of the first
+n - ceil(t n) + 1 of each, whatever the order is, and behind the first shared one
+there must be room for the intersection, so nothing is lost; documents that merely
+have a common passage differ in all their rare shingles and don't meet.  A bucket of thousands of near copies costs one comparison for each of them.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.texts import P, WordHashes, gram_hashes, lists, mixed, rows, signed
+from loomline.llm.texts import P, WordHashes, binary, gram_hashes, lists, mixed, rows, signed
 from loomline.operators.components import connected_components
 from loomline.storage import Scratch, bound_batches
 
 #: Permutations, values of a band, words of a shingle.
 PERMUTATIONS, BAND, SHINGLE = 64, 4, 5
+#: Counters of the sketch that orders shingles by rarity.
+COUNTERS = 1 << 20
 #: Ids up to which the side that selects candidate texts is broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -91,6 +94,40 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists([signed(shingle_set(t, memo)) for t in texts], pa.int64())], ["id", "s"])
 
 
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's documents hold a shingle of each counter."""
+    memo, total = WordHashes(), np.zeros(COUNTERS, np.int64)
+    for _, texts in rows(batches, "id", "text"):
+        for t in texts:
+            np.add.at(total, (shingle_set(t, memo) % np.uint64(COUNTERS)).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    for i in range(0, len(at), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(total[at[i : i + 50_000]])], ["counter", "n"])
+
+
+def prefix(shingles: np.ndarray, tallies: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles, of which any set that is similar enough shares one."""
+    order = np.lexsort((shingles, tallies[(shingles % np.uint64(COUNTERS)).astype(np.int64)]))
+    need = -(-len(shingles) * percent // 100)
+    return shingles[order[: len(shingles) - need + 1]]
+
+
+def _prefixes(tallies, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            ids, sizes, tokens = batch.column("id").to_numpy(), [], []
+            for t in binary(batch, "text"):
+                s = shingle_set(t or b"", memo)
+                tokens.append(signed(prefix(s, tallies.value, percent)))
+                sizes.append(len(s))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), batch.column("own"), batch.column("apart"), pa.array(sizes, pa.int32()), lists(tokens, pa.int64())], ["id", "own", "apart", "n", "tokens"]
+            )
+
+    return run
+
+
 class _Confirm:
     """Jaccard distances of pairs of ids on their full sets."""
 
@@ -114,6 +151,24 @@ class _Confirm:
         return out
 
 
+def _meetings(source: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of ``nodes(id, own, apart)`` in different components that share a prefix shingle; one of them is apart."""
+    small = nodes.count() <= BROADCAST_IDS
+    texts = scratch.cut(source.join(F.broadcast(nodes) if small else nodes, "id"), "loose-texts")
+    tallies = np.zeros(COUNTERS, np.int64)
+    counted = texts.select("id", "text").mapInArrow(_tallies, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    tallies[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+    tallies = source.sparkSession.sparkContext.broadcast(tallies.astype(np.int32))
+    tokens = scratch.cut(texts.mapInArrow(_prefixes(tallies, percent), "id bigint, own bigint, apart boolean, n int, tokens array<bigint>").select("id", "own", "apart", "n", F.posexplode("tokens").alias("at", "token")), "prefixes")
+    one = tokens.filter("apart").select("token", F.col("id").alias("x"), F.col("own").alias("ox"), F.col("n").alias("nx"), (F.col("n") - F.col("at")).alias("lx"))
+    other = tokens.select("token", F.col("id").alias("y"), F.col("own").alias("oy"), F.col("n").alias("ny"), (F.col("n") - F.col("at")).alias("ly"), F.col("apart").alias("ay"))
+    sizes = (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
+    # at a pair's first common shingle, what is left of both sets can still hold the intersection that is needed
+    room = F.least("lx", "ly") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    met = one.join(other, "token").filter((F.col("ox") != F.col("oy")) & sizes & room & (~F.col("ay") | (F.col("x") < F.col("y"))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """``docs`` to one row per row: id_col, n_shingles, component_id, kept, n_copies.
 
@@ -147,19 +202,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = scored.filter(linked).select("a", "b")
     found = connected_components(links, scratch)
     # pairs of one bucket that the stars left in different components
-    distance = scored.select(F.col("a").alias("centre"), F.col("b").alias("id"), (1 - F.col("both") / F.col("either")).alias("d"))
     placed = (
-        members.join(distance, ["centre", "id"])
-        .join(found, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
+        members.join(found, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
         .join(found.toDF("centre", "main"), "centre", "left").withColumn("main", F.coalesce("main", "centre"))
+        .select("key", "id", "own", "main", (F.col("own") != F.col("main")).alias("apart"))
     )
-    placed = scratch.cut(placed.select("key", "id", "d", "own", (F.col("own") != F.col("main")).alias("apart")), "placed")
-    apart = placed.filter("apart").select("key", F.col("id").alias("a"), F.col("own").alias("oa"), F.col("d").alias("da"))
-    others = placed.select("key", F.col("id").alias("b"), F.col("own").alias("ob"), F.col("d").alias("db"))
-    reach = 1 - percent / 100 + 1e-9
-    opened = apart.join(others, "key").filter((F.col("oa") != F.col("ob")) & (F.abs(F.col("da") - F.col("db")) <= reach))
-    rest = scratch.cut(opened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "open")
-    if not rest.isEmpty():
+    placed = scratch.cut(placed, "placed")
+    loose = placed.filter("apart").select("key").distinct()
+    nodes = scratch.cut(placed.join(loose, "key", "left_semi").groupBy("id", "own").agg(F.max("apart").alias("apart")), "loose")
+    if not nodes.isEmpty():
+        rest = scratch.cut(_meetings(source, nodes, percent, scratch), "open")
         more = confirm(rest, "rest").filter(linked).select("a", "b")
         found = connected_components(links.union(more), scratch)
     named = sets.join(found.toDF("node", "component"), "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"), "copies")
