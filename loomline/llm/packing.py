@@ -16,6 +16,8 @@ as well.  No row is shuffled; a task packs its own partition in runs of bounded
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -34,8 +36,10 @@ LENGTH, END = 4096, 2
 SENTENCE, ANYWHERE = 1.0, 24.0
 #: Tokens after which a run is packed, at the next end of a document.
 RUN = 1 << 20
-#: Distinct words whose ids a worker remembers; beyond it forgets all and goes on.
-MEMO = 150_000
+#: Distinct pieces whose ids a worker remembers; beyond it only those met again since the last time are kept.
+MEMO = 400_000
+#: End marks that stand after a word.
+MARKS = b".,;:!?"
 
 
 def vocabulary_path() -> str:
@@ -44,19 +48,29 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Byte-level letters: a printable byte is its own letter, the others are numbered from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+
+
 class Encoder(dict):
     """Ids of a text as little-endian unsigned 32-bit numbers.
 
     The tokenizer's words never reach across ASCII white space, so a text's ids are
     those of its space-separated pieces in turn, and each distinct piece is encoded
-    once.
+    once while it is remembered.  A piece of letters with end marks is two of the
+    tokenizer's words; its letters go straight to the vocabulary's merges, any other
+    piece through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
+        self.older: dict[bytes, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(size + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -65,19 +79,42 @@ class Encoder(dict):
                 self.ends[i] = True
 
     def __missing__(self, piece: bytes) -> bytes:
-        ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
-        out = self[piece] = np.array(ids, "<u4").tobytes()
-        return out
+        found = self.older.get(piece)
+        if found is None:
+            found = self.encode(piece)
+        self[piece] = found
+        return found
+
+    def encode(self, piece: bytes) -> bytes:
+        bare = piece.rstrip(MARKS)
+        if bare.isalpha() and bare.isascii():
+            word = bare.lower().decode()
+        else:
+            word = bare.decode()
+            lower = word.lower()
+            if not lower.isalpha() or "Σ" in word or not unicodedata.is_normalized("NFC", word) or not unicodedata.is_normalized("NFC", lower):
+                return np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            word = lower.encode().decode("latin-1").translate(_LETTERS)
+        if len(bare) < len(piece):
+            # the letters and the marks are remembered apart
+            return self[word.encode("utf-8") if bare.isascii() else bare] + self[piece[len(bare) :]]
+        return np.array([t.id for t in self.merges.tokenize(word)], "<u4").tobytes()
 
     def __call__(self, text: bytes) -> np.ndarray:
-        pieces = text.split()
         if len(self) > MEMO:
+            self.older = dict(self)
             self.clear()
-        for i in range(0, len(new := list({p for p in pieces if p not in self})), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False)):
-                self[p] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), "<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u4")
+
+
+#: One for each worker process, for all of its tasks.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def cut_points(sizes: list[int], sentences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +194,7 @@ SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequ
 
 def _packer(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         number = TaskContext.get().partitionId() << 40
         held: list[tuple[object, np.ndarray, np.ndarray]] = []
         tokens = 0
