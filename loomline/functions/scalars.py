@@ -95,7 +95,7 @@ def clean_name(c: Column) -> Column:
 
 def split_names(c: Column) -> Column:
     """Parts between commas, `and` and `&`."""
-    return F.filter(F.transform(F.split(c, r",|\s+and\s+|\s+&\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r",|\s+and\s+|\s+&\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def year_of(c: Column) -> Column:

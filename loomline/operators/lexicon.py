@@ -100,7 +100,7 @@ def parse_caption(line: Column) -> Column:
     """Name without qualifiers, the qualifiers in parentheses, the first name per slot and all forms."""
     found = classify(line)
     name = F.regexp_replace(F.regexp_replace(line, r"\([^)]*\)", ""), "^[ .,-]+|[ .,-]+$", "")
-    quals = F.filter(F.transform(F.regexp_extract_all(line, F.lit(r"\(([^)]*)\)")), F.trim), lambda q: q != "")
+    quals = F.filter(F.transform(F.regexp_extract_all(line, F.lit(r"\(([^)]*)\)")), lambda x: F.trim(x)), lambda q: q != "")
     first = lambda s: F.get(found[s], 0)
     fields = {"technique": first("technique"), "attack": first("attack"), "direction": first("direction"), "form": found["form"]}
     base = slug(fold(F.concat_ws(" ", name, F.array_join(quals, " "))))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomline.storage import Scratch
+
 #: Strength of a statement; an unknown one is weakest.
 STRENGTH = (("inferred", 0), ("stated", 1), ("contested", 2))
 
@@ -107,13 +109,14 @@ def absorb(clusters: DataFrame, persons: DataFrame) -> DataFrame:
 
 def repoint(rows: DataFrame, mapping: DataFrame, columns: list[str], arrays: list[str] = ()) -> DataFrame:
     """Ids in ``columns`` (and in ``arrays`` of ids, then distinct) replaced by mapping(id, canonical)."""
+    names = rows.columns
     for c in columns:
         m = mapping.select(F.col("id").alias(c), F.col("canonical").alias("__to"))
         rows = rows.join(m, c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
     for c in arrays:
-        rows = rows.withColumn("__row", F.monotonically_increasing_id())
+        rows = Scratch(rows.sparkSession).cut(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")  # row numbers must not change between two reads
         m = mapping.select(F.col("id").alias("__item"), F.col("canonical").alias("__to"))
         items = rows.select("__row", F.posexplode(c).alias("__at", "__item")).join(m, "__item", "left")
         lists = items.groupBy("__row").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("__at", F.coalesce("__to", "__item").alias("v")))), lambda x: x["v"])).alias("__list"))
         rows = rows.join(lists, "__row", "left").withColumn(c, F.coalesce("__list", c)).drop("__list", "__row")
-    return rows
+    return rows.select(*names)
