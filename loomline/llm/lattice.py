@@ -8,13 +8,20 @@ recursion
     log A(j) = logsumexp over pieces i..j of  log A(i) + log p(piece)
 
 gives this sum in log space in time linear in the word.  No piece reaches across a
-word's start, so a document's marginal is the product over its words, times the
-probability of an end; each distinct word is computed once in a task.
+word's start, so a document's marginal is the product over its words and its end;
+each distinct word is computed once in a task.  Pieces that start a word are as
+likely to end the one before, which makes the sums over all words add up to one.
 
 The vocabulary's pieces and their order are given; their probabilities come from
 the training documents: first the counts of the vocabulary's own segmentation of
 every distinct training word, then one round of expected counts over all
-segmentations.  Characters outside the vocabulary fall back to bytes.
+segmentations; a word counts once, since words that aren't met again are what the
+segmentations must foresee.  Characters outside the vocabulary fall back to bytes.  A word that
+the training documents hold is also a piece of its own, by its count less a
+discount; the discounts' mass (estimated from the words met once and twice) is what
+the segmentations share:
+
+    P(word) = (count - d) / N  +  d V / N * sum over segmentations
 
 Word counts cover all training documents.  Words from a count on that leaves at
 most FREQUENT of them go to every task; the others' counts are joined by word.
@@ -52,7 +59,7 @@ def vocabulary_path() -> str:
 class Lattice:
     """Pieces of a vocabulary with log probabilities."""
 
-    def __init__(self, path: str, logs: np.ndarray | None = None, end: float = 0.0):
+    def __init__(self, path: str, logs: np.ndarray | None = None):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
@@ -65,7 +72,6 @@ class Lattice:
             elif not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i)):
                 self.number[piece] = i
         self.longest = max(map(len, self.number))
-        self.end = end
         if logs is not None:
             self.log = {p: float(logs[i]) for p, i in self.number.items()}
             self.byte_log = [float(logs[i]) for i in self.byte]
@@ -145,12 +151,11 @@ def _segmented(path: str):
         lattice = Lattice(path)
         total = np.zeros(lattice.size)
         for batch in batches:
-            words, times = batch.column("word").to_pylist(), batch.column("c").to_numpy()
+            words = batch.column("word").to_pylist()
             for i in range(0, len(words), 2000):
                 ids = lattice.model.encode(words[i : i + 2000], num_threads=1)
-                lengths = [len(x) for x in ids]
-                flat = np.fromiter((y for x in ids for y in x), np.int64, sum(lengths))
-                total += np.bincount(flat, np.repeat(times[i : i + 2000], lengths), lattice.size)
+                flat = np.fromiter((y for x in ids for y in x), np.int64, sum(map(len, ids)))
+                total += np.bincount(flat, minlength=lattice.size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["piece", "n"])
 
@@ -162,27 +167,25 @@ def _expected(path: str, logs):
         lattice = Lattice(path, logs.value)
         total = np.zeros(lattice.size)
         for batch in batches:
-            for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                lattice.expect(w, c, total)
+            for w in batch.column("word").to_pylist():
+                lattice.expect(w, 1.0, total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["piece", "n"])
 
     return run
 
 
-def _logs(found: pa.Table, size: int, ends: int) -> tuple[np.ndarray, float]:
-    """Smoothed log probabilities of pieces, and of the end."""
-    n = np.full(size + 1, PRIOR)
+def _logs(found: pa.Table, size: int) -> np.ndarray:
+    """Smoothed log probabilities of pieces."""
+    n = np.full(size, PRIOR)
     n[found.column("piece").to_numpy()] += found.column("n").to_numpy()
-    n[size] += ends
-    logs = np.log(n / n.sum())
-    return logs[:size], float(logs[size])
+    return np.log(n / n.sum())
 
 
 def _scorer(path: str, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, end, words, base, base_end = model.value
-        lattice = Lattice(path, logs, end)
+        logs, words, whole, base, share, end, base_end = model.value
+        lattice = Lattice(path, logs)
         known = dict(zip(words, range(len(words))))
         own = np.full(len(words), np.nan)
         memo: dict[bytes, float] = {}
@@ -193,22 +196,19 @@ def _scorer(path: str, model):
                 at = np.fromiter((known.get(w, -1) for w in tokens), np.int64, len(tokens))
                 often = at[at >= 0]
                 for k in np.unique(often[np.isnan(own[often])]).tolist():
-                    own[k] = lattice.word(words[k].decode())
+                    own[k] = math.log(whole[k] + math.exp(share + lattice.word(words[k].decode())))
                 few = Counter(w for w, k in zip(tokens, at.tolist()) if k < 0)
                 if len(memo) > MEMO:
                     memo.clear()
-                total = float(own[often].sum()) + end
-                for w, n in few.items():
-                    p = memo.get(w)
-                    if p is None:
-                        p = memo[w] = lattice.word(w.decode())
-                    total += n * p
+                for w in few:
+                    if w not in memo:
+                        memo[w] = share + lattice.word(w.decode())
                 sizes.append(len(tokens) + 1)
                 n_known.append(len(often))
                 bases.append(float(base[often].sum()) + base_end)
-                scores.append(total / math.log(10))
-                rare.append([{"word": w.decode(), "n": n} for w, n in few.items()])
-            kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+                scores.append(float(own[often].sum()) + end)
+                rare.append([{"word": w.decode(), "n": n, "p": memo[w]} for w, n in few.items()])
+            kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("held"), pa.array(sizes, pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases), pa.array(scores), pa.array(rare, kind)],
                 ["id", "held", "n_tokens", "known", "base", "score", "rare"],
@@ -253,20 +253,27 @@ def lattice_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     size = Lattice(path).size
     pieces = lambda df: df.groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
-    logs, _ = _logs(pieces(words.mapInArrow(_segmented(path), "piece int, n double")), size, ends)
-    logs, end = _logs(pieces(words.mapInArrow(_expected(path, spark.sparkContext.broadcast(logs)), "piece int, n double")), size, ends)
+    logs = _logs(pieces(words.mapInArrow(_segmented(path), "piece int, n double")), size)
+    logs = _logs(pieces(words.mapInArrow(_expected(path, spark.sparkContext.broadcast(logs)), "piece int, n double")), size)
+    once, twice, kinds = words.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count("*")).first()
+    discount = (once + 0.5) / (once + 2 * twice + 1)
+    # without training documents an end is as likely as a word
+    share, end = (math.log(discount * kinds / total), math.log(ends / total)) if kinds else (math.log(0.5), math.log(0.5))
     c = often.column("c").to_numpy()
-    model = spark.sparkContext.broadcast((logs, end, often.column("word").to_pylist(), np.log10((c + 0.1) / below), math.log10((ends + 0.1) / below)))
-    schema = f"id {source.schema['id'].dataType.simpleString()}, held boolean, n_tokens bigint, known bigint, base double, score double, rare array<struct<word:string,n:bigint>>"
+    model = spark.sparkContext.broadcast((logs, often.column("word").to_pylist(), (c - discount) / max(total, 1), np.log10((c + 0.1) / below), share, end, math.log10((ends + 0.1) / below)))
+    schema = f"id {source.schema['id'].dataType.simpleString()}, held boolean, n_tokens bigint, known bigint, base double, score double, rare array<struct<word:string,n:bigint,p:double>>"
     scored = scratch.cut(source.mapInArrow(_scorer(path, model), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.inline("rare")).join(words.filter(F.col("c") < least), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    known = F.log((F.col("c") - discount) / max(total, 1) + F.exp("p"))
     sums = rare.groupBy("row").agg(
+        F.sum(F.col("n") * F.when(F.col("c") > 0, known).otherwise(F.col("p"))).alias("rest"),
         F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / F.lit(below))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen")
     )
     known_end = 1 if ends else 0
     return scored.join(sums, "row", "left").select(
         F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0)) + known_end).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        ((F.col("score") + F.coalesce("rest", F.lit(0.0))) / math.log(10)).alias("score"),
     )
 
 

@@ -14,7 +14,7 @@ from loomline.llm.lattice import START, Lattice, lattice_scores, op5_lattice, vo
 def lattice():
     size = Lattice(vocabulary_path()).size
     p = np.random.default_rng(4).random(size)
-    return Lattice(vocabulary_path(), np.log(p / p.sum()), -3.0)
+    return Lattice(vocabulary_path(), np.log(p / p.sum()))
 
 
 def total(lattice, text, j=0):
@@ -68,8 +68,8 @@ def test_held_out_likelihood(spark):
     sf = "/root/testdata/sf0.1"
     rows = op5_lattice(spark, sf).filter("held_out").collect()
     own, base, n = (sum(r[c] for r in rows) for c in ("score", "base_score", "n_tokens"))
-    print(own / n, base / n)
-    assert own / n > -8
+    assert own / n > -5
+    assert own / n > base / n - 0.5  # base_score gives any number of unseen words the same share, and so isn't a distribution
 
 
 def test_edges(spark):
