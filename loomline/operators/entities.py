@@ -33,13 +33,15 @@ def candidate_pairs(names: DataFrame) -> DataFrame:
     once and are linked to their first id; a surname that many names share is split
     by adaptive execution.
     """
-    same = names.filter("size(tokens) >= 2").groupBy("tokens").agg(F.min("id").alias("id"), F.collect_list("id").alias("ids"))
-    copies = same.select(F.col("id").alias("a"), F.explode("ids").alias("b")).filter("a <> b").withColumn("tier", F.lit("high"))
+    whole = names.filter("size(tokens) >= 2")
+    same = whole.groupBy("tokens").agg(F.min("id").alias("id"))
+    copies = whole.join(same.withColumnRenamed("id", "a"), "tokens").select("a", F.col("id").alias("b")).filter("a <> b").withColumn("tier", F.lit("high"))
     block = same.select("id", "tokens", F.element_at("tokens", -1).alias("block"))
     one, other = block.select("block", F.col("id").alias("x"), F.col("tokens").alias("tx")), block.select("block", F.col("id").alias("y"), F.col("tokens").alias("ty"))
     pairs = one.join(other, "block").filter("x < y").withColumn("tier", pair_tier(F.col("tx"), F.col("ty"))).filter("tier is not null")
     linked = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "tier")
-    native = names.filter("native is not null").groupBy("native").agg(F.min("id").alias("a"), F.collect_list("id").alias("ids")).select("a", F.explode("ids").alias("b")).filter("a <> b")
+    written = names.filter("native is not null")
+    native = written.join(written.groupBy("native").agg(F.min("id").alias("a")), "native").select("a", F.col("id").alias("b")).filter("a <> b")
     return linked.unionByName(copies).unionByName(native.withColumn("tier", F.lit("high")))
 
 
@@ -51,20 +53,27 @@ def tokens_of(names: DataFrame, id_col: str, name_col: str, native_col: str | No
 
 
 def clusters(names: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(cluster, members, tier, canonical) of names(id, tokens, native, n_sources).
+    """(id, cluster, tier, canonical) for every member of a cluster of names(id, tokens, native, n_sources).
 
     A cluster is high if every pair of its members is: checked on its distinct token
     sequences, since members of one sequence (or native name) always are.  The
-    canonical member has most tokens, then most sources, then the largest id.
+    canonical member, of high clusters only, has most tokens, then most sources, then
+    the largest id.  Membership is rows, so a cluster of any size is no single value.
     """
     scratch = scratch or Scratch(names.sparkSession)
     names = scratch.cut(names, "names")
     found = connected_components(candidate_pairs(names), scratch)
     placed = names.join(found, "id")
-    kinds = placed.groupBy("component", "tokens").agg(F.count("*").alias("n"), F.min("native").alias("native"))
+    kinds = placed.groupBy("component", "tokens").agg(F.min("native").alias("native"))
     one, other = kinds.select("component", F.col("tokens").alias("tx"), F.col("native").alias("nx")), kinds.select("component", F.col("tokens").alias("ty"), F.col("native").alias("ny"))
     tier = pair_tier(F.col("tx"), F.col("ty"))
     good = F.coalesce((F.element_at("tx", -1) == F.element_at("ty", -1)) & (tier == "high"), F.lit(False)) | F.coalesce(F.col("nx") == F.col("ny"), F.lit(False))
     bad = one.join(other, "component").filter(F.col("tx") < F.col("ty")).filter(~good).select("component").distinct().withColumn("medium", F.lit(True))
-    best = placed.groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("members"), F.max_by("id", F.struct(F.size("tokens"), "n_sources", "id")).alias("canonical"))
-    return best.join(bad, "component", "left").select(F.col("component").alias("cluster"), "members", F.when(F.col("medium"), "medium").otherwise("high").alias("tier"), F.when(F.col("medium").isNull(), F.col("canonical")).alias("canonical"))
+    best = placed.groupBy("component").agg(F.max_by("id", F.struct(F.size("tokens"), "n_sources", "id")).alias("best")).join(bad, "component", "left")
+    high = F.col("medium").isNull()
+    return placed.join(best, "component").select("id", F.col("component").alias("cluster"), F.when(high, "high").otherwise("medium").alias("tier"), F.when(high, F.col("best")).alias("canonical"))
+
+
+def listed(members: DataFrame) -> DataFrame:
+    """One row per cluster with its sorted members, for a review queue of small clusters."""
+    return members.groupBy("cluster", "tier", "canonical").agg(F.array_sort(F.collect_list("id")).alias("members"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomline.storage import Scratch
@@ -32,6 +31,19 @@ def union_in_order(value: Column, seq: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(lists, lambda x: x["v"])))
 
 
+def united(rows: DataFrame, key: str | list[str], seq: Column, column: str) -> DataFrame:
+    """``union_in_order`` of one column by key, for keys of any number of rows.
+
+    Items are reduced to distinct ones with their first place before any list is
+    built, so a list holds distinct items only.
+    """
+    keys = [key] if isinstance(key, str) else key
+    name = column.replace(".", "__")
+    items = rows.select(*keys, seq.alias("__s"), F.posexplode(F.col(column)).alias("__p", "__i"))
+    first = items.groupBy(*keys, "__i").agg(F.min(F.struct("__s", "__p")).alias("__at"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__i"))), lambda x: x["__i"]).alias(name))
+
+
 def last_known(value: Column, seq: Column) -> Column:
     """The last value that isn't null; false and empty values count."""
     return F.max_by(value, F.when(value.isNotNull(), seq))
@@ -56,7 +68,11 @@ RULES = {
 def merge_by_key(rows: DataFrame, key: str, seq: str, rules: Mapping[str, str]) -> DataFrame:
     """One row per key: each column of ``rules`` by its rule.  A dotted column is a field of a struct and is put back."""
     s = F.col(seq)
-    merged = rows.groupBy(key).agg(*(RULES[rule](F.col(c), s).alias(c.replace(".", "__")) for c, rule in rules.items()))
+    plain = {c: rule for c, rule in rules.items() if rule != "union"}
+    merged = rows.groupBy(key).agg(F.count("*").alias("__n"), *(RULES[rule](F.col(c), s).alias(c.replace(".", "__")) for c, rule in plain.items()))
+    for c in rules.keys() - plain.keys():
+        name = c.replace(".", "__")
+        merged = merged.join(united(rows, key, s, c), key, "left").withColumn(name, F.coalesce(name, F.array().cast(rows.select(c).schema[0].dataType)))
     out, done = [F.col(key)], set()
     for c in rules:
         head = c.split(".")[0]
@@ -75,12 +91,14 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, seq: str, rules: Ma
 
 
 def keep_last(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
-    """Whole rows; the last of each key wins."""
-    return rows.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*(c.desc() for c in order)))).filter("__n = 1").drop("__n")
+    """Whole rows; the last of each key wins.  Tasks keep one row a key before the shuffle."""
+    won = rows.groupBy(*key).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in key)), F.struct(*order)).alias("__r"))
+    return won.select(*(F.col(c) if c in key else F.col("__r")[c].alias(c) for c in rows.columns))
 
 
 def keep_first(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*(c.asc() for c in order)))).filter("__n = 1").drop("__n")
+    won = rows.groupBy(*key).agg(F.min_by(F.struct(*(c for c in rows.columns if c not in key)), F.struct(*order)).alias("__r"))
+    return won.select(*(F.col(c) if c in key else F.col("__r")[c].alias(c) for c in rows.columns))
 
 
 def replace_partition(stored: DataFrame, fresh: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -95,16 +113,16 @@ def absorb(clusters: DataFrame, persons: DataFrame) -> DataFrame:
     Aliases gain the other names, sorted and without the own one; sources unite with
     the canonical's first; born is filled only if empty.
     """
-    own = F.col("id") == F.col("canonical")
-    rank = F.struct((~own).cast("int").alias("a"), F.col("id").alias("b"))
     joined = persons.join(clusters, "id", "left").withColumn("canonical", F.coalesce("canonical", "id"))
     own = F.col("id") == F.col("canonical")
-    names = F.array_union(F.flatten(F.collect_list("aliases")), F.collect_list("name"))
-    return joined.groupBy("canonical").agg(
-        F.max(F.when(own, F.col("name"))).alias("name"), names.alias("n"), union_in_order(F.col("source"), rank).alias("source"),
-        F.max("retrieved").alias("retrieved"), F.bool_or("deceased").alias("deceased"),
+    rank = F.struct((~own).cast("int").alias("a"), F.col("id").alias("b"))
+    names = joined.select("canonical", F.explode(F.array_union("aliases", F.array("name"))).alias("x")).groupBy("canonical").agg(F.array_sort(F.collect_set("x")).alias("n"))
+    rest = joined.groupBy("canonical").agg(
+        F.max(F.when(own, F.col("name"))).alias("name"), F.max("retrieved").alias("retrieved"), F.bool_or("deceased").alias("deceased"),
         F.min_by("born", F.when(F.coalesce(F.col("born"), F.lit("")) != "", rank)).alias("born"),
-    ).select(F.col("canonical").alias("id"), "name", F.array_sort(F.array_distinct(F.array_remove("n", F.col("name")))).alias("aliases"), "source", "retrieved", "deceased", "born")
+    )
+    out = rest.join(names, "canonical").join(united(joined, "canonical", rank, "source"), "canonical", "left")
+    return out.select(F.col("canonical").alias("id"), "name", F.array_remove("n", F.col("name")).alias("aliases"), "source", "retrieved", "deceased", "born")
 
 
 def repoint(rows: DataFrame, mapping: DataFrame, columns: list[str], arrays: list[str] = ()) -> DataFrame:

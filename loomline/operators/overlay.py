@@ -99,7 +99,11 @@ def range_lookup(units: DataFrame, ranges: DataFrame, on: list[str], at: str, fi
     """
     spots = units.select(*on, at).distinct()
     fields = [c for c in ranges.columns if c not in (*on, first, last)]
-    held = spots.join(ranges, on).filter(F.col(at).between(F.col(first), F.col(last))) if on else spots.join(F.broadcast(ranges), F.col(at).between(F.col(first), F.col(last)))
+    inside = F.col(at).between(F.col(first), F.col(last))
+    if on:
+        held = spots.join(ranges, on).filter(inside)
+    else:
+        held = spots.join(F.broadcast(ranges) if ranges.count() <= 10_000 else ranges, inside)
     found = held.groupBy(*on, at).agg(F.min_by(F.struct(*fields), order).alias("found"))
     return units.join(found, [*on, at], "left").select(*units.columns, *(F.col(f"found.{c}").alias(c) for c in fields if c != order))
 

@@ -284,9 +284,9 @@ out as (select p.cluster, string_agg(cast(p.id as varchar), ',' order by p.id) a
         arg_max(p.id, len(tokens) * 1000000000 + p.id) as best from placed p left join bad on bad.cluster = p.cluster group by 1)"""
 
 
-@query(f"with recursive {_CLUSTERS} select cluster, members, tier, case when tier = 'high' then best end as canonical from out")
+@query(f"with recursive {_CLUSTERS} select p.id, cluster, tier, case when tier = 'high' then best end as canonical from out join placed p using (cluster)")
 def reconcile_clusters(spark, t):
-    return entities.clusters(_names(t)).withColumn("members", F.array_join("members", ","))
+    return entities.clusters(_names(t))
 
 
 @query(f"""
@@ -294,8 +294,7 @@ def reconcile_clusters(spark, t):
     select o_orderkey, coalesce(map.canonical, o_custkey) as o_custkey from orders left join map on map.id = o_custkey
 """)
 def repoint_references(spark, t):
-    found = entities.clusters(_names(t)).filter("tier = 'high'")
-    mapping = found.select(F.explode("members").alias("id"), "canonical").filter("id <> canonical")
+    mapping = entities.clusters(_names(t)).filter("id <> canonical").select("id", "canonical")
     return merge.repoint(t("orders").select("o_orderkey", "o_custkey"), mapping, ["o_custkey"])
 
 

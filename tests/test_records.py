@@ -118,7 +118,7 @@ def people(spark, *rows):
 
 
 def found(spark, *rows):
-    return {tuple(r["members"]): (r["tier"], r["canonical"]) for r in entities.clusters(people(spark, *rows)).collect()}
+    return {tuple(r["members"]): (r["tier"], r["canonical"]) for r in entities.listed(entities.clusters(people(spark, *rows))).collect()}
 
 
 def test_cluster_tiers(spark):
