@@ -102,7 +102,7 @@ def _tables(batches: Iterator[pa.RecordBatch], pick, names: list[str]) -> Iterat
         for key, text in zip(batch.column("id").to_pylist(), binary(batch, "text")):
             rows = pick(Segments(memo.of((text or b"").split())))
             if len(rows):
-                rows, times = np.unique(rows, axis=0, return_counts=True) if rows.shape[1] > 1 else _unique(rows)
+                rows, times = _unique(rows)
                 columns.append(np.column_stack([rows, times]))
                 ids.append(np.full(len(rows), key, np.int64))
                 size += len(rows)
@@ -114,8 +114,9 @@ def _tables(batches: Iterator[pa.RecordBatch], pick, names: list[str]) -> Iterat
 
 
 def _unique(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values, times = np.unique(rows[:, 0], return_counts=True)
-    return values[:, None], times
+    rows = rows[np.lexsort(rows.T)]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)]))
+    return rows[first], np.diff(np.append(first, len(rows)))
 
 
 def _batch(columns: list, ids: list, names: list[str]) -> pa.RecordBatch:
@@ -123,17 +124,9 @@ def _batch(columns: list, ids: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(table[:, i]) for i in range(table.shape[1])), pa.array(np.concatenate(ids))], [*names, "m", "id"])
 
 
-def _segment_rows(recurring=None):
-    """(a, c) of every segment, or of those whose content may recur."""
-
-    def run(batches):
-        def pick(s: Segments) -> np.ndarray:
-            rows = np.column_stack([s.a, s.c])
-            return rows
-
-        yield from _tables(batches, pick, ["a", "c"])
-
-    return run
+def _segment_rows(batches):
+    """(a, c) of every segment."""
+    yield from _tables(batches, lambda s: np.column_stack([s.a, s.c]), ["a", "c"])
 
 
 def _window_rows(anchors):
@@ -300,7 +293,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     bound_batches(spark)
     scratch = Scratch(spark)
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    segments = source.mapInArrow(_segment_rows(), "a bigint, c bigint, m bigint, id bigint")
+    segments = source.mapInArrow(_segment_rows, "a bigint, c bigint, m bigint, id bigint")
     firsts = scratch.cut(segments.groupBy("a", "c").agg(F.min("id").alias("first"), F.sum("m").alias("n")), "segments")
     mixed_anchors = scratch.cut(firsts.groupBy("a").count().filter("count > 1").select("a"), "anchors")
     anchors = sc.broadcast(_filter(mixed_anchors, "a"))
