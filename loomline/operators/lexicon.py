@@ -86,6 +86,7 @@ def is_section_header(line: Column) -> Column:
     return tight.contains("の部") & (F.length(tight) <= 10)
 
 
+#: The pattern of a bracketed number.
 NUMBER = r"[(\[（【]\s*(\d{1,2})\s*[)\]）】]"
 
 

@@ -15,7 +15,11 @@ RANKS = (
 )
 #: What ends a line: line feeds, carriage returns, vertical tabs, form feeds, FS, GS, RS, NEL and the Unicode separators.
 BREAKS = "\\r\\n|[\\n\\r\\u000b\\u000c\\u001c\\u001d\\u001e\\u0085\\u2028\\u2029]"
+#: Patterns of the separator in an entry, of headings, and of an address's city line.
 SEPARATOR = r"\s+[-–—]\s+"
+DAN_HEADING = r"(?i)^(\d{1,2})(?:st|nd|rd|th)\s+dan\b"
+SHIHAN_HEADING = r"(?i)^shihan\b"
+CITY_STATE = r"^(.+?),\s*([A-Z]{2})(?:\s+\d{5}(?:-\d{4})?)?$"
 
 
 def lines_of(docs: DataFrame, key: str, text: str, keep_blank: bool = False) -> DataFrame:
@@ -31,12 +35,12 @@ def is_heading(line: Column) -> Column:
 def heading_kind(line: Column) -> Column:
     """shihan, a rank's number as text, or null."""
     short = (F.length(line) <= 24) & ~line.rlike(SEPARATOR)
-    number = F.regexp_extract(line, r"(?i)^(\d{1,2})(?:st|nd|rd|th)\s+dan\b", 1)
+    number = F.regexp_extract(line, DAN_HEADING, 1)
     word = F.lower(F.regexp_extract(line, "(?i)^(" + "|".join(n for n, _ in RANKS) + r")\b", 1))
     rank = F.lit(None).cast("string")
     for name, n in RANKS:
         rank = F.when(word == name, str(n)).otherwise(rank)
-    return F.when(short, F.when(line.rlike(r"(?i)^shihan\b"), "shihan").when(number != "", number.cast("int").cast("string")).otherwise(rank))
+    return F.when(short, F.when(line.rlike(SHIHAN_HEADING), "shihan").when(number != "", number.cast("int").cast("string")).otherwise(rank))
 
 
 def entry_of(line: Column) -> Column:
@@ -96,6 +100,5 @@ def registry_name(line: Column) -> Column:
 
 def split_location(line: Column) -> Column:
     """City and region of `City, ST 12345`."""
-    pattern = r"^(.+?),\s*([A-Z]{2})(?:\s+\d{5}(?:-\d{4})?)?$"
-    city = F.regexp_extract(line, pattern, 1)
-    return F.when(city != "", F.struct(F.trim(city).alias("city"), F.regexp_extract(line, pattern, 2).alias("region"), F.lit("USA").alias("country")))
+    city = F.regexp_extract(line, CITY_STATE, 1)
+    return F.when(city != "", F.struct(F.trim(city).alias("city"), F.regexp_extract(line, CITY_STATE, 2).alias("region"), F.lit("USA").alias("country")))

@@ -137,6 +137,7 @@ def hint_links(pages: DataFrame, key: str, url: str, html: str, hint: str = HINT
     return first.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy("at"))).filter(F.col("n") <= most).select(key, "n", "link")
 
 
+#: Patterns of a name and of what stands beside a teacher's.
 _NAME = r"[A-Z][a-zA-Z'’.\-]+(?:\s+[A-Z][a-zA-Z'’.\-]+){1,2}"
 _CHIEF = rf"(?i)(?:Chief|Head|Founding|Dojo[- ]?cho)\s+Instructor[:,\s]+({_NAME})\b"
 _OTHERS = (rf"\b({_NAME})\s+Sensei\b", rf"\bSensei\s+({_NAME})\b", rf"\b({_NAME}),?\s+\d(?:st|nd|rd|th)\s+[Dd]an\b")
