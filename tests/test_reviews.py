@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators import review
+from loomline.operators import page_parse, review
 from loomline.sources import fetch, locators
 
 
@@ -74,3 +74,22 @@ def test_fetching(spark):
     assert fetch.allowed(None, "me", "http://h/a")
     spark.dataSource.register(fetch.PageSource)
     assert spark.read.format("polite_pages").option("urls", json.dumps([])).load().count() == 0
+
+
+def test_page_parse(spark):
+    seed = spark.createDataFrame([("v", 1, 24, "taijutsu", "skip", None, None, 1), ("v", 83, 123, "aiki-jo", "suburi", "jo", "31", 2)], "book string, first int, last int, context string, kind string, weapon string, form string, seq int")
+    pages = spark.createDataFrame([("v", 5), ("v", 60), ("v", 86), ("w", 5)], "book string, page int")
+    got = {(r["book"], r["page"]): (r["context"], r["kind"], r["weapon"], r["form"]) for r in page_parse.sections_of(pages, seed).collect()}
+    assert got == {("v", 5): ("taijutsu", "skip", None, None), ("v", 60): ("taijutsu", "technique", None, None), ("v", 86): ("aiki-jo", "suburi", "jo", "31"), ("w", 5): ("taijutsu", "technique", None, None)}
+    fix = spark.createDataFrame([("v", 80, 90, None, "kumi", None, "new", "2024", 1)], "book string, first int, last int, context string, kind string, weapon string, form string, date string, seq int")
+    got = {r["page"]: (r["context"], r["kind"], r["weapon"], r["form"]) for r in page_parse.sections_of(pages, seed, fix).filter("book = 'v'").collect()}
+    assert got[86] == ("aiki-jo", "kumi", None, "new") and got[60] == ("taijutsu", "technique", None, None)
+    assert page_parse.readable(page_parse.sections_of(pages, seed)).count() == 3
+
+    lines = spark.createDataFrame([("v", 60, 0, "Shihonage Omote", 10, None), ("v", 60, 1, "refer to Ikkyo", 20, None), ("v", 60, 2, "Ikkyo Ura", 200, None), ("v", 60, 3, "Nikyo", 900, None), ("v", 86, 0, "(1) 直 突き", 5, "jo")], "book string, page int, cap int, text string, y0 int, weapon string")
+    caps = page_parse.captions_of(lines, F.col("weapon"))
+    assert {(r["page"], r["cap"]): (r["slug"], r["technique"], r["native"]) for r in caps.collect()} == {(60, 0): ("shihonage-omote", "shiho-nage", None), (60, 2): ("ikkyo-ura", "ikkyo", None), (60, 3): ("nikyo", "nikyo", None), (86, 0): ("1", None, "直突き")}
+    regions = spark.createDataFrame([("v", 60, n, 0, y, 10, 10) for n, y in ((1, 10), (2, 30), (3, 210))], "book string, page int, n int, x int, y int, w int, h int")
+    techniques, frames = page_parse.records(caps, regions)
+    assert {r["id"]: (r["seq"], r["step_count"]) for r in techniques.collect()} == {"tech:v-p60-shihonage-omote": (1, 2), "tech:v-p60-ikkyo-ura": (2, 1)}
+    assert sorted(r["id"] for r in frames.collect()) == ["kf:v-p60-ikkyo-ura-01", "kf:v-p60-shihonage-omote-01", "kf:v-p60-shihonage-omote-02"]
