@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm import bloom
-from loomline.llm.texts import P, WordHashes, binary, mixed, signed
-from loomline.llm.winnowing import winnow
+from loomline.llm.texts import P, binary, hashes_of_worker, mixed, signed
 from loomline.storage import Scratch, bound_batches
 
 #: Words of a window and of an anchor's gram.
@@ -62,6 +61,20 @@ class Runs:
         return mixed(h + (stop - start).astype(np.uint64))
 
 
+def leftmost_least(values: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Position and value of the leftmost smallest of each ``span`` consecutive values, by doubling."""
+    place, low, width = np.arange(len(values)), values, 1
+    n = len(values) - span + 1
+    while width < span:
+        step = min(width, span - width)
+        size = len(low) - step
+        right = low[step:]
+        less = right < low[:size]
+        place, low = np.where(less, place[step:], place[:size]), np.where(less, right, low[:size])
+        width += step
+    return place[:n], low[:n]
+
+
 class Segments:
     """A document's segments: windows lo..hi (inclusive) with anchor a and content c."""
 
@@ -75,12 +88,7 @@ class Segments:
             return
         at = np.arange(n - GRAM + 1)
         grams = self.runs.of(at, at + GRAM)
-        low = winnow(grams, WINDOW - GRAM + 1)
-        place = np.arange(len(low))  # of the leftmost smallest gram; a repeated one starts a segment of its own
-        for i in range(WINDOW - GRAM, 0, -1):
-            place[grams[i : i + len(low)] == low] = i
-        place[grams[: len(low)] == low] = 0
-        place += np.arange(len(low))
+        place, low = leftmost_least(grams, WINDOW - GRAM + 1)  # a repeated gram starts a segment of its own
         turn = np.flatnonzero(place[1:] != place[:-1])
         self.lo, self.hi = np.concatenate([[0], turn + 1]), np.append(turn, len(low) - 1)
         self.a = signed(low[self.lo])
@@ -90,13 +98,14 @@ class Segments:
         """Of the windows in the given segments."""
         if not len(lo):
             return np.empty(0, np.int64)
-        at = np.concatenate([np.arange(x, y + 1) for x, y in zip(lo.tolist(), hi.tolist())])
+        sizes = hi - lo + 1
+        at = np.arange(sizes.sum()) + np.repeat(lo - (np.cumsum(sizes) - sizes), sizes)
         return signed(self.runs.of(at, at + WINDOW))
 
 
 def _tables(batches: Iterator[pa.RecordBatch], pick, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Rows of longs that ``pick(segments)`` finds in each document, with its id and the times it holds them."""
-    memo = WordHashes()
+    memo = hashes_of_worker()
     for batch in batches:
         columns, ids, size = [], [], 0
         for key, text in zip(batch.column("id").to_pylist(), binary(batch, "text")):
@@ -208,7 +217,7 @@ class Batch:
 
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kept words of documents with the lists of what in them starts earlier."""
-    memo = WordHashes()
+    memo = hashes_of_worker()
     held = Batch()
 
     def flush() -> pa.RecordBatch:

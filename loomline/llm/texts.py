@@ -14,23 +14,39 @@ import xxhash
 
 P = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
-#: Words whose hashes a worker remembers; beyond it forgets all and goes on.
+#: Words whose hashes a worker remembers.
 MEMO = 150_000
 
 
 class WordHashes(dict):
-    """Remembers the 64-bit hash of each word it has met."""
+    """Remembers the 64-bit hash of each word it has met; when full, only of those met since it was last full."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self.older.get(word)
+        if h is None:
+            h = xxhash.xxh3_64_intdigest(word)
+        self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) > MEMO:
+            self.older = dict(self)
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_OF_WORKER = WordHashes()
+
+
+def hashes_of_worker() -> WordHashes:
+    """One for each worker process, for all of its tasks."""
+    return _OF_WORKER
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * MIX
     h = (h ^ (h >> np.uint64(32))) * MIX
