@@ -9,7 +9,7 @@ recursion
 
 gives this sum in log space in time linear in the word.  No piece reaches across a
 word's start, so a document's marginal is the product over its words and its end;
-each distinct word is computed once in a task.  Pieces that start a word are as
+each distinct word is computed once.  Pieces that start a word are as
 likely to end the one before, which makes the sums over all words add up to one.
 
 The vocabulary's pieces and their order are given; their probabilities come from
@@ -43,8 +43,6 @@ from loomline.storage import Scratch, bound_batches
 
 #: Words whose counts and probabilities are broadcast; distinct words that a task holds before it passes counts on.
 FREQUENT, HELD = 200_000, 150_000
-#: Words whose probabilities a worker remembers; beyond it forgets all and goes on.
-MEMO = 100_000
 #: Added to the expected count of every piece.
 PRIOR = 0.05
 START = "▁"
@@ -182,35 +180,37 @@ def _logs(found: pa.Table, size: int) -> np.ndarray:
     return np.log(n / n.sum())
 
 
-def _scorer(path: str, model):
+def _priced(path: str, logs):
+    """Each word with the logarithm of its marginal over all segmentations."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(path, logs.value)
+        for batch in batches:
+            marginal = [lattice.word(w) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(marginal, pa.float64())], ["word", "c", "p"])
+
+    return run
+
+
+def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, words, whole, base, share, end, base_end = model.value
-        lattice = Lattice(path, logs)
+        words, own, base, end, base_end = model.value
         known = dict(zip(words, range(len(words))))
-        own = np.full(len(words), np.nan)
-        memo: dict[bytes, float] = {}
         for batch in batches:
             sizes, bases, scores, n_known, rare = [], [], [], [], []
             for t in binary(batch, "text"):
                 tokens = (t or b"").lower().split()
                 at = np.fromiter((known.get(w, -1) for w in tokens), np.int64, len(tokens))
                 often = at[at >= 0]
-                for k in np.unique(often[np.isnan(own[often])]).tolist():
-                    own[k] = math.log(whole[k] + math.exp(share + lattice.word(words[k].decode())))
                 few = Counter(w for w, k in zip(tokens, at.tolist()) if k < 0)
-                if len(memo) > MEMO:
-                    memo.clear()
-                for w in few:
-                    if w not in memo:
-                        memo[w] = share + lattice.word(w.decode())
                 sizes.append(len(tokens) + 1)
                 n_known.append(len(often))
                 bases.append(float(base[often].sum()) + base_end)
                 scores.append(float(own[often].sum()) + end)
-                rare.append([{"word": w.decode(), "n": n, "p": memo[w]} for w, n in few.items()])
-            kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64()), ("p", pa.float64())]))
+                rare.append([{"word": w.decode(), "n": n} for w, n in few.items()])
+            kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("held"), pa.array(sizes, pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases), pa.array(scores), pa.array(rare, kind)],
+                [batch.column("id"), batch.column("held"), pa.array(sizes, pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, kind)],
                 ["id", "held", "n_tokens", "known", "base", "score", "rare"],
             )
 
@@ -249,7 +249,6 @@ def lattice_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if n > FREQUENT:
             break
         least = 1 << o
-    often = words.filter(F.col("c") >= least).select(F.col("word").cast("binary"), "c").toArrow()
 
     size = Lattice(path).size
     pieces = lambda df: df.groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
@@ -259,11 +258,20 @@ def lattice_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     discount = (once + 0.5) / (once + 2 * twice + 1)
     # without training documents an end is as likely as a word
     share, end = (math.log(discount * kinds / total), math.log(ends / total)) if kinds else (math.log(0.5), math.log(0.5))
+    # every training word is computed once; the frequent ones go to every task
+    marginals = _priced(path, spark.sparkContext.broadcast(logs))
+    priced = scratch.cut(words.mapInArrow(marginals, "word string, c bigint, p double"), "priced")
+    often = priced.filter(F.col("c") >= least).select(F.col("word").cast("binary"), "c", "p").toArrow()
     c = often.column("c").to_numpy()
-    model = spark.sparkContext.broadcast((logs, often.column("word").to_pylist(), (c - discount) / max(total, 1), np.log10((c + 0.1) / below), share, end, math.log10((ends + 0.1) / below)))
-    schema = f"id {source.schema['id'].dataType.simpleString()}, held boolean, n_tokens bigint, known bigint, base double, score double, rare array<struct<word:string,n:bigint,p:double>>"
-    scored = scratch.cut(source.mapInArrow(_scorer(path, model), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.inline("rare")).join(words.filter(F.col("c") < least), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    own = np.log((c - discount) / max(total, 1) + np.exp(share + often.column("p").to_numpy()))
+    model = spark.sparkContext.broadcast((often.column("word").to_pylist(), own, np.log10((c + 0.1) / below), end, math.log10((ends + 0.1) / below)))
+    schema = f"id {source.schema['id'].dataType.simpleString()}, held boolean, n_tokens bigint, known bigint, base double, score double, rare array<struct<word:string,n:bigint>>"
+    scored = scratch.cut(source.mapInArrow(_scorer(model), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    few = priced.filter(F.col("c") < least)
+    # only documents that weren't learnt from hold words that training didn't
+    new = scored.filter("held").select(F.inline("rare")).select("word").distinct().join(few, "word", "left_anti").withColumn("c", F.lit(0).cast("long"))
+    prices = few.unionByName(scratch.cut(new.mapInArrow(marginals, "word string, c bigint, p double"), "new"))
+    rare = scored.select("row", F.inline("rare")).join(prices, "word").withColumn("p", F.col("p") + F.lit(share))
     known = F.log((F.col("c") - discount) / max(total, 1) + F.exp("p"))
     sums = rare.groupBy("row").agg(
         F.sum(F.col("n") * F.when(F.col("c") > 0, known).otherwise(F.col("p"))).alias("rest"),
