@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomline.functions import scalars as S
 from loomline.operators import entities, intervals, merge, relational, report
 from loomline.plans.base import query
+from loomline.storage import bound_batches
 
 
 @query("""
@@ -25,6 +26,14 @@ def document_slug(spark, t):
     return t("documents").select("doc_id", S.slug(S.fold(F.substring("text", 1, 80))).alias("slug"))
 
 
+@query("""
+    select doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '-') as slug from documents
+""")
+def document_slug_whole(spark, t):
+    bound_batches(spark)
+    return t("documents").select("doc_id", S.slug(S.fold(F.col("text"))).alias("slug"))
+
+
 @query("""
     select o_orderkey, 'rank:' || o_custkey || '+' || strftime(o_orderdate, '%Y-%m-%d') || '+' || substr(o_orderpriority, 1, 1) as rank_id,
            'tenure:' || o_custkey || '+' || (o_custkey % 25) || '+' || case when o_orderstatus = 'F' then 'unknown' else strftime(o_orderdate, '%Y') end as tenure_id,

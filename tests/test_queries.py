@@ -41,3 +41,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_document_slug_whole(spark, tmp_path):
+    """Documents that differ only behind the first 80 characters."""
+    head = "same " * 20
+    spark.createDataFrame([(1, head + "Über"), (2, head + "two"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["slug"] for r in QUERIES["document_slug_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: "same-" * 20 + "uber", 2: "same-" * 20 + "two", 3: None}
