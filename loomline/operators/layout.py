@@ -126,11 +126,32 @@ def nearest_anchor(items: DataFrame, anchors: DataFrame, by: list[str], item: st
     return near.select(*by, F.col("i").alias(item), nearer["a"].alias(anchor))
 
 
+def _cover(start: str, stop: str) -> Column:
+    """The aligned spans of two to the power of ``k``, numbered ``at``, that make up whole numbers start to stop, stop exclusive."""
+    left, right = f"-shiftright(-({start}), k)", f"shiftright({stop}, k)"
+    one = lambda n, odd: f"if({left} < {right} and ({odd} & 1) = 1, named_struct('k', k, 'at', {n}), null)"
+    return F.expr(f"filter(flatten(transform(sequence(0, length(bin({stop} - ({start}))) - 1), k -> array({one(left, left)}, {one(f'{right} - 1', right)}))), s -> s is not null)")
+
+
 def box_holding_center(items: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
-    """Each item (i, cx, cy) with the first box (n, x, y, w, h) of its group that holds its center, edges included."""
-    inside = F.col("cx").between(F.col("x"), F.col("x") + F.col("w")) & F.col("cy").between(F.col("y"), F.col("y") + F.col("h"))
-    held = items.join(boxes, by).filter(inside).groupBy(*by, "i").agg(F.min("n").alias("n"))
-    return items.join(held, [*by, "i"], "left")
+    """Each item (i, cx, cy) with the first box (n, x, y, w, h) of its group that holds its center, edges included.
+
+    Boxes have whole numbers.  Each is cut into aligned spans on x and y, of which a
+    center lies in one of each pair of sizes; the first box of every such cell is one
+    row, so a group's items and boxes are met by equal keys and not in pairs.
+    Distances count twice, so that a center between two numbers is a number too.
+    """
+    whole = boxes.select(*by, "n", *((F.col(c).cast("long") * 2).alias(c) for c in "xywh")).filter("w >= 0 and h >= 0")
+    spans = whole.select(*by, "n", F.explode(_cover("x", "x + w + 1")).alias("sx"), _cover("y", "y + h + 1").alias("sy")).select(*by, "n", "sx", F.explode("sy").alias("sy"))
+    first = spans.groupBy(*by, "sx", "sy").agg(F.min("n").alias("n"))
+    twice = lambda c: F.when(F.abs(c) < 2**60, F.floor(c) + F.ceil(c)).cast("long")
+    spots = items.withColumns({"__x": twice(F.col("cx")), "__y": twice(F.col("cy"))})
+    top = whole.agg(F.expr("length(bin(max(greatest(w, h)) + 1)) - 1").alias("top"))
+    at = lambda c: F.expr(f"transform(sequence(0, top), k -> named_struct('k', k, 'at', shiftright({c}, k)))")
+    probes = spots.select(*by, "__x", "__y").distinct().filter("__x is not null and __y is not null").join(F.broadcast(top.filter("top is not null")))
+    probes = probes.select(*by, "__x", "__y", F.explode(at("__x")).alias("sx"), at("__y").alias("sy")).select(*by, "__x", "__y", "sx", F.explode("sy").alias("sy"))
+    held = probes.join(first, [*by, "sx", "sy"]).groupBy(*by, "__x", "__y").agg(F.min("n").alias("n"))
+    return spots.join(held, [*by, "__x", "__y"], "left").select(*by, *(c for c in items.columns if c not in by), "n")
 
 
 def merge_bilingual(captions: DataFrame) -> DataFrame:

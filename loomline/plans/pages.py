@@ -84,6 +84,17 @@ def box_holding_center(spark, t):
     return layout.box_holding_center(items, boxes, ["label"]).select("label", "i", "n")
 
 
+@query("""
+    with i as (select label, vec_id as i, cast(round(embedding[1] * 1000) as bigint) as cx, cast(round(embedding[2] * 1000) as bigint) as cy from embeddings)
+    select i.label, i.i, min(b.i) as n from i left join i b on b.label = i.label and i.cx between b.cx - 60 and b.cx + 60 and i.cy between b.cy - 60 and b.cy + 60 group by 1, 2
+""")
+def box_holding_center_all(spark, t):
+    at = lambda k: F.round(F.element_at("embedding", k).cast("double") * 1000).cast("long")
+    items = t("embeddings").select("label", F.col("vec_id").alias("i"), at(1).alias("cx"), at(2).alias("cy"))
+    boxes = items.select("label", F.col("i").alias("n"), (F.col("cx") - 60).alias("x"), (F.col("cy") - 60).alias("y"), F.lit(120).alias("w"), F.lit(120).alias("h"))
+    return layout.box_holding_center(items, boxes, ["label"]).select("label", "i", "n")
+
+
 @query("""
     select doc_id, case when c > 0 and c >= a then 'ja' when a > c then 'en' else 'other' end as script
     from (select doc_id, len(regexp_extract_all(text, '[A-Za-z]')) as a, len(regexp_extract_all(text, '[぀-ヿ一-鿿]')) as c from documents)

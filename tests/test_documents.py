@@ -327,3 +327,29 @@ def test_streams(spark, tmp_path):
     assert got == {1: (["a", "b"], "x"), 2: (["b"], None), 3: ([], "z")}
     events = spark.createDataFrame([(f"2024-01-01 00:{m:02d}:00", 1, 1.0) for m in (0, 1, 30, 59)], "ts string, user int, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted(r["n"] for r in upserts.sessions(events, "ts", "5 minutes", "1 hour", "user").collect()) == [1, 1, 2]
+
+
+def test_box_holding_center_against_pairs(spark):
+    r = random.Random(3)
+    near = lambda: r.randrange(-40, 40)
+    items = [(r.randrange(2), i, near() + r.choice((0.0, 0.5, 0.3)), float(near())) for i in range(300)] + [(0, 300, None, 1.0), (5, 301, 1.0, 1.0), (0, 302, float("nan"), 1.0)]
+    boxes = [(r.randrange(2), n, near(), near(), r.randrange(0, 25), r.randrange(0, 25)) for n in range(60)] + [(0, 60, -900, -900, 1800, 1800), (1, 61, 5, 5, -1, 3)]
+    got = layout.box_holding_center(
+        spark.createDataFrame(items, "g int, i int, cx double, cy double"), spark.createDataFrame(boxes, "g int, n int, x int, y int, w int, h int"), ["g"]
+    )
+    assert got.columns == ["g", "i", "cx", "cy", "n"]
+    for row in got.collect():
+        inside = [n for g, n, x, y, w, h in boxes if g == row["g"] and row["cx"] is not None and x <= row["cx"] <= x + w and y <= row["cy"] <= y + h]
+        assert row["n"] == min(inside, default=None)
+    assert got.count() == len(items)
+    none = spark.createDataFrame([], "g int, n int, x int, y int, w int, h int")
+    assert layout.box_holding_center(spark.createDataFrame(items, "g int, i int, cx double, cy double"), none, ["g"]).filter("n is null").count() == len(items)
+
+
+def test_hot_group_makes_no_pairs(spark):
+    """4,000 centers at one spot and as many boxes around it are met by equal keys, without comparing pairs."""
+    spot = spark.range(4000).selectExpr("0 as g", "id as i", "5L as cx", "5L as cy")
+    got = layout.box_holding_center(spot, spot.selectExpr("g", "i as n", "0 as x", "0 as y", "9 as w", "9 as h"), ["g"])
+    assert got.filter("n = 0").count() == 4000
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x]
+    assert joins and not [x for x in joins if ">=" in x or "<=" in x]

@@ -49,3 +49,10 @@ def test_document_slug_whole(spark, tmp_path):
     spark.createDataFrame([(1, head + "Über"), (2, head + "two"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["slug"] for r in QUERIES["document_slug_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: "same-" * 20 + "uber", 2: "same-" * 20 + "two", 3: None}
+
+
+def test_box_holding_center_all(spark, tmp_path):
+    """The only other box that holds item 7 is item 3's, which is no multiple of 10."""
+    spark.createDataFrame([(7, 0, [0.5, 0.5]), (3, 0, [0.44, 0.56]), (10, 0, [0.9, 0.9]), (1, 1, [0.5, 0.5])], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["label"], r["i"]): r["n"] for r in QUERIES["box_holding_center_all"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 7): 3, (0, 3): 3, (0, 10): 10, (1, 1): 1}
