@@ -56,3 +56,10 @@ def test_box_holding_center_all(spark, tmp_path):
     spark.createDataFrame([(7, 0, [0.5, 0.5]), (3, 0, [0.44, 0.56]), (10, 0, [0.9, 0.9]), (1, 1, [0.5, 0.5])], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r["label"], r["i"]): r["n"] for r in QUERIES["box_holding_center_all"](spark, str(tmp_path)).collect()}
     assert got == {(0, 7): 3, (0, 3): 3, (0, 10): 10, (1, 1): 1}
+
+
+def test_revision_bump_all(spark, sf_dir):
+    """Every document is on one side at least."""
+    ids = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    got = QUERIES["revision_bump_all"](spark, sf_dir).collect()
+    assert {r["key"] for r in got} == ids and len(got) == len(ids)
