@@ -9,6 +9,7 @@ from loomline.functions import scalars as S
 from loomline.operators import layout, lexicon, lines
 from loomline.sources import crawl, html
 from loomline.plans.base import query
+from loomline.storage import bound_batches
 from loomline.streaming import upserts
 
 _LINES = r"""l as (
@@ -105,8 +106,9 @@ def script_tags(spark, t):
 
 @query()
 def lexicon_classify(spark, t):
-    found = lexicon.classify(F.col("url"))
-    return t("pages").select("page_id", *(F.array_join(found[s], ",").alias(s) for s in lexicon.SLOTS))
+    bound_batches(spark)
+    rows = lines.lines_of(t("documents"), "doc_id", "text").withColumn("found", lexicon.classify(F.col("line")))
+    return rows.select("doc_id", "line_no", *(F.array_join(F.col("found")[s], ",").alias(s) for s in lexicon.SLOTS))
 
 
 @query("""

@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
+from loomline.operators import lexicon
 from loomline.plans.registry import ORACLES, QUERIES
+from tests.test_documents import sequential
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +65,22 @@ def test_revision_bump_all(spark, sf_dir):
     ids = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
     got = QUERIES["revision_bump_all"](spark, sf_dir).collect()
     assert {r["key"] for r in got} == ids and len(got) == len(ids)
+
+
+def test_lexicon_classify(spark, sf_dir, tmp_path):
+    """Every line of the texts against the plain fold; kanji and spellings stand behind long prose too."""
+    text = "prose " * 3000 + "\n\n  Shomen-uchi Ikkyo ura\n正面打ち四方投げ（表）\nnone\n" + "x " * 200 + "Kotegaeshi"
+    spark.createDataFrame([(1, text), (2, None), (3, " ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kanji, latin = lexicon.seed()
+    for folder in (str(tmp_path), sf_dir):
+        texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+        want = {}
+        for key, t in texts.items():
+            for n, line in enumerate((t or "").split("\n")):
+                if line.strip(" "):
+                    met = sequential(line, kanji, latin)
+                    want[key, n] = tuple(",".join(name for slot, name in met if slot == s) for s in lexicon.SLOTS)
+        got = QUERIES["lexicon_classify"](spark, folder).collect()
+        assert {(r["doc_id"], r["line_no"]): tuple(r[s] for s in lexicon.SLOTS) for r in got} == want and len(got) == len(want)
+        if folder == str(tmp_path):
+            assert want[1, 2][0] == "ikkyo" and want[1, 3][0] == "shiho-nage" and want[1, 5][0] == "kote-gaeshi"
