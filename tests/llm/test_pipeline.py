@@ -54,3 +54,12 @@ def test_edges(spark, tmp_path):
     for table in (docs, docs.limit(0)):
         for _, stage in pipeline.STAGES:
             assert stage(spark, table, str(tmp_path)).count() >= 0
+
+
+def test_near_dedup_by_row(spark):
+    """Ids that repeat or are null: one row of each group stays, and no text is lost."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (3, text(3)), (3, text(3)), (None, text(4)), (None, text(4)), (None, text(3)), (5, text(5) + " end"), (4, text(5))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, text(1)), (2, text(2)), (3, text(3)), (None, text(4)), (4, text(5))], key=str)
