@@ -46,8 +46,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens."""
-    return pack_documents(docs, with_ids=False).drop("ids")
+    """Pieces of sequences of at most 4096 tokens, with their token ids."""
+    return pack_documents(docs)
 
 
 STAGES = [("quality_rules", quality), ("minhash_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]

@@ -63,3 +63,10 @@ def test_near_dedup_by_row(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_dedup(spark, docs, "").collect()), key=str)
     assert got == sorted([(1, text(1)), (2, text(2)), (3, text(3)), (None, text(4)), (4, text(5))], key=str)
+
+
+def test_packed_ids(spark):
+    """Every piece has its token ids, of which the checksum was made."""
+    pieces = pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert pieces and all(len(r["ids"]) == r["length"] for r in pieces)
+    assert len({tuple(r["ids"]) for r in pieces}) == len({r["ids_crc32"] for r in pieces})
