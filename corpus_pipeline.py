@@ -25,12 +25,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: of the smallest id, one without an id only if none has any.
 
-    Groups are made of rows, each under a number of its own, so ids may repeat or be null.
+    Rows are numbered in the order of their ids, and groups are made of these numbers, so ids may repeat or be null.
     """
-    rows = Scratch(spark).cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows, "__row").select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
-    kept = found.groupBy("component_id").agg(F.min_by("__row", order).alias("__row")).select("__row")
+    order = (F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    rows = Scratch(spark).cut(docs.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    kept = near_duplicates(rows, "__row").filter("kept").select("__row")
     return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
