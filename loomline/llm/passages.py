@@ -12,7 +12,9 @@ Each recurring segment or window then has the smallest document that holds it.
 Documents that hold any which starts earlier are read again with their own list of
 these; neighbouring windows are put together to passages, passages of a batch of
 documents are compiled to Aho-Corasick automata over words, in shards of bounded
-size, and the batch streams through each to locate every occurrence.
+size, and the batch streams through each to locate a document's own passages and
+their later repeats in it.  Repeats across documents are found by the joins on
+hashes, not by the automata.
 """
 
 from __future__ import annotations
