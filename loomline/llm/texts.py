@@ -75,6 +75,103 @@ def rows(batches: Iterator[pa.RecordBatch], key: str, text: str) -> Iterator[tup
         yield batch.column(key).to_pylist(), [t or b"" for t in binary(batch, text)]
 
 
+#: White space, and A-Z to a-z, by byte.
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: A random odd number for each byte; bytes that are hashed at once.
+_BYTE = np.random.default_rng(20240502).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
+_CHUNK = 1 << 20
+
+
+class Powers:
+    """Powers of an odd number and of its inverse, as far as they have been asked for."""
+
+    inverse = np.uint64(pow(int(P), -1, 2**64))
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            for name, base in (("up", P), ("down", cls.inverse)):
+                table = np.full(max(n, 2 * len(cls.up)), base, np.uint64)
+                table[0] = 1
+                setattr(cls, name, np.cumprod(table, dtype=np.uint64))
+        return cls.up, cls.down
+
+
+class Sums:
+    """Hashes of runs of values, from running sums."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = Powers.of(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
+
+
+class Words:
+    """All words of a column of whole texts, found and hashed together.
+
+    data: the texts' bytes; start, stop: the words' bytes in them; h: a hash of each
+    word, the same in every batch; of: the number of the first word of each text,
+    with the number of all words behind.  A null text has no words.
+    """
+
+    def __init__(self, column: pa.Array, lower: bool = False):
+        whole = column.cast(pa.large_binary())
+        if whole.null_count:
+            whole = whole.fill_null(b"")
+        ends = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+        raw = whole.buffers()[2] if len(whole) else None
+        data = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None and ends[-1] > ends[0] else np.empty(0, np.uint8)
+        self.data = data = _LOWER[data] if lower else data
+        ends = ends - ends[0]
+        ink = ~_BLANK[data]
+        first, last = ink.copy(), ink.copy()
+        first[1:] &= ~ink[:-1]
+        last[:-1] &= ~ink[1:]
+        edge = ends[:-1][ends[:-1] < len(data)]
+        first[edge] = ink[edge]
+        edge = ends[1:][ends[1:] > 0] - 1
+        last[edge] = ink[edge]
+        self.start, self.stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.of = np.searchsorted(self.start, ends)
+        self.h = np.empty(len(self.start), np.uint64)
+        k = 0
+        while k < len(self.h):
+            begin = self.start[k]
+            j = max(k + 1, int(np.searchsorted(self.stop, begin + _CHUNK, "right")))
+            part = Sums(_BYTE[data[begin : self.stop[j - 1]]])
+            self.h[k:j] = part.of(self.start[k:j] - begin, self.stop[k:j] - begin)
+            k = j
+
+    def __len__(self) -> int:
+        return len(self.h)
+
+    def counts(self) -> np.ndarray:
+        """Words of each text."""
+        return np.diff(self.of)
+
+    def text_of(self) -> np.ndarray:
+        """The number of each word's text."""
+        return np.repeat(np.arange(len(self.of) - 1), self.counts())
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.stop[i]].tobytes()
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each hash among the distinct ones, the distinct ones, where each of them is first), in order of appearance."""
+    import pandas as pd
+
+    codes, values = pd.factorize(h)
+    first = np.empty(len(values), np.int64)
+    first[codes[::-1]] = np.arange(len(h) - 1, -1, -1)
+    return codes, values, first
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

@@ -42,7 +42,7 @@ def test_table(spark, sf_dir):
 
 def test_made_cases(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(passages, "SHARD_WORDS", 60)
-    monkeypatch.setattr(passages, "BATCH_WORDS", 500)
+    monkeypatch.setattr(passages, "SHARD_DOCS", 3)
     r = random.Random(3)
     vocabulary = [f"w{i}" for i in range(40)]
     base = [r.choice(vocabulary) for _ in range(120)]
@@ -70,9 +70,32 @@ def test_made_cases(spark, tmp_path, monkeypatch):
 
 def test_repeated_and_missing_ids(spark):
     text = " ".join(f"v{i}" for i in range(30))
-    df = spark.createDataFrame([(1, text, "a"), (1, text, "b"), (None, text, "c"), (2, text, None)], "doc_id bigint, text string, spans string")
-    got = [(r["id"], r["n_removed"]) for r in repeated(df).collect() if r["n_removed"]]
-    assert got == [(2, 30)]
+    df = spark.createDataFrame([(1, text, "a", 1), (1, text, "b", 1), (None, text, "c", 1), (2, text, None, 1), (2, f"{text} {text}", "", 1)], "doc_id bigint, text string, spans string, keys int")
+    got = sorted((r["id"] or 0, r["n_words"], r["n_removed"]) for r in repeated(df).collect())
+    assert got == [(0, 30, 0), (1, 30, 0), (1, 30, 0), (2, 30, 30), (2, 60, 60)]
+
+
+def test_very_long_text(spark, tmp_path):
+    r = random.Random(5)
+    long = " ".join(f"n{r.randrange(10**6)}" for _ in range(300_000))
+    part = " ".join(long.split()[200_000:200_050])
+    rows = [(1, long), (2, f"a {part} b"), (3, "x" * 3_000_000 + " " + part)]
+    assert run(spark, tmp_path, rows) == brute(rows)
+
+
+def test_the_automata_decide(spark, tmp_path, monkeypatch):
+    """Without the automata's hits nothing goes, and hits are of words, not of hashes."""
+    shard = passages.Shard()
+    shard.add(b"a b\n c", 3)
+    assert shard.occurrences(b"x a b c a b c".split(), 4) == [(1, 7)]
+    assert shard.occurrences(b"x a b c y a b c".split(), 3) == [(5, 8)]
+    assert shard.occurrences(b"a b c".split(), 2) == []
+    part = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, part), (2, part)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r[1] for _, r in sorted(result(op4_passages(spark, str(tmp_path))).items())] == [0, 40]
+    monkeypatch.setattr(passages, "_located", lambda batches: iter(()))
+    assert [r[1] for _, r in sorted(result(op4_passages(spark, str(tmp_path))).items())] == [0, 0]
 
 
 def test_empty(spark, tmp_path):
