@@ -21,6 +21,7 @@ takes a part of them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm import bloom
-from loomline.llm.texts import P, Sums, Words, binary, distinct, mixed, signed
+from loomline.llm.texts import P, Sums, Words, binary, distinct, mixed, signed, slices
 from loomline.storage import Scratch, bound_batches
 
 #: Words of a window and of an anchor's gram.
@@ -39,6 +40,7 @@ WINDOW, GRAM = 20, 6
 SHARD_WORDS, SHARD_DOCS, SEGMENT = 400_000, 4000, 27
 #: Rows of one Arrow batch of numbers.
 ROWS = 100_000
+LONG_ENOUGH = re.compile(rf"[^\0]{{{WINDOW},}}", re.S)
 SPANS = "array<struct<start:int,stop:int>>"
 
 
@@ -99,14 +101,14 @@ def _tallied(keys: list[np.ndarray], of: np.ndarray, ids: np.ndarray, names: lis
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, c, m, id) of every segment."""
-    for batch in batches:
+    for batch in slices(batches, "text"):
         s = Segments(batch.column("text"))
         yield from _tallied([s.a, s.c], s.of, batch.column("id").to_numpy(), ["a", "c"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, m, id) of the windows in the segments that each text's list names."""
-    for batch in batches:
+    for batch in slices(batches, "text"):
         s = Segments(batch.column("text"))
         _, h, of = s.windows(_listed(s.c, s.of, batch.column("keys"), np.arange(batch.num_rows)))
         yield from _tallied([h], of, batch.column("id").to_numpy(), ["h"])
@@ -125,7 +127,7 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     One row in is (id, digest, text, shard, parts, keys): with keys an origin's
     patterns go to all parts of the shard, without them the text goes to one part.
     """
-    for batch in batches:
+    for batch in slices(batches, "text"):
         s = Segments(batch.column("text"))
         raw = binary(batch, "text")
         ids, digests, shards, parts = (batch.column(n).to_numpy() for n in ("id", "digest", "shard", "parts"))
@@ -176,14 +178,20 @@ class Shard:
             return []
         get = self.letters.get
         met, found = set(), []
-        for last, hit in self.automaton.iter("".join([get(w, "\0") for w in words])):
-            size, origin = hit
-            if origin > doc:
-                continue
-            if origin == doc and id(hit) not in met:
-                met.add(id(hit))
-                continue
-            found.append((last + 1 - size, last + 1))
+        # between words of no pattern there must be room for one
+        for stretch in LONG_ENOUGH.finditer("".join([get(w, "\0") for w in words])):
+            begin = stretch.start() + 1
+            for last, hit in self.automaton.iter(stretch[0]):
+                size, origin = hit
+                if origin >= doc:
+                    if origin > doc or id(hit) not in met:
+                        met.add(id(hit))
+                        continue
+                last += begin
+                if found and found[-1][1] >= last - size >= found[-1][0]:
+                    found[-1] = found[-1][0], last
+                else:
+                    found.append((last - size, last))
         return merged(found)
 
 

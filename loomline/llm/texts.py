@@ -162,6 +162,18 @@ class Words:
         return self.data[self.start[i] : self.stop[i]].tobytes()
 
 
+def slices(batches: Iterator[pa.RecordBatch], name: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in parts of at most ``size`` bytes of text, or one longer text each: a bound on the memory of a part."""
+    for batch in batches:
+        column = batch.column(name).cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of each hash among the distinct ones, the distinct ones, where each of them is first), in order of appearance."""
     import pandas as pd
