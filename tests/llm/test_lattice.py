@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomline.llm.lattice import START, Lattice, lattice_scores, op5_lattice, vocabulary_path
 
 
@@ -14,34 +16,50 @@ from loomline.llm.lattice import START, Lattice, lattice_scores, op5_lattice, vo
 def lattice():
     size = Lattice(vocabulary_path()).size
     p = np.random.default_rng(4).random(size)
-    return Lattice(vocabulary_path(), np.log(p / p.sum()))
+    logs = np.log(p / p.sum())
+    return Lattice(vocabulary_path(), logs), logs
 
 
-def total(lattice, text, j=0):
+def total(lattice, logs, text, j=0):
     """Sum over all segmentations from j on, one by one."""
     if j == len(text):
         return 1.0
     out = 0.0
     for k in range(j + 1, min(len(text), j + lattice.longest) + 1):
-        if text[j:k] in lattice.log:
-            out += math.exp(lattice.log[text[j:k]]) * total(lattice, text, k)
+        if text[j:k] in lattice.number:
+            out += math.exp(logs[lattice.number[text[j:k]]]) * total(lattice, logs, text, k)
     if j:
-        out += math.exp(sum(lattice.byte_log[b] for b in text[j].encode())) * total(lattice, text, j + 1)
+        out += math.exp(sum(logs[lattice.byte[b]] for b in text[j].encode())) * total(lattice, logs, text, j + 1)
     return out
 
 
 def test_marginal(lattice):
-    for word in ("the", "tokens", "é", "ünïx", "aaaaaaa", "世", "x1#", START):
-        assert lattice.word(word) == pytest.approx(math.log(total(lattice, START + word)))
-    assert math.isfinite(lattice.word("long" * 5000))
-
-
-def test_expected_counts(lattice):
-    """Pieces' expected lengths add up to the word's."""
-    into = np.zeros(lattice.size)
-    lattice.expect("internation", 2.0, into)
-    length = sum(into[i] * len(p) for p, i in lattice.number.items()) + sum(into[i] for i in lattice.byte)
-    assert length == pytest.approx(2 * 12)
+    lattice, logs = lattice
+    words = ["the", "tokens", "é", "ünïx", "aaaaaaa", "世", "x1#", START, "the", "nation", "inter"]
+    got = lattice.words(words)
+    for word, found in zip(words, got.tolist()):
+        assert found == pytest.approx(math.log(total(lattice, logs, START + word)))
+    assert math.isfinite(lattice.words(["a", "long" * 5000])[1])
+    assert len(lattice.words([])) == 0
+
+
+def test_score_is_the_sum_over_segmentations(spark):
+    """The score of a whole text against an enumeration, with pieces counted in plain Python."""
+    texts = ["the on the", "Inter nation é", "on", "", None, "unmet wörd on"]
+    df = spark.createDataFrame([(i, t, i in (2, 5)) for i, t in enumerate(texts)], "doc_id bigint, text string, held boolean")
+    model = Lattice(vocabulary_path())
+    n, ends = np.full(model.size, 0.05), 0
+    for i, t in enumerate(texts):
+        if i not in (2, 5):
+            ends += 1
+            for w in (t or "").lower().split():
+                for piece in model.model.encode(w):
+                    n[piece] += 1
+    whole = n.sum() + ends + 0.05
+    logs = np.log(n / whole)
+    for r in lattice_scores(df, held=F.col("held")).collect():
+        want = math.log((ends + 0.05) / whole) + sum(math.log(total(model, logs, START + w)) for w in (texts[r["doc_id"]] or "").lower().split())
+        assert r["score"] == pytest.approx(want / math.log(10))
 
 
 def test_table(spark):
@@ -64,16 +82,17 @@ def test_table(spark):
 
 
 def test_held_out_likelihood(spark):
-    """On documents that weren't learnt from, the lattice foresees what plain word counts cannot."""
+    """On documents that weren't learnt from.  base_score gives any number of unseen words the same share, and so isn't a distribution."""
     sf = "/root/testdata/sf0.1"
     rows = op5_lattice(spark, sf).filter("held_out").collect()
-    own, base, n = (sum(r[c] for r in rows) for c in ("score", "base_score", "n_tokens"))
-    assert own / n > -5
-    assert own / n > base / n - 0.5  # base_score gives any number of unseen words the same share, and so isn't a distribution
+    own, word, base, n = (sum(r[c] for r in rows) for c in ("score", "word_score", "base_score", "n_tokens"))
+    assert own / n > -5.8
+    assert word / n > base / n - 0.5
 
 
 def test_edges(spark):
-    df = spark.createDataFrame([(1, None, 1.0), (1, "a b", 2.0), (None, "c", 3.0), (2, "A  B\x0b\x1c", 4.0)], "doc_id bigint, text string, score double")
+    df = spark.createDataFrame([(1, None, 1.0), (1, "a b", 2.0), (None, "c", 3.0), (2, "A  B\x0b\x1c", 4.0), (3, "z" * 50_000 + " " + "b " * 100_000, 5.0)], "doc_id bigint, text string, score double")
     got = lattice_scores(df).collect()
-    assert sorted(r["n_tokens"] for r in got) == [1, 2, 3, 4] or len(got) == 4
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 2), (1, 1), (1, 3), (2, 4), (3, 100_002)]
+    assert all(math.isfinite(r[c]) for r in got for c in ("base_score", "score", "word_score"))
     assert lattice_scores(df.limit(0)).count() == 0
