@@ -40,7 +40,6 @@ WINDOW, GRAM = 20, 6
 SHARD_WORDS, SHARD_DOCS, SEGMENT = 400_000, 4000, 27
 #: Rows of one Arrow batch of numbers.
 ROWS = 100_000
-LONG_ENOUGH = re.compile(rf"[^\0]{{{WINDOW},}}", re.S)
 SPANS = "array<struct<start:int,stop:int>>"
 
 
@@ -174,12 +173,13 @@ class Shard:
             for spelt, origin in self.origins.items():
                 self.automaton.add_word(spelt, (len(spelt), origin))
             self.automaton.make_automaton()
+            self.long_enough = re.compile(rf"[^\0]{{{min(map(len, self.origins), default=1)},}}", re.S)
         if not self.origins:
             return []
         get = self.letters.get
         met, found = set(), []
         # between words of no pattern there must be room for one
-        for stretch in LONG_ENOUGH.finditer("".join([get(w, "\0") for w in words])):
+        for stretch in self.long_enough.finditer("".join([get(w, "\0") for w in words])):
             begin = stretch.start() + 1
             for last, hit in self.automaton.iter(stretch[0]):
                 size, origin = hit
