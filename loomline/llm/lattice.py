@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.texts import P, Powers, Words, binary, distinct, mixed
+from loomline.llm.texts import P, Powers, Words, binary, distinct, mixed, slices
 from loomline.storage import Scratch, bound_batches
 
 #: Words whose counts and probabilities are broadcast; distinct words that a task holds before it passes counts on.
@@ -46,7 +46,7 @@ FREQUENT, HELD = 200_000, 150_000
 #: Added to the count of every piece.
 PRIOR = 0.05
 #: Characters of the words that go through the recursion together, and words that are gathered for it.
-BLOCK, GATHERED = 200_000, 20_000
+BLOCK, GATHERED = 100_000, 20_000
 START = "▁"
 
 
@@ -227,7 +227,7 @@ def _scorer(model):
         words, values = model.value
         known = dict(zip(words, range(len(words))))
         values = np.concatenate([values, np.zeros((len(values), 1))], 1)  # an unknown word adds nothing here
-        for batch in batches:
+        for batch in slices(batches, "text"):
             w = Words(batch.column("text"), lower=True)
             n = batch.num_rows
             codes, _, first = distinct(w.h)

@@ -37,7 +37,7 @@ from loomline.storage import Scratch, bound_batches
 #: Words of a window and of an anchor's gram.
 WINDOW, GRAM = 20, 6
 #: Words of the patterns in one automaton; documents that one task streams through it; words of a segment, about.
-SHARD_WORDS, SHARD_DOCS, SEGMENT = 400_000, 4000, 27
+SHARD_WORDS, SHARD_DOCS, SEGMENT = 250_000, 4000, 27
 #: Rows of one Arrow batch of numbers.
 ROWS = 100_000
 SPANS = "array<struct<start:int,stop:int>>"
@@ -232,7 +232,7 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words that stay, joined by one space."""
-    for batch in batches:
+    for batch in slices(batches, "text"):
         sizes, gone, texts, spans = [], [], [], []
         for raw, found in zip(binary(batch, "text"), batch.column("spans").to_pylist()):
             words = (raw or b"").split()
@@ -349,7 +349,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spans = scratch.cut(streamed.groupBy("id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     schema = f"id bigint, n_words bigint, n_removed bigint, kept_text string, spans {SPANS}"
     changed = sc.broadcast(_filter(spans.select("id"), "id"))
-    kept = every.mapInArrow(_select(changed, False), "id bigint, text string").withColumn("spans", F.lit(None).cast(SPANS)).mapInArrow(_kept, schema)
+    others = _select(changed, False)
+    kept = every.withColumn("spans", F.lit(None).cast(SPANS)).mapInArrow(lambda batches: _kept(others(batches)), schema)
     joined = every.mapInArrow(_select(changed, True), "id bigint, text string").withColumn("digest", F.xxhash64("text")).join(spans, ["id", "digest"], "left")
     return kept.unionByName(joined.select("id", "text", "spans").mapInArrow(_kept, schema))
 

@@ -80,7 +80,7 @@ _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: A random odd number for each byte; bytes that are hashed at once.
 _BYTE = np.random.default_rng(20240502).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 class Powers:
@@ -162,7 +162,7 @@ class Words:
         return self.data[self.start[i] : self.stop[i]].tobytes()
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], name: str, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The rows of batches in parts of at most ``size`` bytes of text, or one longer text each: a bound on the memory of a part."""
     for batch in batches:
         column = batch.column(name).cast(pa.large_binary())
@@ -176,9 +176,8 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, size: int = 2 << 20) ->
 
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of each hash among the distinct ones, the distinct ones, where each of them is first), in order of appearance."""
-    import pandas as pd
-
-    codes, values = pd.factorize(h)
+    found = pa.array(h).dictionary_encode()
+    codes, values = found.indices.to_numpy(), found.dictionary.to_numpy()
     first = np.empty(len(values), np.int64)
     first[codes[::-1]] = np.arange(len(h) - 1, -1, -1)
     return codes, values, first
