@@ -8,6 +8,11 @@ a document, and ordered thresholds cut the score into grades:
 so all grades share what makes a text better.  Selection goes by a tail
 probability; the expected grade is the sum of all of them.
 
+Features are hashed words, their first letters (what inflected and joined words
+share), and the orders of some shares of the text.  Those of fewer than LEAST_SHARE of
+the labelled documents get no weight: they can only be learnt by heart.  Thresholds
+start from the grades' shares, so weights needn't first explain how common a grade is.
+
 The fit reads at most MOST_LABELS labelled documents, those of the smallest hashed
 ids; the scores cover every document.
 """
@@ -15,6 +20,7 @@ ids; the scores cover every document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +29,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.texts import binary, lists
+from loomline.llm.texts import binary, carried, handed_on, lists
 from loomline.storage import bound_batches
 
-#: Weights, labelled documents that the fit reads at most, steps of the fit, weight decay.
-DIMENSIONS, MOST_LABELS, STEPS, DECAY = 1 << 16, 8000, 250, 3e-5
+#: Weights, labelled documents that the fit reads at most, steps of the fit, weight decay, share of documents that a feature is in at least.
+DIMENSIONS, MOST_LABELS, STEPS, DECAY, LEAST_SHARE = 1 << 18, 6000, 600, 1e-3, 0.006
+#: Letters of a word that are a feature of their own; the tail probability from which a text is kept.
+PREFIXES, LEAST = (4, 6), 0.83
 MEMO = 150_000
 TRIM = b".,;:!?\"'()[]{}"
 MARKS = b"#*$%&|<>"
 
 
 class Buckets(dict):
-    """The weight's number for each word: of the bare lower-cased word."""
+    """The weights' numbers for each word: of the lower-cased word, and of the first letters of a longer one without marks."""
 
-    def __missing__(self, word: bytes) -> int:
-        bare = word.lower().strip(TRIM + MARKS)
-        h = self[word] = xxhash.xxh3_64_intdigest(bare) % DIMENSIONS
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        low = word.lower()
+        letters = low.strip(TRIM + MARKS).decode()
+        parts = [low.strip(TRIM), *(b"\x01" + letters[:k].encode() for k in PREFIXES if len(letters) > k)]
+        h = self[word] = tuple(xxhash.xxh3_64_intdigest(p) % DIMENSIONS for p in parts)
         return h
 
 
@@ -56,12 +66,12 @@ def features(text: bytes, memo: Buckets) -> np.ndarray:
     n = len(words)
     if not n:
         return np.array([_grade(b"empty", 1, 1)], np.int32)
-    own = np.fromiter(map(memo.__getitem__, words), np.int32, n)
-    distinct = np.unique(own)
+    kinds = set(words)
+    distinct = np.fromiter(chain.from_iterable(map(memo.__getitem__, kinds)), np.int32)
     size = len(text)
     capitals = sum(map(bytes.isupper, words))
     shapes = [
-        _grade(b"distinct", len(distinct), n), _grade(b"capitals", capitals, n), _grade(b"marks", size - len(text.translate(None, MARKS)), n),
+        _grade(b"distinct", len(kinds), n), _grade(b"capitals", capitals, n), _grade(b"marks", size - len(text.translate(None, MARKS)), n),
         _grade(b"bars", text.count(b"|"), n), _grade(b"ends", sum(w[-1] in b".!?" for w in words), n), _grade(b"lines", text.count(b"\n"), n), _grade(b"digits", size - len(text.translate(None, b"0123456789")), size),
     ]
     return np.unique(np.concatenate([distinct, np.array(shapes, np.int32)]))
@@ -74,7 +84,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = 3) -> tuple[np
         return weights, thresholds
     lengths = np.array([len(r) for r in rows])
     index = np.concatenate(rows)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    often = np.bincount(index, minlength=DIMENSIONS) >= LEAST_SHARE * len(rows)
+    tails = np.array([((grades >= k).sum() + 0.5) / (len(rows) + 1) for k in range(1, levels)])
+    thresholds = np.log((1 - tails) / tails) + 1e-3 * np.arange(levels - 1)
+    of = np.repeat(np.arange(len(rows)), lengths)[often[index]]
+    index = index[often[index]].astype(np.intp)
     gaps = np.log(np.maximum(np.diff(thresholds), 1e-3))
     base = thresholds[0]
     size = DIMENSIONS + 1 + len(gaps)
@@ -82,7 +96,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = 3) -> tuple[np
     n = len(rows)
     for t in range(1, STEPS + 1):
         cut = base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        z = np.add.reduceat(weights[index], starts)
+        z = np.bincount(of, weights[index], n)
         tail = 1 / (1 + np.exp(np.clip(cut[None, :] - z[:, None], -40, 40)))  # P(grade >= 1), P(grade >= 2)
         edge = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], 1)
         p = np.maximum(edge[np.arange(n), grades] - edge[np.arange(n), grades + 1], 1e-9)
@@ -94,7 +108,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = 3) -> tuple[np
         np.add.at(gcut, grades, up / n)
         np.add.at(gcut, grades + 1, -down / n)
         gcut = gcut[1:levels]
-        gw = np.bincount(index, np.repeat(gz, lengths), DIMENSIONS) + DECAY * weights
+        gw = np.bincount(index, gz[of], DIMENSIONS) + DECAY * weights
         ggaps = np.array([gcut[k + 1 :].sum() * np.exp(gaps[k]) for k in range(len(gaps))])
         g = np.concatenate([gw, [gcut.sum()], ggaps])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -108,7 +122,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = 3) -> tuple[np
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = Buckets()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("grade"), lists([features(t or b"", memo) for t in binary(batch, "text")], pa.int32())], ["grade", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("at"), lists([features(t or b"", memo) for t in binary(batch, "text")], pa.int32())], ["grade", "at", "features"])
 
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", levels: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +133,10 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     bound_batches(docs.sparkSession)
     valid = ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).filter(F.col("id").isNotNull() & F.col("grade").between(0, levels - 1))
     chosen = valid.distinct().orderBy(F.xxhash64("id"), "id", "grade").limit(MOST_LABELS)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("grade", "text")
-    table = texts.mapInArrow(_featured, "grade int, features array<int>").toArrow()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # an id may name many rows; of those, too, the ones of smallest hashes are taken
+    found = texts.select("grade", F.xxhash64("id", "text").alias("at"), "text").mapInArrow(_featured, "grade int, at bigint, features array<int>")
+    table = found.orderBy("at", "grade").limit(MOST_LABELS).toArrow()
     rows = [np.asarray(x, np.int32) for x in table.column("features").to_pylist()]
     order = sorted(range(len(rows)), key=lambda i: rows[i].tobytes())  # sums don't depend on the order of tasks
     return fit([rows[i] for i in order], table.column("grade").to_numpy().astype(np.int64)[order], levels)
@@ -138,19 +154,18 @@ def _scorer(model):
     return run
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), least: float = 0.5) -> DataFrame:
-    """``docs`` to one row per row: id_col, the columns of ``keep``, score, p_ge_1.., expected_grade, kept.
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), least: float = LEAST) -> DataFrame:
+    """``docs`` to one row per row: id_col, row, score, p_ge_1.., expected_grade, kept.
 
+    row is a struct of the columns of ``keep``, if any, so their names can't clash.
     kept: the probability of the highest grade is ``least`` or more.  A null or blank
-    text has one feature of its own.  Repeated rows are scored alike.  An empty table
+    text has one feature of its own, very long ones are read whole.  Repeated rows are scored alike.  An empty table
     gives an empty result; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     weights, thresholds = model
-    names = list(dict.fromkeys([id_col, *keep]))
-    keys = [f"__k{i}" for i in range(len(names))]
-    source = docs.select(*(F.col(c).alias(k) for c, k in zip(names, keys)), F.col(text_col).alias("__text"))
+    source = docs.select(*carried(id_col, keep), F.col(text_col).alias("__text"))
     schema = T.StructType([f for f in source.schema if f.name != "__text"] + [T.StructField("__z", T.DoubleType())])
     scored = source.mapInArrow(_scorer(spark.sparkContext.broadcast(weights)), schema)
     tails: list[Column] = [1 / (1 + F.exp(F.lit(float(t)) - F.col("__z"))) for t in thresholds]
@@ -158,7 +173,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
     for t in tails[1:]:
         expected = expected + t
     return scored.select(
-        *(F.col(k).alias(n) for k, n in zip(keys, names)), F.col("__z").alias("score"),
+        *handed_on(id_col, keep), F.col("__z").alias("score"),
         *(t.alias(f"p_ge_{i + 1}") for i, t in enumerate(tails)), expected.alias("expected_grade"), (tails[-1] >= least).alias("kept"),
     )
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.texts import WordHashes, binary, gram_hashes
+from loomline.llm.texts import WordHashes, binary, carried, gram_hashes, handed_on
 from loomline.storage import Scratch, bound_batches
 
 SYMBOLS = b"#*$%&|<>"
@@ -113,29 +113,23 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Model:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` to one row per row: id_col, the columns of ``keep``, STATS, base_failed, p_good, kept.
+    """``docs`` to one row per row: id_col, row, STATS, base_failed, p_good, kept.
 
-    A null or blank text has no words and fails the base limits, as does any text
-    under 50 words.  Ties at 0.5 are kept.  Repeated rows are judged alike, each
-    counts in the estimate.  An empty table gives an empty result.  Other columns
-    are ignored, whatever their names.
+    row is a struct of the columns of ``keep``, if any, so their names can't clash.  A
+    null or blank text has no words and fails the base limits, as does any text under
+    50 words.  Very long texts are read whole, one at a time.  Ties at 0.5 are kept.
+    Repeated rows are judged alike, each counts in the estimate.  An empty table gives
+    an empty result.  Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    names = list(dict.fromkeys([id_col, *keep]))
-    keys = [f"__k{i}" for i in range(len(names))]
     columns = [f"__v{i}" for i in range(len(RULES))]
-
-    def votes(width: int) -> DataFrame:
-        source = docs.select(*(F.col(c).alias(k) for c, k in zip(names[:width], keys)), F.col(text_col).alias("__text"))
-        schema = T.StructType([f for f in source.schema if f.name != "__text"] + [T.StructField(s, T.LongType()) for s in STATS])
-        cast = (F.expr(f"case when n_words = 0 then 0 when {bad} then -1 when {good} then 1 else 0 end") for _, good, bad in RULES)
-        return source.mapInArrow(_stats, schema).select("*", *(v.alias(c) for v, c in zip(cast, columns)))
-
-    # the statistics are kept between the two passes; with further columns, which may be texts, they are taken again
-    voted = Scratch(spark).cut(votes(1), "votes") if len(names) == 1 else votes(1)
+    source = docs.select(*carried(id_col, keep), F.col(text_col).alias("__text"))
+    schema = T.StructType([f for f in source.schema if f.name != "__text"] + [T.StructField(s, T.LongType()) for s in STATS])
+    cast = (F.expr(f"case when n_words = 0 then 0 when {bad} then -1 when {good} then 1 else 0 end") for _, good, bad in RULES)
+    # both passes read the written statistics, the first of them the votes alone
+    voted = Scratch(spark).cut(source.mapInArrow(_stats, schema).select("*", *(v.alias(c) for v, c in zip(cast, columns))), "votes")
     patterns = voted.filter("n_words > 0").groupBy(*columns).count().orderBy(*columns).collect()
-    voted = voted if len(names) == 1 else votes(len(names))
     table = np.array([list(r) for r in patterns], float).reshape(-1, len(RULES) + 1)
     start, up, down = weights(*estimate(table[:, :-1], table[:, -1]))
     odds = F.lit(start)
@@ -143,7 +137,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         odds = odds + F.when(F.col(c) == 1, u).when(F.col(c) == -1, d).otherwise(0.0)
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     return voted.withColumn("p_good", 1 / (1 + F.exp(-odds))).select(
-        *(F.col(k).alias(n) for k, n in zip(keys, names)), *STATS, failed.alias("base_failed"), "p_good", (~failed & (F.col("p_good") >= 0.5)).alias("kept"), *(F.col(c).alias(f"vote_{r[0]}") for c, r in zip(columns, RULES)),
+        *handed_on(id_col, keep), *STATS, failed.alias("base_failed"), "p_good", (~failed & (F.col("p_good") >= 0.5)).alias("kept"), *(F.col(c).alias(f"vote_{r[0]}") for c, r in zip(columns, RULES)),
     )
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.texts import binary
+from loomline.llm.texts import binary, carried, handed_on
 from loomline.storage import Scratch, bound_batches
 
 KINDS = ("assign", "access", "hex", "key")
@@ -33,8 +33,8 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 NAMES = (b"passw", b"secret", b"token", b"api")
 #: What every span needs, as a pattern of Spark's rlike.
 NEEDED = r"[A-Za-z0-9+/_-]{20}|(?i:passw|secret|token|api)"
-#: Owners up to which a value counts as theirs, and bits a character of a candidate has at least.
-MAX_OWNERS, BITS = 2, 3.5
+#: Owners and repositories up to which a value counts as theirs, and bits a character of a candidate has at least.
+MAX_OWNERS, MAX_REPOS, BITS = 2, 4, 3.5
 FOUND = "array<struct<start:int,kind:int,stop:int,value:bigint>>"
 
 
@@ -60,8 +60,12 @@ def scan(raw: bytes) -> list[tuple[int, int, int, int]]:
         spans += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
         spans += [(m.start(), 2, m.end(), m[0]) for m in LONG_HEX.finditer(text)]
         taken = sorted((s, e) for s, _, e, _ in spans)
+        at = reach = 0  # both lists are in order: reach is the furthest end of the spans that start ahead of a candidate's end
         for m in KEY.finditer(text):
-            if _keylike(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken):
+            while at < len(taken) and taken[at][0] < m.end():
+                reach = max(reach, taken[at][1])
+                at += 1
+            if reach <= m.start() and _keylike(m[0]):
                 spans.append((m.start(), 3, m.end(), m[0]))
     return sorted((s, k, e, xxhash.xxh3_64_intdigest(v.encode()) - 2**63) for s, k, e, v in spans)
 
@@ -75,38 +79,37 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repo_cols: tuple[str, ...] = ("source", "lang"), keep: tuple[str, ...] = (), max_owners: int = MAX_OWNERS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repo_cols: tuple[str, ...] = ("source", "lang"), keep: tuple[str, ...] = (), max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS
 ) -> DataFrame:
-    """``docs`` to one row per row: id_col, the columns of ``keep``, spans.
+    """``docs`` to one row per row: id_col, row, spans.
 
+    row is a struct of the columns of ``keep``, if any, so their names can't clash.
     spans: start, kind (index into KINDS), stop, n_owners, n_repos, shared; by
     start, then kind; offsets in code points, stop exclusive.  Spans of the first
     three kinds are all there; candidates only if at most max_owners owners hold the
-    value.  shared marks a value that more hold.
+    value, in at most max_repos repositories.  shared marks a value held more widely.
 
-    A null text is empty.  A null owner or repository is one unknown owner.  Rows
+    A null text is empty, very long texts are searched whole.  A null owner or repository is one unknown owner.  Rows
     that repeat are searched each and count once as owners.  An empty table gives
     an empty result; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark)
-    names = list(dict.fromkeys([id_col, *keep]))
-    keys = [f"__k{i}" for i in range(len(names))]
 
     def joined(cols: tuple[str, ...]) -> Column:
         return F.to_json(F.array(*(F.col(c).cast("string") for c in cols)))
 
-    source = docs.select(*(F.col(c).alias(k) for c, k in zip(names, keys)), joined(owner_cols).alias("__owner"), joined(repo_cols).alias("__repo"), F.col(text_col).alias("__text"))
+    source = docs.select(*carried(id_col, keep), joined(owner_cols).alias("__owner"), joined(repo_cols).alias("__repo"), F.col(text_col).alias("__text"))
     schema = T.StructType([f for f in source.schema if f.name != "__text"] + [T.StructField("found", T._parse_datatype_string(FOUND))])
-    scanned = scratch.cut(source.mapInArrow(_scanned, schema).withColumn("__row", F.monotonically_increasing_id()), "scanned")
-    spans = scanned.filter("size(found) > 0").select("__row", "__owner", "__repo", F.inline("found"))
+    scanned = scratch.cut(source.mapInArrow(_scanned, schema).withColumn("__at", F.monotonically_increasing_id()), "scanned")
+    spans = scanned.filter("size(found) > 0").select("__at", "__owner", "__repo", F.inline("found"))
     owners = spans.select("value", "__owner").distinct().groupBy("value").agg(F.count("*").alias("n_owners"))
     repos = spans.select("value", "__repo").distinct().groupBy("value").agg(F.count("*").alias("n_repos"))
-    counted = spans.select("__row", "start", "kind", "stop", "value").join(owners.join(repos, "value"), "value").withColumn("shared", F.col("n_owners") > max_owners)
-    told = counted.filter("kind < 3 or not shared").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "n_owners", "n_repos", "shared"))).alias("spans"))
-    return scanned.select("__row", *keys).join(told, "__row", "left").select(
-        *(F.col(k).alias(n) for k, n in zip(keys, names)),
+    counted = spans.select("__at", "start", "kind", "stop", "value").join(owners.join(repos, "value"), "value").withColumn("shared", (F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos))
+    told = counted.filter("kind < 3 or not shared").groupBy("__at").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "n_owners", "n_repos", "shared"))).alias("spans"))
+    return scanned.drop("__owner", "__repo", "found").join(told, "__at", "left").select(
+        *handed_on(id_col, keep),
         F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,kind:int,stop:int,n_owners:bigint,n_repos:bigint,shared:boolean>>)")).alias("spans"),
     )
 
@@ -130,18 +133,19 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     hold a span are passed through without a shuffle.
     """
     needed = F.coalesce(F.col(text_col).rlike(NEEDED), F.lit(False))
-    kept = [c for c in docs.columns if c != id_col]
-    found = find_secrets(docs.filter(needed), id_col, text_col, keep=tuple(kept), **how)
+    found = find_secrets(docs.filter(needed), id_col, text_col, keep=tuple(docs.columns), **how)
 
     @F.pandas_udf("string")
     def covered(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return _cover(texts, spans, mark)
 
     changed = F.size("spans") > 0
-    new = found.withColumn(text_col, F.when(changed, covered(F.col(text_col), F.col("spans"))).otherwise(F.col(text_col)))
+    was = lambda c: F.col("row")[c]
+    new = found.select("row", changed.alias("changed"), F.when(changed, covered(was(text_col), F.col("spans"))).otherwise(was(text_col)).alias("text"))
+    values = {c: was(c) for c in docs.columns} | {text_col: F.col("text")}
     if length_col in docs.columns:
-        new = new.withColumn(length_col, F.when(changed, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return docs.filter(~needed).unionByName(new.select(*docs.columns))
+        values[length_col] = F.when(F.col("changed"), F.length("text").cast(docs.schema[length_col].dataType)).otherwise(was(length_col))
+    return docs.filter(~needed).unionByName(new.select(*(v.alias(c) for c, v in values.items())))
 
 
 def digest(spans: Column) -> Column:

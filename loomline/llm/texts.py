@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 P = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -64,6 +66,16 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(h)
 
 
+def carried(key: str, keep: tuple[str, ...]) -> list[Column]:
+    """The id as ``__id`` and the kept columns in one struct ``__row``: no name of theirs can clash with a result's."""
+    return [F.col(key).alias("__id"), *([F.struct(*dict.fromkeys(keep)).alias("__row")] if keep else [])]
+
+
+def handed_on(key: str, keep: tuple[str, ...]) -> list[Column]:
+    """What ``carried`` took along: the id under its name, the kept columns in ``row``."""
+    return [F.col("__id").alias(key), *([F.col("__row").alias("row")] if keep else [])]
+
+
 def binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column's UTF-8 values."""
     return batch.column(name).cast(pa.large_binary()).to_pylist()

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.bloom import build, hashes, holds
+from loomline.llm.texts import carried, handed_on
 from loomline.storage import Scratch, bound_batches
 
 #: host, path, verdict
@@ -89,18 +90,18 @@ def listed_urls(urls: DataFrame, listed: DataFrame) -> DataFrame:
     return possible.select(url, F.explode(lookup_keys(url)).alias("key")).join(keys, "key", "left_semi").select("url").distinct()
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", keep: tuple[str, ...] = ("page_id",), rules: tuple = RULES) -> DataFrame:
-    """``pages`` to one row per row: the columns of ``keep``, url, host, path, rule, verdict.
+def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", id_col: str = "page_id", keep: tuple[str, ...] = (), rules: tuple = RULES) -> DataFrame:
+    """``pages`` to one row per row: id_col, row, url, host, path, rule, verdict.
 
+    row is a struct of the columns of ``keep``, if any, so their names can't clash.
     The longest rule (host and path together) that fits decides and is named; else
     rule is null and the verdict is block for a listed URL, allow for any other.  A
     null url, or one without ``://``, has an empty host and path, fits no rule and is
     allowed.  Repeated rows are judged alike.  An empty list blocks nothing, an empty
     table gives an empty result; other columns are ignored, whatever their names.
     """
-    names = [f"__k{i}" for i in range(len(keep))]
     url = F.col("url")
-    rows = pages.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(url_col).alias("url")).withColumns({"host": host_of(url), "path": path_of(url)})
+    rows = pages.select(*carried(id_col, keep), F.col(url_col).alias("url")).withColumns({"host": host_of(url), "path": path_of(url)})
     ordered = sorted(rules, key=lambda r: -len(r[0] + r[1]))
     fits = lambda r: ((F.col("host") == r[0]) | F.col("host").endswith("." + r[0])) & F.col("path").startswith(r[1])
     rule = verdict = F.lit(None).cast("string")
@@ -108,7 +109,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", keep:
         rule, verdict = F.when(fits(r), r[0] + r[1]).otherwise(rule), F.when(fits(r), r[2]).otherwise(verdict)
     bad = listed_urls(rows.select("url"), listed).withColumn("bad", F.lit(True))
     return rows.join(bad, "url", "left").select(
-        *(F.col(n).alias(c) for c, n in zip(keep, names)), "url", "host", "path", rule.alias("rule"),
+        *handed_on(id_col, keep), "url", "host", "path", rule.alias("rule"),
         F.coalesce(verdict, F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"),
     )
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.texts import WordHashes, binary, gram_hashes
+from loomline.llm.texts import WordHashes, binary, carried, gram_hashes, handed_on
 from loomline.storage import Scratch, bound_batches
 
 WINDOW, GRAM = 10, 5
@@ -140,8 +140,9 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``docs`` to one row per row: id_col, the columns of ``keep``, n_words, spans, items.
+    """``docs`` to one row per row: id_col, row, n_words, spans, items.
 
+    row is a struct of the columns of ``keep``, if any, so their names can't clash.
     spans are the word ranges (end exclusive) that lie in occurrences of a window,
     merged; items the ids of the items whose windows occur, sorted as strings.  A
     null text has no words.  Items without words match nothing; a null item id
@@ -150,10 +151,8 @@ def decontaminate(
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    names = list(dict.fromkeys([id_col, *keep]))
-    keys = [f"__k{i}" for i in range(len(names))]
     out = docs.select(
-        *(F.col(c).alias(k) for c, k in zip(names, keys)), F.lit(0).cast("long").alias("n_words"),
+        *carried(id_col, keep), F.lit(0).cast("long").alias("n_words"),
         F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), F.col(text_col).alias("__text"),
     )
     scratch = None
@@ -162,7 +161,7 @@ def decontaminate(
             out = scratch.cut(out, "searched")
         scratch = scratch or Scratch(spark)
         out = out.mapInArrow(_adder(spark.sparkContext.broadcast(Index(part))), out.schema)
-    return out.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), "n_words", "spans", "items")
+    return out.select(*handed_on(id_col, keep), "n_words", "spans", "items")
 
 
 def _adder(index) -> Callable:

@@ -56,6 +56,24 @@ def test_edges(spark, tmp_path):
             assert stage(spark, table, str(tmp_path)).count() >= 0
 
 
+def test_clashing_columns(spark, tmp_path):
+    """Columns named like the operators' own results are handed on as they are."""
+    names = ("kept", "n_words", "items", "spans", "score", "host", "row", "text_", "__row", "__id", "number", "changed", "id", "n", "component", "sequence_id")
+    text = " ".join(f"Word{i % 60} of the text." for i in range(90)) + " password = abcdef123456"
+    rows = [(1, text, "en", "s", len(text), *names), (2, text, "en", "s", len(text), *names), (3, text + " x", "en", "t", len(text) + 2, *([None] * len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([("1", "some other words that are in no document of this table at all")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        found = sorted(got.collect(), key=lambda r: r["doc_id"])
+        assert found if name == "minhash_dedup" else len(found) in (0, 3)
+        for r in found:
+            want = rows[r["doc_id"] - 1]
+            assert tuple(r[n] for n in names) == tuple(want[5:]) and r["source"] == want[3]
+    assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 3
+
+
 def test_near_dedup_by_row(spark):
     """Ids that repeat or are null: one row of each group stays, and no text is lost."""
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(80))

@@ -1,9 +1,12 @@
 """Statistics against plain Python, verdicts against labels, estimates against known rates."""
 
+import math
 from collections import Counter
 
 import numpy as np
+import pytest
 
+from loomline.llm import ordinal
 from loomline.llm.ordinal import fit, op10_ordinal, score, train
 from loomline.llm.quality_rules import estimate, judge, op2_quality_rules, posterior
 
@@ -43,7 +46,7 @@ def test_edges(spark):
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     for i, t in enumerate(texts):
         assert tuple(got[i][n] for n in names) == brute(t)
-        assert got[i]["text"] == t
+        assert got[i]["row"]["text"] == t
     assert judge(df.limit(0)).count() == 0
 
 
@@ -86,6 +89,33 @@ def test_ordinal_fit():
     assert fit([], np.array([], int))[0].sum() == 0
 
 
+def test_ordinal_against_plain_descent(monkeypatch):
+    """Weights and thresholds minimise the penalised likelihood: plain descent on numerical slopes from them finds nothing better."""
+    monkeypatch.setattr(ordinal, "DIMENSIONS", 6)
+    monkeypatch.setattr(ordinal, "STEPS", 4000)
+    rng = np.random.default_rng(8)
+    rows = [np.flatnonzero(rng.random(6) < 0.5).astype(np.int32) for _ in range(60)]
+    grades = np.array([min(2, int((3 in r) + (4 in r) + (rng.random() < 0.2))) for r in rows])
+
+    def loss(p):
+        w, cut = p[:6], np.array([p[6], p[6] + math.exp(p[7])])
+        total = 0.0
+        for r, g in zip(rows, grades):
+            tail = [1.0, *(1 / (1 + math.exp(c - sum(w[i] for i in r))) for c in cut), 0.0]
+            total -= math.log(tail[g] - tail[g + 1])
+        return total / len(rows) + ordinal.DECAY / 2 * sum(x * x for x in w)
+
+    weights, thresholds = fit(rows, grades)
+    found = loss(np.array([*weights, thresholds[0], math.log(thresholds[1] - thresholds[0])]))
+    p = np.array([0.0] * 6 + [0.0, 0.0])
+    for _ in range(3000):
+        slope = np.array([(loss(p + e) - loss(p - e)) / 2e-5 for e in 1e-5 * np.eye(8)])
+        p = p - 0.8 * slope
+        if np.abs(slope).max() < 1e-5:
+            break
+    assert found <= loss(p) + 1e-3
+
+
 def test_ordinal_held_out(spark):
     """Trained on the labels of even ids, right on odd ones."""
     sf = "/root/testdata/sf0.1"
