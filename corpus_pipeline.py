@@ -1,7 +1,11 @@
 """A cleaning run over ``documents``: judged, deduplicated, decontaminated, rid of secrets, packed.
 
 Each stage takes what the one before it kept, as Parquet, and its decisions take
-effect.  All but the last return the columns of ``documents``.
+effect.  All but the last return the columns of ``documents`` and any others that the
+table has, whatever their names.  Null and blank texts are no documents of quality and
+go in the first stage; behind it they would stay.  Rows are judged one by one, so ids
+may repeat or be null: near-duplicates leave one row of each group.  Very long texts
+are read whole.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from loomline.storage import Scratch
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose rules' posterior is for good; those that fail the base limits go too."""
-    return judge(docs, keep=tuple(docs.columns)).filter("kept").select(*docs.columns)
+    return judge(docs, keep=tuple(docs.columns)).filter("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +32,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are numbered in the order of their ids, and groups are made of these numbers, so ids may repeat or be null.
     """
     order = (F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    rows = Scratch(spark).cut(docs.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    kept = near_duplicates(rows, "__row").filter("kept").select("__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    numbered = docs.orderBy(*order).select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number"))
+    rows = Scratch(spark).cut(numbered, "rows")
+    kept = near_duplicates(rows.select("number", "row.text"), "number").filter("kept").select("number")
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.filter("size(items) = 0").select(*docs.columns)
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
+    return found.filter("size(items) = 0").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
