@@ -3,15 +3,17 @@
 A window is 10 consecutive words of an item.  Both sides hash their 5-word grams
 and keep the smallest hash of each 6 consecutive ones; two texts that share a run
 of 5 + 6 - 1 = 10 words keep the same gram of it, so every shared window is met.
-Document fingerprints are joined with the benchmark's in an index that each task
-holds; at a hit the match is extended to the windows around it, which are looked
-up by their own hash and compared word by word.
+Document fingerprints are joined with the benchmark's; at a hit the match is extended
+to the windows around it, which are looked up by their own hash and compared word by
+word.
 
 An item of fewer than 10 words is one window of its own length m; its fingerprint
 is its only m-gram, and documents are searched at every such m.
 
-The index is broadcast in parts of a fixed number of benchmark bytes: a larger
-benchmark takes further passes, one after the other, and no part grows with it.
+A benchmark of at most INDEX_BYTES is joined by an index that each task holds, in one
+pass over the documents.  A larger one is winnowed in tasks and joined by shuffles:
+documents' distinct fingerprints with the benchmark's, then the windows around the hits,
+with their words, with the benchmark's windows.  Both give the same rows.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.texts import WordHashes, binary, carried, gram_hashes, handed_on
+from loomline.llm.texts import WordHashes, binary, carried, gram_hashes, handed_on, signed
 from loomline.storage import Scratch, bound_batches
 
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
-#: Benchmark bytes of one broadcast part.
-PART_BYTES = 8 << 20
+#: Benchmark bytes up to which every task holds the index.
+INDEX_BYTES = 8 << 20
 
 #: 0-9, a-z and every byte of a character beyond ASCII are of words; A-Z are lower-cased.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -124,17 +126,99 @@ def _runs(mask: np.ndarray) -> list[dict]:
     return [{"start": a, "stop": b} for a, b in zip(step[::2].tolist(), step[1::2].tolist())]
 
 
-def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
-    """Items in parts of PART_BYTES at most, read from the table partition by partition."""
-    part, size = [], 0
-    for r in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).filter(f"`{text_col}` is not null").toLocalIterator():
-        text = r[1].encode()
-        if part and size + len(text) > PART_BYTES:
-            yield part
-            part, size = [], 0
-        part.append((r[0] or "", text))
-        size += len(text)
-    yield part
+def _windows_of(items: DataFrame) -> DataFrame:
+    """``items(item, text)`` to the distinct (m, print, w, words, item) of all their windows; a fingerprint is told by the window that keeps it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), binary(batch, "text")):
+                words = words_of(text)
+                if not words:
+                    continue
+                m = min(WINDOW, len(words))
+                h = memo.of(words)
+                grams = gram_hashes(h, GRAM if m == WINDOW else m)
+                prints, whole = winnow(grams) if m == WINDOW else grams, gram_hashes(h, m)
+                for i in range(0, len(whole), 10_000):
+                    part = range(i, min(i + 10_000, len(whole)))
+                    texts = pa.array([b" ".join(words[k : k + m]) for k in part], pa.binary())
+                    k = len(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([m] * k, pa.int32()), pa.array(signed(prints[i : i + k])), pa.array(signed(whole[i : i + k])), texts, pa.array([item] * k, pa.string())],
+                        ["m", "print", "w", "words", "item"],
+                    )
+
+    return items.mapInArrow(run, "m int, print bigint, w bigint, words binary, item string").distinct()
+
+
+def _prints_of(lengths: list[int]):
+    """Distinct (row, m, print) of each text, for windows of these lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            for row, text in zip(batch.column("row").to_pylist(), binary(batch, "text")):
+                h = memo.of(words_of(text or b""))
+                for m in lengths:
+                    found = np.unique(winnow(gram_hashes(h, GRAM)) if m == WINDOW else gram_hashes(h, m))
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row)), pa.array(np.full(len(found), m, np.int32)), pa.array(signed(found))], ["row", "m", "print"])
+
+    return run
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows (row, m, w, words, starts) of each text whose fingerprint is in its list, each distinct window once."""
+    memo = WordHashes()
+    kinds = [("row", pa.int64()), ("m", pa.int32()), ("w", pa.int64()), ("words", pa.binary()), ("starts", pa.list_(pa.int32()))]
+    for batch in batches:
+        for row, text, hits in zip(batch.column("row").to_pylist(), binary(batch, "text"), batch.column("hits").to_pylist()):
+            words = words_of(text or b"")
+            h = memo.of(words)
+            found: dict[tuple, list[int]] = defaultdict(list)
+            for m in sorted({x["m"] for x in hits}):
+                keys = np.sort(np.array([x["print"] for x in hits if x["m"] == m], np.int64).view(np.uint64))
+                at = np.flatnonzero(_among(winnow(gram_hashes(h, GRAM)) if m == WINDOW else gram_hashes(h, m), keys))
+                for s, w in zip(at.tolist(), signed(gram_hashes(h, m)[at]).tolist()):
+                    found[m, w, b" ".join(words[s : s + m])].append(s)
+            if found:
+                columns = [[row] * len(found), *zip(*found.keys()), list(found.values())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], [n for n, _ in kinds])
+
+
+def _joined(out: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
+    """``out`` with the spans and items of its texts, by shuffles."""
+    out = scratch.cut(out.withColumn("__at", F.monotonically_increasing_id()), "texts")
+    windows = scratch.cut(_windows_of(items), "windows")
+    texts = out.select(F.col("__at").alias("row"), F.col("__text").alias("text"))
+    lengths = sorted(r[0] for r in windows.select("m").distinct().collect())  # WINDOW at most
+    hits = texts.mapInArrow(_prints_of(lengths), "row bigint, m int, print bigint").join(windows.select("m", "print").distinct(), ["m", "print"], "left_semi")
+    hits = hits.groupBy("row").agg(F.collect_set(F.struct("m", "print")).alias("hits"))
+    around = scratch.cut(texts.join(hits, "row").mapInArrow(_around, "row bigint, m int, w bigint, words binary, starts array<int>"), "around")
+    known = windows.select("m", "w", "words").distinct()
+    spans = around.join(known, ["m", "w", "words"], "left_semi").select("row", "m", F.explode("starts").alias("start"))
+    spans = spans.groupBy("row").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("m")).alias("stop"))).alias("spans"))
+    names = around.select("row", "m", "w", "words").join(windows.select("m", "w", "words", "item").distinct(), ["m", "w", "words"]).groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(out.schema[c].dataType))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, merged = [], []
+            for text, found in zip(binary(batch, "__text"), batch.column("spans").to_pylist()):
+                n = len(words_of(text or b""))
+                mask = np.zeros(n, bool)
+                for s in found:
+                    mask[s["start"] : s["stop"]] = True
+                sizes.append(n)
+                merged.append(_runs(mask))
+            new = {"n_words": pa.array(sizes, pa.int64()), "spans": pa.array(merged, batch.schema.field("spans").type)}
+            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
+
+    rest = [c for c in out.columns if c not in ("spans", "items", "__at")]
+    done = out.drop("spans", "items").join(spans.withColumnRenamed("row", "__at"), "__at", "left").join(names.withColumnRenamed("row", "__at"), "__at", "left")
+    done = done.select(*rest, none("spans").alias("spans"), none("items").alias("items"))
+    return done.mapInArrow(counted, done.schema)
 
 
 def decontaminate(
@@ -145,7 +229,7 @@ def decontaminate(
     row is a struct of the columns of ``keep``, if any, so their names can't clash.
     spans are the word ranges (end exclusive) that lie in occurrences of a window,
     merged; items the ids of the items whose windows occur, sorted as strings.  A
-    null text has no words.  Items without words match nothing; a null item id
+    null text has no words, very long ones are searched whole.  Items without words match nothing; a null item id
     counts as the empty name, and rows that repeat an item id are one item.  An
     empty benchmark hits nothing.  Other columns are ignored, whatever their names.
     """
@@ -155,12 +239,13 @@ def decontaminate(
         *carried(id_col, keep), F.lit(0).cast("long").alias("n_words"),
         F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), F.col(text_col).alias("__text"),
     )
-    scratch = None
-    for part in _parts(benchmark, item_col, item_text_col):
-        if scratch is not None:  # else one task would hold the indexes of all parts
-            out = scratch.cut(out, "searched")
-        scratch = scratch or Scratch(spark)
-        out = out.mapInArrow(_adder(spark.sparkContext.broadcast(Index(part))), out.schema)
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size <= INDEX_BYTES:
+        index = Index([(r["item"], r["text"].encode()) for r in items.collect()])
+        out = out.mapInArrow(_adder(spark.sparkContext.broadcast(index)), out.schema)
+    else:
+        out = _joined(out, items, Scratch(spark))
     return out.select(*handed_on(id_col, keep), "n_words", "spans", "items")
 
 
@@ -170,14 +255,12 @@ def _adder(index) -> Callable:
         memo = WordHashes()
         for batch in batches:
             sizes, spans, items = [], [], []
-            for text, before, had in zip(binary(batch, "__text"), batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
+            for text in binary(batch, "__text"):
                 words = words_of(text or b"")
                 mask, names = table.search(words, memo.of(words))
-                for s in before:
-                    mask[s["start"] : s["stop"]] = True
                 sizes.append(len(words))
                 spans.append(_runs(mask))
-                items.append(sorted(names.union(had)))
+                items.append(sorted(names))
             new = {"n_words": pa.array(sizes, pa.int64()), "spans": pa.array(spans, batch.schema.field("spans").type), "items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in batch.schema.names], batch.schema.names)
 

@@ -64,9 +64,18 @@ def test_short_null_and_repeated(spark):
     check(spark, DOCS, ITEMS)
 
 
-def test_parts(spark, monkeypatch):
-    monkeypatch.setattr(winnowing, "PART_BYTES", 30)
+def test_larger_benchmark(spark, sf_dir, monkeypatch):
+    """Joined by shuffles, the rows are the same."""
+    want = sorted(map(str, op8_winnowing(spark, sf_dir).collect()))
+    monkeypatch.setattr(winnowing, "INDEX_BYTES", 0)
     check(spark, DOCS, ITEMS)
+    check(spark, [], ITEMS)
+    assert sorted(map(str, op8_winnowing(spark, sf_dir).collect())) == want
+
+
+def test_very_long_text(spark):
+    long = [f"v{i % 9973}" for i in range(400_000)]
+    check(spark, [(1, " ".join(long)), (2, "y" * 2_000_000)], [(1, " ".join(long[300_000:300_014])), (2, "yy")])
 
 
 def test_empty_tables(spark):
