@@ -14,7 +14,11 @@ different components.  The members of such buckets are joined by prefixes: with
 shingles in order of rarity, two sets at J >= t share one of the first
 n - ceil(t n) + 1 of each, whatever the order is, and behind the first shared one
 there must be room for the intersection, so nothing is lost; documents that merely
-have a common passage differ in all their rare shingles and don't meet.  A bucket of thousands of near copies costs one comparison for each of them.
+have a common passage differ in all their rare shingles and don't meet.  A bucket of
+thousands of near copies costs one comparison for each of them.  Shingles that many
+prefixes hold stand at their ends, where there is room for partners of few sizes only:
+such postings are joined by shingle and size class, so documents that share nearly
+enough, but not enough, don't meet in pairs either.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.texts import P, WordHashes, binary, gram_hashes, lists, mixed, rows, signed
@@ -35,6 +39,8 @@ from loomline.storage import Scratch, bound_batches
 PERMUTATIONS, BAND, SHINGLE = 64, 4, 5
 #: Counters of the sketch that orders shingles by rarity.
 COUNTERS = 1 << 20
+#: Prefixes up to which a shingle's postings are joined by the shingle alone; size classes of a doubling.
+RARE, CLASSES = 50, 64
 #: Ids up to which the side that selects candidate texts is broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -151,6 +157,11 @@ class _Confirm:
         return out
 
 
+def _size_class(n: Column) -> Column:
+    """Grows with n; exact below CLASSES, about a hundredth wide above."""
+    return F.when(n < CLASSES, n).otherwise(CLASSES + F.floor(CLASSES * F.log2(n / CLASSES))).cast("int")
+
+
 def _meetings(source: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of ``nodes(id, own, apart)`` in different components that share a prefix shingle; one of them is apart."""
     small = nodes.count() <= BROADCAST_IDS
@@ -165,7 +176,13 @@ def _meetings(source: DataFrame, nodes: DataFrame, percent: int, scratch: Scratc
     sizes = (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
     # at a pair's first common shingle, what is left of both sets can still hold the intersection that is needed
     room = F.least("lx", "ly") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
-    met = one.join(other, "token").filter((F.col("ox") != F.col("oy")) & sizes & room & (~F.col("ay") | (F.col("x") < F.col("y"))))
+    # partners' sizes for which there is room behind a posting
+    least, most = F.ceil(F.col("nx") * percent / 100), F.least(F.floor(F.col("lx") * (100 + percent) / percent) - F.col("nx"), F.floor(F.col("nx") * 100 / percent))
+    hot = scratch.cut(tokens.groupBy("token").count().filter(F.col("count") > RARE).select("token"), "hot")
+    classed = one.join(hot, "token", "left_semi").filter(least <= most).withColumn("class", F.explode(F.sequence(_size_class(least), _size_class(most))))
+    often = classed.join(other.join(hot, "token", "left_semi").withColumn("class", _size_class(F.col("ny"))), ["token", "class"]).drop("class")
+    rare = one.join(hot, "token", "left_anti").join(other, "token")
+    met = rare.unionByName(often).filter((F.col("ox") != F.col("oy")) & sizes & room & (~F.col("ay") | (F.col("x") < F.col("y"))))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -179,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null or blank text has no shingles and is its own component.  id_col must be
     an integer that names a document: rows that repeat an id with the same text get
     the same result each (so both are kept), and rows that repeat it with another
-    text are compared under that one id.  A row without an id cannot be named by a
+    text are compared under that one id.  Very long texts are hashed whole.  A row without an id cannot be named by a
     link: its component is null and it is kept.  An empty table gives an empty
     result; other columns are ignored.
     """

@@ -1,10 +1,13 @@
 """Groups against all pairs compared exactly."""
 
+import random
 from itertools import combinations
 
 import pandas as pd
 
+from loomline.llm import minhash
 from loomline.llm.minhash import near_duplicates, op1_minhash
+from loomline.storage import Scratch
 
 
 def shingles(text):
@@ -59,6 +62,50 @@ def test_chain_copies_and_edges(spark):
     assert result(near_duplicates(df)) == brute(rows)
 
 
+def test_near_the_limit(spark, monkeypatch):
+    """Many documents that share a passage and are about as alike as the limit, of many sizes."""
+    monkeypatch.setattr(minhash, "RARE", 3)
+    r = random.Random(11)
+    core = [f"c{i}" for i in range(84)]
+    rows = []
+    for i in range(160):
+        own = [f"o{i}_{j}" for j in range(r.randrange(0, 30))]
+        rows.append((i, " ".join([*own[: len(own) // 2], *core[: r.randrange(78, 85)], *own[len(own) // 2 :]])))
+    long = [f"l{i}" for i in range(3000)]
+    for i in range(20):
+        words = list(long)
+        for k in range(r.randrange(0, 130)):
+            words[r.randrange(3000)] = f"n{i}_{k}"
+        rows.append((500 + i, " ".join(words)))
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert result(near_duplicates(df)) == brute(rows)
+
+
+def test_no_pairs_below_the_limit(spark, tmp_path):
+    """Documents of one size that share 80 of 96 shingles (J = 0.71) don't meet in pairs."""
+    scratch = Scratch(spark)
+    n = 300
+    rows = [(i, " ".join([f"o{i}_{j}" for j in range(16)] + [f"c{j}" for j in range(84)]), i, True) for i in range(n)]
+    source = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "id bigint, text string")
+    nodes = spark.createDataFrame([(i, o, a) for i, _, o, a in rows], "id bigint, own bigint, apart boolean")
+    met = minhash._meetings(source, nodes, 75, scratch)
+    assert met.count() == 0
+    plan = met._jdf.queryExecution()
+    joined = []
+    todo = [plan.executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if "QueryStage" in node.nodeName():
+            node = node.plan()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            joined.append(node.metrics().apply("numOutputRows").value())
+    assert max(joined, default=0) < 60 * n
+
+
 def test_repeated_null_and_clashing_columns(spark):
     df = spark.createDataFrame(
         [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "a b c d e f", "z"), (3, "A B C D E F", None)],
