@@ -10,7 +10,7 @@ from loomline.llm.passages import op4_passages
 from loomline.llm.quality_rules import op2_quality_rules
 from loomline.llm.secrets import op3_secrets
 from loomline.llm.sharding import op7_jump_hash
-from loomline.llm.url_filter import LISTED, op9_url_filter
+from loomline.llm.url_filter import ENDINGS, MIRRORS, SITES, op9_url_filter
 from loomline.llm.winnowing import op8_winnowing
 
 QUERIES = {
@@ -26,11 +26,14 @@ QUERIES = {
     "op10_ordinal": op10_ordinal,
 }
 
-_SITES = ", ".join(f"'{u.removeprefix('http://').rstrip('/')}'" for u in LISTED)
+_LISTED = f"""listed as (
+            select site || case when n > 0 then cast(n as varchar) else '' end || '.example.' || ending as host
+            from unnest({list(SITES)}) as s(site), unnest({list(ENDINGS)}) as e(ending), range({MIRRORS + 1}) as r(n)
+        )"""
 
 ORACLES: dict[str, str] = {
     "op9_url_filter": rf"""
-        with p as (
+        with {_LISTED}, p as (
             select page_id, url,
                    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
                    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
@@ -46,7 +49,7 @@ ORACLES: dict[str, str] = {
         )
         select page_id, host, path, rule,
                case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
-                    when regexp_extract(regexp_replace(host, ':[0-9]*$|\.$', ''), '([^.]+\.example\.[a-z]+)$', 1) in ({_SITES}) then 'block'
+                    when regexp_extract(regexp_replace(host, ':[0-9]*$|\.$', ''), '([^.]+\.example\.[a-z]+)$', 1) in (select host from listed) then 'block'
                     else 'allow' end as verdict
         from r
     """,

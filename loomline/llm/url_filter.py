@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.bloom import build, hashes, holds
@@ -26,12 +26,8 @@ from loomline.storage import Scratch, bound_batches
 
 #: host, path, verdict
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Sites that are listed as a whole.
-LISTED = tuple(
-    f"http://{site}.example.{top}/"
-    for site in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-    for top in ("com", "net", "org")
-)
+#: Sites that the query lists as a whole, with so many numbered mirrors of each, below each ending.
+SITES, ENDINGS, MIRRORS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"), ("com", "net", "org"), 3000
 
 
 def host_of(url: Column) -> Column:
@@ -78,16 +74,30 @@ def _tester(table):
     return test
 
 
+def site_list(spark: SparkSession, mirrors: int = MIRRORS) -> DataFrame:
+    """The query's list: ``url`` of every site and of its mirrors, site1, site2 and so on."""
+    n, sites, endings = F.col("id"), F.array(*map(F.lit, SITES)), F.array(*map(F.lit, ENDINGS))
+    pick = lambda values, i: F.get(values, i.cast("int"))
+    number = F.floor(n / (len(SITES) * len(ENDINGS)))
+    host = F.concat(pick(sites, n % len(SITES)), F.when(number > 0, number.cast("string")).otherwise(""), F.lit(".example."), pick(endings, F.floor(n / len(SITES)) % len(ENDINGS)))
+    return spark.range((mirrors + 1) * len(SITES) * len(ENDINGS)).select(F.concat(F.lit("http://"), host, F.lit("/")).alias("url"))
+
+
+def possible_urls(urls: DataFrame, table) -> DataFrame:
+    """The distinct urls of ``urls(url)`` of which a lookup key may be in a broadcast filter."""
+    url = F.col("url")
+    hashed = urls.filter(url.isNotNull()).distinct().select(url, F.transform(lookup_keys(url), lambda k: F.struct(*hashes(k))).alias("hashes"))
+    return hashed.mapInArrow(_tester(table), "url string")
+
+
 def listed_urls(urls: DataFrame, listed: DataFrame) -> DataFrame:
     """The distinct urls of ``urls(url)`` of which a lookup key is in ``listed(url)``."""
     bound_batches(urls.sparkSession)
     keys = listed.select(canonical(host_of(F.col("url")), path_of(F.col("url"))).alias("key")).filter("key <> '/'").distinct()
     keys = Scratch(urls.sparkSession).cut(keys, "listed")
     table = urls.sparkSession.sparkContext.broadcast(build(keys, "key"))
-    url = F.col("url")
-    hashed = urls.filter(url.isNotNull()).distinct().select(url, F.transform(lookup_keys(url), lambda k: F.struct(*hashes(k))).alias("hashes"))
-    possible = hashed.mapInArrow(_tester(table), "url string")
-    return possible.select(url, F.explode(lookup_keys(url)).alias("key")).join(keys, "key", "left_semi").select("url").distinct()
+    found = possible_urls(urls, table).select("url", F.explode(lookup_keys(F.col("url"))).alias("key"))
+    return found.join(keys, "key", "left_semi").select("url").distinct()
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", id_col: str = "page_id", keep: tuple[str, ...] = (), rules: tuple = RULES) -> DataFrame:
@@ -97,7 +107,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", id_co
     The longest rule (host and path together) that fits decides and is named; else
     rule is null and the verdict is block for a listed URL, allow for any other.  A
     null url, or one without ``://``, has an empty host and path, fits no rule and is
-    allowed.  Repeated rows are judged alike.  An empty list blocks nothing, an empty
+    allowed; very long ones are read whole.  Repeated rows are judged alike.  An empty list blocks nothing, an empty
     table gives an empty result; other columns are ignored, whatever their names.
     """
     url = F.col("url")
@@ -115,5 +125,4 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", id_co
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(u,) for u in LISTED], "url string")
-    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), listed).drop("url")
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), site_list(spark)).drop("url")

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.llm.packing import ANYWHERE, LENGTH, SENTENCE, best_cuts, op6_packing, pack_documents, vocabulary_path
 from loomline.llm.sharding import jump_shard, op7_jump_hash, shard
@@ -121,6 +122,33 @@ def test_urls(spark, sf_dir):
     assert sorted(str(tuple(r)) for r in op9_url_filter(spark, sf_dir).collect()) == want
 
 
+def test_the_join_removes_false_positives(spark):
+    """The filter lets some unlisted URLs through, never stops a listed one; the join drops the former."""
+    from loomline.llm.bloom import build
+    from loomline.llm.url_filter import canonical, host_of, listed_urls, path_of, possible_urls, site_list
+
+    listed = site_list(spark, 500)
+    assert listed.distinct().count() == listed.count() == 501 * 18
+    urls = spark.range(30_000).selectExpr("concat('http://host', id, '.example.com/', id) as url").union(listed)
+    url = F.col("url")
+    table = spark.sparkContext.broadcast(build(listed.select(canonical(host_of(url), path_of(url)).alias("key")), "key"))
+    maybe, sure = possible_urls(urls, table), listed_urls(urls, listed)
+    assert {r[0] for r in sure.collect()} == {r[0] for r in listed.collect()} < {r[0] for r in maybe.collect()}
+    assert maybe.count() < 1.2 * listed.count()
+
+
+def test_jump_hash_against_the_plain_loop(spark):
+    """Shards of 1 to 60 against a loop over the same random numbers."""
+    keys = spark.range(150).crossJoin(spark.range(1, 61).toDF("step")).selectExpr("id", "step", "(shiftrightunsigned(xxhash64(id, cast(step as int)), 33) + 1) / 2147483648D as u")
+    draws = {(r["id"], r["step"]): r["u"] for r in keys.collect()}
+    for shards in (1, 2, 9, 10, 11, 40, 60):
+        for r in spark.range(150).select("id", jump_shard(F.col("id"), shards).alias("shard")).collect():
+            b, j, step = -1, 0, 1
+            while j < shards:
+                b, j, step = j, math.floor((j + 1) / draws[r["id"], step]), step + 1
+            assert r["shard"] == b
+
+
 def test_url_cases(spark):
     urls = [
         None, "", "no scheme", "HTTP://A.EXAMPLE.NET/en/x", "x://net", "x://net/", "x://a.net?q", "x://example.org/fr/1", "x://example.com/de/", "x://myexample.com/de/", "http://u@www.bad.com:80/index.html?x#y",
