@@ -119,8 +119,27 @@ def cache_key(url: Column) -> Column:
     return F.substring(F.sha2(url, 256), 1, 16)
 
 
-def content_hash(text: Column, footer: str = r"(?m)^Rev(?:ision)? .*$") -> Column:
-    return F.substring(F.sha2(F.trim(F.regexp_replace(text, footer, "")), 256), 1, 12)
+def content_hash(text: Column, mark: str) -> Column:
+    """Twelve hex digits of a text without its footers (lines `_mark ..._`) and outer white space."""
+    body = F.regexp_replace(text, rf"(?md)^_{mark}\b.*_\s*$", "")
+    return F.substring(F.sha2(stripped(body), 256), 1, 12)
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at the ends, Unicode's and the four separators 0x1C to 0x1F."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+def footer_name(text: Column, mark: str) -> Column:
+    """The name in the first footer, else null."""
+    name = F.regexp_extract(text, rf"(?d)_{mark} · (.+?) · rev", 1)
+    return F.when(name != "", stripped(name))
+
+
+def footer_date(text: Column) -> Column:
+    """The date behind `rev`, with or without a number, else null."""
+    date = F.regexp_extract(text, r"rev (?:\d+ · )?(\d{4}-\d{2}-\d{2})", 1)
+    return F.when(date != "", date)
 
 
 def script_of(c: Column) -> Column:
@@ -153,11 +172,12 @@ def page_title(href: Column) -> Column:
     return F.translate(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), "_", " ")
 
 
-def page_ranges(spec: Column) -> Column:
-    """`12,40-55` as an array of page numbers, in order."""
+def page_ranges(spec: Column, total: Column | None = None) -> Column:
+    """`12,40-55` as an array of page numbers, in order; with ``total`` those from 1 to it."""
     parts = F.filter(F.split(spec, r"\s*,\s*"), lambda x: x.rlike(r"^\s*\d+(\s*-\s*\d+)?\s*$"))
     ends = F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, "-", 1)).cast("int").alias("a"), F.trim(F.substring_index(x, "-", -1)).cast("int").alias("b")))
-    return F.flatten(F.transform(F.filter(ends, lambda e: e["a"] <= e["b"]), lambda e: F.sequence(e["a"], e["b"])))
+    pages = F.flatten(F.transform(F.filter(ends, lambda e: e["a"] <= e["b"]), lambda e: F.sequence(e["a"], e["b"])))
+    return pages if total is None else F.filter(pages, lambda p: (p >= 1) & (p <= total))
 
 
 def kineme(articulator: Column, side: Column, verb: Column, magnitude: Column, effort: Column) -> Column:

@@ -26,21 +26,31 @@ def pair_tier(a: Column, b: Column) -> Column:
     return F.when(fits, F.when(full & middles, "high").otherwise("medium"))
 
 
+def named(native: Column) -> Column:
+    """A native name; an empty one is none."""
+    return F.when(native != "", native)
+
+
+def last_of(tokens: Column) -> Column:
+    return F.get(tokens, F.size(tokens) - 1)
+
+
 def candidate_pairs(names: DataFrame) -> DataFrame:
     """Pairs (a, b, tier) of names(id, tokens, native) that share the last token or the native name.
 
     Names are first reduced to distinct token sequences, so copies of one name meet
-    once and are linked to their first id; a surname that many names share is split
-    by adaptive execution.
+    once and are linked to their first id.  First tokens that fit share their first
+    letter, so blocks are of that and the last token; a block that many names share is
+    split by adaptive execution.
     """
     whole = names.filter("size(tokens) >= 2")
     same = whole.groupBy("tokens").agg(F.min("id").alias("id"))
-    copies = whole.join(same.withColumnRenamed("id", "a"), "tokens").select("a", F.col("id").alias("b")).filter("a <> b").withColumn("tier", F.lit("high"))
-    block = same.select("id", "tokens", F.element_at("tokens", -1).alias("block"))
-    one, other = block.select("block", F.col("id").alias("x"), F.col("tokens").alias("tx")), block.select("block", F.col("id").alias("y"), F.col("tokens").alias("ty"))
-    pairs = one.join(other, "block").filter("x < y").withColumn("tier", pair_tier(F.col("tx"), F.col("ty"))).filter("tier is not null")
+    copies = whole.join(same.withColumnRenamed("id", "a"), "tokens").select("a", F.col("id").alias("b"), pair_tier(F.col("tokens"), F.col("tokens")).alias("tier")).filter("a <> b")
+    block = same.select("id", "tokens", last_of(F.col("tokens")).alias("last"), F.substring(F.get("tokens", 0), 1, 1).alias("letter"))
+    one, other = block.select("last", "letter", F.col("id").alias("x"), F.col("tokens").alias("tx")), block.select("last", "letter", F.col("id").alias("y"), F.col("tokens").alias("ty"))
+    pairs = one.join(other, ["last", "letter"]).filter("x < y").withColumn("tier", pair_tier(F.col("tx"), F.col("ty"))).filter("tier is not null")
     linked = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "tier")
-    written = names.filter("native is not null")
+    written = names.withColumn("native", named(F.col("native"))).filter("native is not null")
     native = written.join(written.groupBy("native").agg(F.min("id").alias("a")), "native").select("a", F.col("id").alias("b")).filter("a <> b")
     return linked.unionByName(copies).unionByName(native.withColumn("tier", F.lit("high")))
 
@@ -52,23 +62,46 @@ def tokens_of(names: DataFrame, id_col: str, name_col: str, native_col: str | No
     )
 
 
+def _unlike(placed: DataFrame) -> DataFrame:
+    """(component) of those in which some two names aren't a high pair, told by counts: no pair is made.
+
+    All names need two tokens, one last and one full first token; the middles that
+    aren't empty need one length, and at each of their places one full word and its
+    initial at most.
+    """
+    tokens, first = F.col("tokens"), F.get("tokens", 0)
+    middle = F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0)))
+    whole = placed.groupBy("component").agg(
+        (F.min(F.size(tokens)) < 2).alias("short"), F.min(last_of(tokens)).alias("l1"), F.max(last_of(tokens)).alias("l2"), F.min(first).alias("f1"), F.max(first).alias("f2"),
+        F.min(F.when(F.size(middle) > 0, F.size(middle))).alias("m1"), F.max(F.size(middle)).alias("m2"),
+    ).filter("short or l1 <> l2 or f1 <> f2 or length(f1) < 2 or m1 <> m2 and m2 > 0")
+    word, initial = F.when(F.length("word") > 1, F.col("word")), F.when(F.length("word") == 1, F.col("word"))
+    places = placed.select("component", F.posexplode(middle).alias("at", "word")).groupBy("component", "at").agg(F.min(word).alias("w1"), F.max(word).alias("w2"), F.min(initial).alias("i1"), F.max(initial).alias("i2"))
+    return whole.select("component").union(places.filter("w1 <> w2 or i1 <> i2 or left(w1, 1) <> i1").select("component")).distinct()
+
+
 def clusters(names: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, cluster, tier, canonical) for every member of a cluster of names(id, tokens, native, n_sources).
 
-    A cluster is high if every pair of its members is: checked on its distinct token
-    sequences, since members of one sequence (or native name) always are.  The
-    canonical member, of high clusters only, has most tokens, then most sources, then
-    the largest id.  Membership is rows, so a cluster of any size is no single value.
+    A cluster is high if every pair of its members is, by their names or by one native
+    name; counts tell which clusters are so by names alone, and only others in which a
+    native name stands are looked at pair by pair of their distinct (tokens, native).
+    The canonical member, of high clusters only, has most tokens, then most sources,
+    then the largest id.  Membership is rows, so a cluster of any size is no single value.
     """
     scratch = scratch or Scratch(names.sparkSession)
-    names = scratch.cut(names, "names")
+    names = scratch.cut(names.withColumn("native", named(F.col("native"))), "names")
     found = connected_components(candidate_pairs(names), scratch)
-    placed = names.join(found, "id")
-    kinds = placed.groupBy("component", "tokens").agg(F.min("native").alias("native"))
-    one, other = kinds.select("component", F.col("tokens").alias("tx"), F.col("native").alias("nx")), kinds.select("component", F.col("tokens").alias("ty"), F.col("native").alias("ny"))
-    tier = pair_tier(F.col("tx"), F.col("ty"))
-    good = F.coalesce((F.element_at("tx", -1) == F.element_at("ty", -1)) & (tier == "high"), F.lit(False)) | F.coalesce(F.col("nx") == F.col("ny"), F.lit(False))
-    bad = one.join(other, "component").filter(F.col("tx") < F.col("ty")).filter(~good).select("component").distinct().withColumn("medium", F.lit(True))
+    placed = scratch.cut(names.join(found, "id"), "placed")
+    unlike = scratch.cut(_unlike(placed), "unlike")
+    kinds = placed.join(unlike, "component", "left_semi").groupBy("component", "tokens", "native").agg(F.count("*").alias("n"))
+    by_native = kinds.filter("native is not null").select("component").distinct()
+    kinds = kinds.join(by_native, "component", "left_semi").withColumn("__k", F.struct("tokens", "native"))
+    one, other = kinds.select("component", F.col("__k").alias("x"), F.col("n").alias("nx")), kinds.select("component", F.col("__k").alias("y"))
+    same_last = last_of(F.col("x.tokens")) == last_of(F.col("y.tokens"))
+    good = F.coalesce(same_last & (pair_tier(F.col("x.tokens"), F.col("y.tokens")) == "high"), F.lit(False)) | F.coalesce(F.col("x.native") == F.col("y.native"), F.lit(False))
+    clash = one.join(other, "component").filter((F.col("x") < F.col("y")) | (F.col("x").eqNullSafe(F.col("y")) & (F.col("nx") > 1))).filter(~good).select("component").distinct()
+    bad = unlike.join(by_native, "component", "left_anti").union(clash).distinct().withColumn("medium", F.lit(True))
     best = placed.groupBy("component").agg(F.max_by("id", F.struct(F.size("tokens"), "n_sources", "id")).alias("best")).join(bad, "component", "left")
     high = F.col("medium").isNull()
     return placed.join(best, "component").select("id", F.col("component").alias("cluster"), F.when(high, "high").otherwise("medium").alias("tier"), F.when(high, F.col("best")).alias("canonical"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.scalars import range_label, year_of
+from loomline.functions.scalars import edge_id, range_label, year_of
 from loomline.operators.merge import strength
 
 #: Roles that teach and roles that learn; the end of a stay without one.
@@ -36,20 +36,36 @@ def copresence(tenures: DataFrame) -> DataFrame:
     return pairs.withColumns({"lo": lo, "hi": F.when(hi < OPEN, hi), "direction": direction(F.col("a_role"), F.col("b_role"))})
 
 
-def teaching_edges(pairs: DataFrame) -> DataFrame:
-    """One edge per student and teacher from the directional pairs, in the order of their ids."""
+def teaching_edges(pairs: DataFrame, tenures: DataFrame | None = None) -> DataFrame:
+    """One inferred edge per student and teacher from the directional pairs.
+
+    Pairs come by their dojo's first stay (its smallest id in ``tenures``; without
+    them by the dojo), then by the stays' ids.  The period is the first pair's, notes
+    are joined and sources united in this order, a pair's teacher first.
+    """
     first = F.col("direction") == "a"
     pick = lambda c: (F.when(first, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")), F.when(first, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")))
-    (student, teacher), (role, teacher_role) = pick("person"), pick("role")
-    seq = F.struct("dojo", "a_id", "b_id")
+    if tenures is not None:
+        pairs = pairs.join(tenures.groupBy("dojo").agg(F.min("id").alias("__opens")), "dojo")
+    (student, teacher), (role, _) = pick("person"), pick("role")
+    seq = F.struct(*(["__opens"] if tenures is not None else []), "dojo", "a_id", "b_id")
     period = range_label(F.col("lo"), F.col("hi"))
-    notes = F.concat(F.lit("overlap at "), F.col("dojo"), F.lit(" "), period)
-    each = pairs.filter("direction is not null").select(student.alias("student"), teacher.alias("teacher"), role.alias("role"), teacher_role.alias("teacher_role"), seq.alias("seq"), period.alias("period"), notes.alias("note"))
-    return each.groupBy("student", "teacher").agg(
-        F.min_by("period", "seq").alias("period"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "note"))), lambda x: x["note"]), "; ").alias("notes"),
-        F.when(F.bool_or(F.col("role") == "uchi-deshi"), "uchi-deshi").otherwise("student").alias("kind"), F.count("*").alias("n_pairs"),
+    notes = F.concat(F.lit("inferred from co-presence at "), F.col("dojo"), F.lit(" ("), period, F.lit(")"))
+    more = [c for c in ("source", "retrieved") if f"a_{c}" in pairs.columns]
+    extra = {}
+    if "source" in more:
+        learner, master = pick("source")
+        extra["source"] = F.array_distinct(F.concat(master, learner))
+    if "retrieved" in more:
+        extra["retrieved"] = F.greatest(*pick("retrieved"))
+    each = pairs.filter("direction is not null").select(student.alias("student"), teacher.alias("teacher"), role.alias("role"), seq.alias("seq"), period.alias("period"), notes.alias("note"), *(v.alias(k) for k, v in extra.items()))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", c))), lambda x: x[c])
+    out = each.groupBy("student", "teacher").agg(
+        F.when(F.bool_or(F.col("role") == "uchi-deshi"), "uchi-deshi").otherwise("direct-student").alias("kind"), F.min_by("period", "seq").alias("period"), F.array_join(ordered("note"), "; ").alias("notes"),
+        *([F.array_distinct(F.flatten(ordered("source"))).alias("source")] if "source" in more else []), *([F.max("retrieved").alias("retrieved")] if "retrieved" in more else []),
     )
+    ids = edge_id(F.col("student").cast("string"), F.col("teacher").cast("string"))
+    return out.select(ids.alias("id"), "*", F.lit("inferred").alias("confidence"), F.lit("provisional").alias("status"))
 
 
 def keep_stated(edges: DataFrame) -> DataFrame:

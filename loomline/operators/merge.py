@@ -106,23 +106,27 @@ def replace_partition(stored: DataFrame, fresh: DataFrame, keys: list[str], *ord
     return stored.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh).orderBy(*order)
 
 
-def absorb(clusters: DataFrame, persons: DataFrame) -> DataFrame:
+def absorb(clusters: DataFrame, persons: DataFrame, name: str = "name", fill: tuple[str, ...] = ("name_native", "born", "died", "notes", "current_rank")) -> DataFrame:
     """Persons folded into their cluster's canonical one.
 
-    clusters(id, canonical); persons(id, name, aliases, source, retrieved, deceased, born).
-    Aliases gain the other names, sorted and without the own one; sources unite with
-    the canonical's first; born is filled only if empty.
+    clusters(id, canonical); persons(id, name, aliases, source, retrieved, deceased and
+    any others).  Aliases gain the other names, sorted and without the own one; sources
+    unite with the canonical's first; the columns of ``fill`` are filled from the others,
+    by id, only if empty; further columns stay the canonical's.  A cluster whose
+    canonical isn't there stays as it is.
     """
-    joined = persons.join(clusters, "id", "left").withColumn("canonical", F.coalesce("canonical", "id"))
+    there = persons.select(F.col("id").alias("canonical"))
+    joined = persons.join(clusters.join(there, "canonical", "left_semi").select("id", "canonical"), "id", "left").withColumn("canonical", F.coalesce("canonical", "id"))
     own = F.col("id") == F.col("canonical")
     rank = F.struct((~own).cast("int").alias("a"), F.col("id").alias("b"))
-    names = joined.select("canonical", F.explode(F.array_union("aliases", F.array("name"))).alias("x")).groupBy("canonical").agg(F.array_sort(F.collect_set("x")).alias("n"))
-    rest = joined.groupBy("canonical").agg(
-        F.max(F.when(own, F.col("name"))).alias("name"), F.max("retrieved").alias("retrieved"), F.bool_or("deceased").alias("deceased"),
-        F.min_by("born", F.when(F.coalesce(F.col("born"), F.lit("")) != "", rank)).alias("born"),
-    )
+    empty = lambda c: F.col(c).isNull() | (F.col(c) == "") if persons.schema[c].dataType.typeName() == "string" else F.col(c).isNull()
+    names = joined.select("canonical", F.explode(F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.array(name))).alias("x")).groupBy("canonical").agg(F.array_sort(F.collect_set("x")).alias("n"))
+    rules = {"retrieved": F.max("retrieved"), "deceased": F.bool_or("deceased")} | {c: F.min_by(c, F.when(~empty(c), rank)) for c in fill}
+    plain = [c for c in persons.columns if c not in ("id", "aliases", "source")]
+    rest = joined.groupBy("canonical").agg(*(rules.get(c, F.min_by(c, F.when(own, rank))).alias(c) for c in plain))
     out = rest.join(names, "canonical").join(united(joined, "canonical", rank, "source"), "canonical", "left")
-    return out.select(F.col("canonical").alias("id"), "name", F.array_remove("n", F.col("name")).alias("aliases"), "source", "retrieved", "deceased", "born")
+    values = {"id": F.col("canonical"), "aliases": F.array_remove("n", F.col(name))}
+    return out.select(*(values.get(c, F.col(c)).alias(c) for c in persons.columns))
 
 
 def repoint(rows: DataFrame, mapping: DataFrame, columns: list[str], arrays: list[str] = ()) -> DataFrame:
@@ -138,3 +142,22 @@ def repoint(rows: DataFrame, mapping: DataFrame, columns: list[str], arrays: lis
         lists = items.groupBy("__row").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("__at", F.coalesce("__to", "__item").alias("v")))), lambda x: x["v"])).alias("__list"))
         rows = rows.join(lists, "__row", "left").withColumn(c, F.coalesce("__list", c)).drop("__list", "__row")
     return rows.select(*names)
+
+
+def rekey(rows: DataFrame, mapping: DataFrame, columns: list[str], new_id: Column, rules: Mapping[str, str], order: str, drop: Column | None = None) -> DataFrame:
+    """Records whose references in ``columns`` move get a new id; those that then share one are merged.
+
+    new_id is made of the moved columns; rows that moved and for which ``drop`` holds
+    (an edge from someone to themselves) go.  Under one id the record that stood there
+    comes first, then the moved ones in ``order`` (a number), by ``rules``.
+    """
+    was = rows.select("*", *(F.col(c).alias(f"__was_{c}") for c in columns))
+    moved = repoint(was, mapping, columns)
+    changed = F.lit(False)
+    for c in columns:
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"__was_{c}"))
+    moved = moved.withColumn("__changed", changed)
+    if drop is not None:
+        moved = moved.filter(~(F.col("__changed") & F.coalesce(drop, F.lit(False))))
+    moved = moved.withColumn("id", F.when(F.col("__changed"), new_id).otherwise(F.col("id"))).withColumn("__seq", F.col("__changed").cast("long") * (1 << 50) + F.col(order))
+    return merge_by_key(moved, "id", "__seq", rules)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.functions.scalars import slug
+
 #: Levels from broad to narrow, and for each target its levels and how payloads combine.
 LEVELS = ("process", "corpus", "book", "section", "page", "sequence", "technique")
 TARGETS = (
@@ -42,9 +44,36 @@ def targets(spark) -> DataFrame:
     return spark.createDataFrame([(t, list(ls), m) for t, ls, m in TARGETS], "target string, levels array<string>, merge string")
 
 
-def correction_id(level: Column, target: Column, author: Column, *parts: Column) -> Column:
-    """Stable id from scope, target and author; absent parts are left out."""
-    return F.concat_ws(":", F.lit("ref"), target, level, *(p.cast("string") for p in parts), F.regexp_replace(F.regexp_replace(F.lower(author), "[^a-z0-9]+", "-"), "^-|-$", ""))
+def payload_key(target: Column, slot: Column | None = None, term: Column | None = None, op: Column | None = None, indices: Column | None = None) -> Column:
+    """What tells corrections of one scope apart: the slot and term of an additive payload, the op and its indices of a compose one, else null.
+
+    term is the payload's canonical form or, without one, its slot or its term.
+    """
+    none = F.lit(None).cast("string")
+    text = lambda c: F.coalesce(c if c is not None else none, F.lit(""))
+    kinds = {m: [t for t, _, merge in TARGETS if merge == m] for m in ("additive", "compose")}
+    listed = text(F.concat_ws("-", F.transform(indices, lambda i: i.cast("string")))) if indices is not None else F.lit("")
+    added = slug(F.concat_ws("-", text(slot), F.coalesce(F.nullif(text(term), F.lit("")), text(slot))))
+    return F.when(target.isin(*kinds["additive"]), added).when(target.isin(*kinds["compose"]), slug(F.concat_ws("-", text(op), listed)))
+
+
+def correction_id(
+    target: Column, author: Column, book: Column | None = None, pages: tuple[Column, Column] | None = None, page: Column | None = None, seq: Column | None = None,
+    block: Column | None = None, technique: Column | None = None, key: Column | None = None,
+) -> Column:
+    """Stable id of a scope, target and author (and ``payload_key``); absent or null parts are left out."""
+    parts = [target]
+    if book is not None:
+        parts.append(slug(book))
+    if pages is not None:
+        parts.append(F.concat(F.lit("p"), pages[0].cast("string"), F.lit("-"), pages[1].cast("string")))
+    parts += [F.concat(F.lit(mark), c.cast("string")) for mark, c in (("p", page), ("s", seq), ("b", block)) if c is not None]
+    if technique is not None:
+        parts.append(slug(technique.cast("string")))
+    if key is not None:
+        parts.append(key)
+    parts.append(slug(F.nullif(author, F.lit(""))))
+    return F.concat(F.lit("ref:"), F.concat_ws(":", *parts))
 
 
 def matching(units: DataFrame, corrections: DataFrame, equal: list[str], between: tuple[str, str, str] | None = None) -> DataFrame:
@@ -117,30 +146,56 @@ def upsert_corrections(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return keep_last(stored.unionByName(moved), ["id"], F.col("seq"))
 
 
+BOXES = "array<struct<x:int,y:int,w:int,h:int,kind:string>>"
+
+
+def by_column(boxes: Column) -> Column:
+    return F.transform(F.array_sort(F.transform(boxes, lambda b, i: F.struct(b["x"].alias("x"), b["y"].alias("y"), i.alias("i"), b.alias("b")))), lambda s: s["b"]).cast(BOXES)
+
+
+def by_rows(boxes: Column) -> Column:
+    """Reading order: from the top, a box joins the first row whose first box's top is within 0.6 of the middle height; rows from the left."""
+    slack = F.get(F.array_sort(F.transform(boxes, lambda b: b["h"])), F.floor(F.size(boxes) / 2).cast("int")) * F.lit(0.6)
+    down = F.array_sort(F.transform(boxes, lambda b, i: F.struct(b["y"].alias("y"), i.alias("i"), b.alias("b"))))
+
+    def place(rows: Column, s: Column) -> Column:
+        fits = F.transform(rows, lambda r: F.abs(r["top"] - s["y"]) <= slack)
+        at = F.coalesce(F.array_position(fits, True), F.lit(0))
+        one = F.array(F.struct(s["b"]["x"].alias("x"), F.size(rows).cast("int").alias("n"), s["i"].alias("i"), s["b"].alias("b")))
+        return F.when(at == 0, F.concat(rows, F.array(F.struct(s["y"].alias("top"), one.alias("boxes"))))).otherwise(
+            F.transform(rows, lambda r, i: F.when(i + 1 == at, F.struct(r["top"].alias("top"), F.concat(r["boxes"], F.transform(one, lambda x: x.withField("n", F.size(r["boxes"])))).alias("boxes"))).otherwise(r))
+        )
+
+    kind = "struct<x:int,y:int,w:int,h:int,kind:string>"
+    start = F.array().cast(f"array<struct<top:int,boxes:array<struct<x:int,n:int,i:int,b:{kind}>>>>")
+    return F.flatten(F.transform(F.aggregate(down, start, place), lambda r: F.transform(F.array_sort(r["boxes"]), lambda s: s["b"]))).cast(BOXES)
+
+
 def region_ops(regions: Column, ops: Column) -> Column:
-    """Applies ordered operations to an array of boxes (x, y, w, h).
+    """Applies ordered operations to an array of boxes (x, y, w, h, kind).
 
-    ops: structs of op (manual, drop, merge, order), idx (positions) and boxes.
-    manual replaces all boxes; drop removes positions; merge puts the union of some
-    last and removes them; order picks positions in the given order.
+    ops: structs of op (manual, drop, merge, order), idx (positions), boxes (x, y, w, h)
+    and by.  manual replaces all boxes by photos; drop removes positions; merge puts the
+    union of two or more boxes last, as a row, and removes them, if all are there; order
+    sorts by column, or else into reading order.
     """
-    box = "array<struct<x:int,y:int,w:int,h:int>>"
 
     def union(boxes: Column) -> Column:
         x, y = F.array_min(F.transform(boxes, lambda b: b["x"])), F.array_min(F.transform(boxes, lambda b: b["y"]))
         right, low = F.array_max(F.transform(boxes, lambda b: b["x"] + b["w"])), F.array_max(F.transform(boxes, lambda b: b["y"] + b["h"]))
-        return F.struct(x.alias("x"), y.alias("y"), (right - x).alias("w"), (low - y).alias("h"))
+        return F.struct(x.alias("x"), y.alias("y"), (right - x).alias("w"), (low - y).alias("h"), F.lit("row").alias("kind"))
 
     def step(now: Column, op: Column) -> Column:
         named = F.filter(now, lambda b, i: F.array_contains(op["idx"], i))
         others = F.filter(now, lambda b, i: ~F.array_contains(op["idx"], i))
-        picked = F.transform(F.filter(op["idx"], lambda i: (i >= 0) & (i < F.size(now))), lambda i: F.get(now, i))
+        photos = F.transform(op["boxes"], lambda b: F.struct(b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h"), F.lit("photo").alias("kind")))
+        whole = (F.size(op["idx"]) >= 2) & (F.array_max(op["idx"]) < F.size(now)) & (F.array_min(op["idx"]) >= 0)
         return (
-            F.when(op["op"] == "manual", op["boxes"]).when(op["op"] == "drop", others)
-            .when((op["op"] == "merge") & (F.size(named) > 0), F.concat(others, F.array(union(named)))).when(op["op"] == "order", picked).otherwise(now).cast(box)
+            F.when(op["op"] == "manual", photos).when(op["op"] == "drop", others).when((op["op"] == "merge") & whole, F.concat(others, F.array(union(named))))
+            .when((op["op"] == "order") & (op["by"] == "column"), by_column(now)).when(op["op"] == "order", by_rows(now)).otherwise(now).cast(BOXES)
         )
 
-    return F.aggregate(ops, regions.cast(box), step)
+    return F.aggregate(ops, regions.cast(BOXES), step)
 
 
 def forced_caption(captions: Column, forced: Column, suppress: Column) -> Column:

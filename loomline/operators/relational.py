@@ -6,9 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def child(rows: DataFrame, key: str, items: str, names: tuple[str, str]) -> DataFrame:
-    """One row per item of an array column."""
-    return rows.select(F.col(key).alias(names[0]), F.explode(items).alias(names[1]))
+def child(rows: DataFrame, key: str, items: str, names: tuple[str, str], position: str | None = None) -> DataFrame:
+    """One row per item of an array column, with its position if that has a name."""
+    item = F.posexplode(items).alias(position, names[1]) if position else F.explode(items).alias(names[1])
+    return rows.select(F.col(key).alias(names[0]), item)
+
+
+def flattened(rows: DataFrame, structs: dict[str, tuple[str, tuple[str, ...]]], flags: tuple[str, ...] = ()) -> DataFrame:
+    """Fields of struct columns {column: (prefix, fields)} as columns `prefix_field` in their place, booleans in ``flags`` as 0 and 1."""
+    out = []
+    for c in rows.columns:
+        if c in structs:
+            prefix, fields = structs[c]
+            out += [F.col(c)[f].alias(f"{prefix}_{f}") for f in fields]
+        else:
+            out.append(F.col(c).cast("int").alias(c) if c in flags else F.col(c))
+    return rows.select(*out)
 
 
 def sources(collections: dict[str, DataFrame]) -> DataFrame:
@@ -24,9 +37,9 @@ def project(collections: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Tables of persons, organizations, dojos, rank_events, tenures and edges, and their child tables."""
     c = collections
     return {
-        "persons": c["persons"].select("id", "name_romaji", "name_native", "born", "died", F.col("deceased").cast("int").alias("deceased"), "notes", "status", "retrieved", F.col("current_rank.dan").alias("current_rank_dan"), F.col("current_rank.title").alias("current_rank_title")),
+        "persons": flattened(c["persons"].select("id", "name_romaji", "name_native", "born", "died", "deceased", "notes", "status", "retrieved", "current_rank"), {"current_rank": ("current_rank", ("dan", "title"))}, ("deceased",)),
         "organizations": c["organizations"].select("id", "name", "abbrev", "type", "lineage", "parent_org", "hq", "founded", "governance", "website", "status", "retrieved"),
-        "dojos": c["dojos"].select("id", "name", *(F.col(f"location.{f}").alias(f"loc_{f}") for f in ("city", "region", "country")), "chief_instructor", "founded", F.col("anchor").cast("int").alias("anchor"), "website", "status", "retrieved"),
+        "dojos": flattened(c["dojos"].select("id", "name", "location", "chief_instructor", "founded", "anchor", "website", "status", "retrieved"), {"location": ("loc", ("city", "region", "country"))}, ("anchor",)),
         "rank_events": c["rank_events"].select("id", "person", "dan", "title", "date", "conferred_by", "via_org", "dojo", "retrieved"),
         "tenures": c["tenures"].select("id", "person", "dojo", "role", "start", "end", "confidence", "notes", "status", "retrieved"),
         "edges": c["edges"].select("id", "student", "teacher", "kind", "period", "confidence", "notes", "status", "retrieved"),

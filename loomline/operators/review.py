@@ -34,7 +34,7 @@ def review_rows(saved: DataFrame, techniques: DataFrame, author: str, date: str)
     values = (("verdict", "verdict"), ("name", "name"), ("parse.slots", "slots"), ("keyframe.sequence", "keyframes"), ("note", "note"))
     parts = F.array(*(F.struct(F.lit(t).alias("target"), F.nullif(F.col(c), F.lit("")).alias("payload")) for t, c in values))
     rows = checked.select(valid.alias("technique"), F.inline(F.filter(parts, lambda p: p["payload"].isNotNull())))
-    made = correction_id(F.lit("technique"), F.col("target"), F.lit(author), F.col("technique"))
+    made = correction_id(F.col("target"), F.lit(author), technique=F.col("technique"))
     return rows.select(made.alias("id"), F.lit("technique").alias("level"), "technique", "target", "payload", F.lit(author).alias("author"), F.lit(date).alias("date"), F.lit("provisional").alias("status"))
 
 

@@ -73,8 +73,9 @@ def name_tokens(spark, t):
     select event_id, cast(json_extract(props, '$.k') as integer) as k, (event_type in ('error', 'click'))::integer as flag from events
 """)
 def flatten_struct(spark, t):
-    rows = t("events").withColumn("p", F.from_json("props", "k int"))
-    return rows.select("event_id", F.col("p.k").alias("k"), F.col("event_type").isin("error", "click").cast("int").alias("flag"))
+    rows = t("events").select("event_id", F.from_json("props", "k int").alias("p"), F.col("event_type").isin("error", "click").alias("flag"))
+    flat = relational.flattened(rows, {"p": ("p", ("k",))}, ("flag",))
+    return flat.select("event_id", F.col("p_k").alias("k"), "flag")
 
 
 @query("""
@@ -82,7 +83,8 @@ def flatten_struct(spark, t):
     from embeddings, unnest(range(1, len(embedding) + 1)) as u(i)
 """)
 def child_table(spark, t):
-    return t("embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", "pos", F.round(F.col("x").cast("double") * 1000).cast("long").alias("v"))
+    rows = relational.child(t("embeddings"), "vec_id", "embedding", ("vec_id", "x"), "pos")
+    return rows.select("vec_id", "pos", F.round(F.col("x").cast("double") * 1000).cast("long").alias("v"))
 
 
 @query("""
@@ -207,12 +209,13 @@ def replace_partition(spark, t):
 _TENURES = """tenures as (
     select c_custkey as id, c_custkey % 5000 as person, n_name || '/' || (c_custkey % 40) as dojo,
            case c_mktsegment when 'MACHINERY' then 'instructor' when 'HOUSEHOLD' then 'uchi-deshi' when 'BUILDING' then 'student' else 'member' end as role, lo,
-           case when c_custkey % 7 = 0 then 9999 else hi end as hi
+           case when c_custkey % 7 = 0 then 9999 else hi end as hi, [c_mktsegment, 'r' || n_regionkey] as source, '2024-0' || (1 + c_custkey % 9) || '-01' as retrieved
     from customer join nation on n_nationkey = c_nationkey
     join (select o_custkey, min(year(o_orderdate)) as lo, max(year(o_orderdate)) as hi from orders group by 1) on o_custkey = c_custkey
 )"""
 _PAIRS = _TENURES + """, pairs as (
     select a.dojo, a.id as a_id, b.id as b_id, a.person as a_person, b.person as b_person, a.role as a_role, b.role as b_role, greatest(a.lo, b.lo) as lo, nullif(least(a.hi, b.hi), 9999) as hi,
+           a.source as a_source, b.source as b_source, greatest(a.retrieved, b.retrieved) as retrieved,
            case when a.role = 'instructor' and b.role in ('uchi-deshi', 'student') then 'a' when b.role = 'instructor' and a.role in ('uchi-deshi', 'student') then 'b' end as direction
     from tenures a join tenures b on a.dojo = b.dojo and a.id < b.id and a.person <> b.person and greatest(a.lo, b.lo) <= least(a.hi, b.hi)
 )"""
@@ -222,7 +225,10 @@ def _tenures(t):
     years = t("orders").groupBy("o_custkey").agg(F.min(F.year("o_orderdate")).alias("start"), F.max(F.year("o_orderdate")).alias("e"))
     role = F.when(F.col("c_mktsegment") == "MACHINERY", "instructor").when(F.col("c_mktsegment") == "HOUSEHOLD", "uchi-deshi").when(F.col("c_mktsegment") == "BUILDING", "student").otherwise("member")
     rows = t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(years, F.col("o_custkey") == F.col("c_custkey"))
-    return rows.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 5000).alias("person"), F.concat_ws("/", "n_name", F.col("c_custkey") % 40).alias("dojo"), role.alias("role"), "start", F.when(F.col("c_custkey") % 7 != 0, F.col("e")).alias("end"))
+    return rows.select(
+        F.col("c_custkey").alias("id"), (F.col("c_custkey") % 5000).alias("person"), F.concat_ws("/", "n_name", F.col("c_custkey") % 40).alias("dojo"), role.alias("role"), "start", F.when(F.col("c_custkey") % 7 != 0, F.col("e")).alias("end"),
+        F.array("c_mktsegment", F.concat(F.lit("r"), "n_regionkey")).alias("source"), F.concat(F.lit("2024-0"), F.col("c_custkey") % 9 + 1, F.lit("-01")).alias("retrieved"),
+    )
 
 
 @query(f"with {_PAIRS} select dojo, a_id, b_id, lo, hi, direction from pairs")
@@ -231,17 +237,22 @@ def copresence_pairs(spark, t):
 
 
 @query(f"""
-    with {_PAIRS}, d as (
+    with {_PAIRS}, opens as (select dojo, min(id) as opens from tenures group by 1), d as (
         select *, case when direction = 'a' then b_person else a_person end as student, case when direction = 'a' then a_person else b_person end as teacher,
-               case when direction = 'a' then b_role else a_role end as role, lo || '-' || coalesce(cast(hi as varchar), 'ongoing') as period
-        from pairs where direction is not null
-    ), n as (select *, row_number() over (partition by student, teacher order by dojo, a_id, b_id) as k from d)
-    select student, teacher, max(period) filter (k = 1) as period, string_agg('overlap at ' || dojo || ' ' || period, '; ' order by k) as notes,
-           case when bool_or(role = 'uchi-deshi') then 'uchi-deshi' else 'student' end as kind, count(*) as n_pairs
-    from n group by 1, 2
+               case when direction = 'a' then b_role else a_role end as role, lo || '-' || coalesce(cast(hi as varchar), 'ongoing') as period,
+               case when direction = 'a' then list_concat(a_source, b_source) else list_concat(b_source, a_source) end as sources
+        from pairs join opens using (dojo) where direction is not null
+    ), n as (select *, row_number() over (partition by student, teacher order by opens, dojo, a_id, b_id) as k from d),
+    items as (select student, teacher, sources[i] as item, min(k * 4 + i) as w from n, unnest(range(1, 5)) as u(i) group by 1, 2, 3),
+    united as (select student, teacher, string_agg(item, ',' order by w) as source from items group by 1, 2)
+    select 'edge:' || student || '+' || teacher as id, student, teacher, max(period) filter (k = 1) as period,
+           string_agg('inferred from co-presence at ' || dojo || ' (' || period || ')', '; ' order by k) as notes,
+           case when bool_or(role = 'uchi-deshi') then 'uchi-deshi' else 'direct-student' end as kind, any_value(source) as source, max(retrieved) as retrieved, 'inferred' as confidence, 'provisional' as status
+    from n join united using (student, teacher) group by student, teacher
 """)
 def copresence_edges(spark, t):
-    return intervals.teaching_edges(intervals.copresence(_tenures(t)))
+    rows = _tenures(t)
+    return intervals.teaching_edges(intervals.copresence(rows), rows).withColumn("source", F.array_join("source", ","))
 
 
 @query(f"with {_PAIRS} select dojo, count(*) filter (direction is not null) as directional, count(*) filter (direction is null) as peer from pairs group by 1")
@@ -260,14 +271,16 @@ def strongest_flag(spark, t):
 
 #: Names made of a first name, sometimes a middle initial, and a surname that some share.
 _NAMES = """names as (
-    select id, f, m, s, list_filter([f, m, s], lambda x: x is not null) as tokens from (
+    select id, f, m, s, native, list_filter([f, m, s], lambda x: x is not null) as tokens from (
         select c_custkey as id, ['ann', 'a', 'bob', 'bobby', 'carl', 'c'][1 + c_custkey % 6] as f, case when c_custkey % 4 = 1 then ['l', 'p'][1 + (c_custkey // 4) % 2] end as m,
-               'name' || (c_custkey // 5) as s from customer)
+               'name' || (c_custkey // 5) as s, case when c_custkey % 10 = 3 then '' when c_custkey % 30 in (1, 6) then 'N' || (c_custkey // 10) end as native from customer)
 )"""
 _FIT = "(a.f = b.f or (length(a.f) = 1 and starts_with(b.f, a.f)) or (length(b.f) = 1 and starts_with(a.f, b.f)))"
+_SAME = "coalesce(a.native <> '' and a.native = b.native, false)"
 _LINKS = _NAMES + f""", links as (
     select a.id as a, b.id as b, case when length(a.f) > 1 and a.f = b.f and (a.m is null or b.m is null or a.m = b.m) then 'high' else 'medium' end as tier
     from names a join names b on a.s = b.s and a.id < b.id and {_FIT}
+    union all select a.id, b.id, 'high' from (select native, min(id) as id from names where native <> '' group by 1) a join names b on a.native = b.native and a.id <> b.id
 )"""
 
 
@@ -275,8 +288,9 @@ def _names(t):
     c = F.col("c_custkey")
     pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
     middle = F.when(c % 4 == 1, pick(["l", "p"], F.floor(c / 4) % 2))
+    native = F.when(c % 10 == 3, "").when((c % 30).isin(1, 6), F.concat(F.lit("N"), F.floor(c / 10)))
     name = F.concat_ws(" ", F.initcap(pick(["ann", "a", "bob", "bobby", "carl", "c"], c % 6)), F.initcap(middle), F.concat(F.lit("Name"), F.floor(c / 5)))
-    return entities.tokens_of(t("customer").select(c.alias("id"), name.alias("name")), "id", "name")
+    return entities.tokens_of(t("customer").select(c.alias("id"), name.alias("name"), native.alias("native")), "id", "name", "native")
 
 
 @query(f"with {_LINKS} select a, b, tier from links")
@@ -284,11 +298,11 @@ def reconcile_pairs(spark, t):
     return entities.candidate_pairs(_names(t)).select("a", "b", "tier")
 
 
-_CLUSTERS = _LINKS + """, ends as (select a, b from links union select b, a from links), reach as (
+_CLUSTERS = _LINKS + f""", ends as (select a, b from links union select b, a from links), reach as (
     select a as id, a as root from ends union select ends.b, reach.root from reach join ends on ends.a = reach.id
 ), comp as (select id, min(root) as cluster from reach group by 1),
 placed as (select comp.cluster, names.* from comp join names using (id)),
-bad as (select distinct a.cluster from placed a join placed b on a.cluster = b.cluster and a.id < b.id where not (a.s = b.s and length(a.f) > 1 and a.f = b.f and (a.m is null or b.m is null or a.m = b.m))),
+bad as (select distinct a.cluster from placed a join placed b on a.cluster = b.cluster and a.id < b.id where not {_SAME} and not (a.s = b.s and length(a.f) > 1 and a.f = b.f and (a.m is null or b.m is null or a.m = b.m))),
 out as (select p.cluster, string_agg(cast(p.id as varchar), ',' order by p.id) as members, case when bool_or(bad.cluster is not null) then 'medium' else 'high' end as tier,
         arg_max(p.id, len(tokens) * 1000000000 + p.id) as best from placed p left join bad on bad.cluster = p.cluster group by 1)"""
 
@@ -307,22 +321,60 @@ def repoint_references(spark, t):
     return merge.repoint(t("orders").select("o_orderkey", "o_custkey"), mapping, ["o_custkey"])
 
 
+@query(f"""
+    with recursive {_CLUSTERS}, map as (select p.id, best as canonical from placed p join out on out.cluster = p.cluster where tier = 'high' and p.id <> best),
+    lists as (select o_orderkey, i, coalesce(map.canonical, x.v) as v from (select o_orderkey, i, [o_custkey, o_custkey // 2, o_custkey][i] as v from orders, unnest(range(1, 4)) as u(i)) x left join map on map.id = x.v),
+    firsts as (select o_orderkey, v, min(i) as i from lists group by 1, 2)
+    select o_orderkey, coalesce(max(map.canonical), max(o_custkey)) as chief, string_agg(cast(v as varchar), ',' order by i) as instructors
+    from orders join firsts using (o_orderkey) left join map on map.id = o_custkey group by o_orderkey
+""")
+def repoint_arrays(spark, t):
+    mapping = entities.clusters(_names(t)).filter("id <> canonical").select("id", "canonical")
+    o = F.col("o_custkey")
+    rows = t("orders").select("o_orderkey", o.alias("chief"), F.array(o, F.floor(o / 2).cast(t("orders").schema["o_custkey"].dataType), o).alias("instructors"))
+    return merge.repoint(rows, mapping, ["chief"], ["instructors"]).withColumn("instructors", F.array_join("instructors", ","))
+
+
+@query(f"""
+    with recursive {_CLUSTERS}, map as (select p.id, best as canonical from placed p join out on out.cluster = p.cluster where tier = 'high' and p.id <> best),
+    e as (select o_orderkey as seq, o_custkey as s0, 5 * (o_custkey // 5) + o_orderkey % 4 as t0, o_orderstatus as kind, o_orderpriority as src from orders),
+    stored as (select min(seq) as seq, s0, t0, arg_max(kind, seq) as kind, string_agg(src, '|' order by k) as src from (select s0, t0, kind, src, seq, seq as k from e) group by s0, t0),
+    moved as (select x.*, coalesce(a.canonical, s0) as student, coalesce(b.canonical, t0) as teacher, a.canonical is not null or b.canonical is not null as changed from stored x left join map a on a.id = s0 left join map b on b.id = t0)
+    select 'edge:' || student || '+' || teacher as id, count(*) as n, arg_max(kind, changed::int * 1000000000000 + seq) as kind
+    from moved where not (changed and student = teacher) group by student, teacher
+""")
+def rekeyed_edges(spark, t):
+    mapping = entities.clusters(_names(t)).filter("id <> canonical").select("id", "canonical")
+    s = F.col("o_custkey")
+    e = t("orders").select(F.col("o_orderkey").alias("seq"), s.cast("long").alias("student"), (F.floor(s / 5) * 5 + F.col("o_orderkey") % 4).cast("long").alias("teacher"), F.col("o_orderstatus").alias("kind"))
+    stored = e.groupBy("student", "teacher").agg(F.min("seq").alias("seq"), F.max_by("kind", "seq").alias("kind")).withColumn("n", F.array(F.col("seq").cast("long")))
+    ids = S.edge_id(F.col("student").cast("string"), F.col("teacher").cast("string"))
+    out = merge.rekey(stored.withColumn("id", ids), mapping, ["student", "teacher"], ids, {"kind": "last", "n": "union"}, "seq", F.col("student") == F.col("teacher"))
+    return out.withColumn("n", F.size("n").cast("long"))
+
+
 @query("""
     with p as (
         select o_orderkey as id, o_orderpriority as name, o_orderstatus as s, strftime(o_orderdate, '%Y-%m-%d') as retrieved, o_orderkey % 11 = 0 as deceased,
+               case when o_orderkey % 3 = 0 then 'b' || o_orderkey when o_orderkey % 3 = 1 then '' end as born, case when o_orderkey % 4 = 2 then 'd' || o_orderkey end as died,
+               case when o_orderkey % 5 = 1 then 'n' || o_orderkey else '' end as notes, case when o_orderkey % 7 = 3 then 'k' || o_orderkey end as name_native, case when o_orderkey % 2 = 0 then o_orderkey % 9 end as current_rank,
                min(o_orderkey) over w as own, first_value(o_orderpriority) over (w order by o_orderkey) as own_name
         from orders window w as (partition by o_custkey)
     ), src as (select own, s, min(case when id = own then 0 else 1 end * 1000000000 + id) as k from p group by 1, 2)
     select p.own as id, any_value(own_name) as name, coalesce(string_agg(distinct name, ',' order by name) filter (name <> own_name), '') as aliases,
-           any_value(x.source) as source, max(retrieved) as retrieved, bool_or(deceased) as deceased
+           any_value(x.source) as source, max(retrieved) as retrieved, bool_or(deceased) as deceased, arg_min(born, id) filter (born <> '') as born, arg_min(died, id) filter (died <> '') as died,
+           arg_min(notes, id) filter (notes <> '') as notes, arg_min(name_native, id) filter (name_native <> '') as name_native, arg_min(current_rank, id) filter (current_rank is not null) as current_rank
     from p join (select own, string_agg(s, ',' order by k) as source from src group by 1) x on x.own = p.own group by p.own
 """)
 def absorb_clusters(spark, t):
-    o = t("orders")
+    o, k = t("orders"), F.col("o_orderkey")
     first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("canonical"))
-    clusters = o.join(first, "o_custkey").select(F.col("o_orderkey").alias("id"), "canonical")
+    clusters = o.join(first, "o_custkey").select(k.alias("id"), "canonical")
+    made = lambda letter, m, r: F.when(k % m == r, F.concat(F.lit(letter), k))
     persons = o.select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.array().cast("array<string>").alias("aliases"), F.array("o_orderstatus").alias("source"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("retrieved"), (F.col("o_orderkey") % 11 == 0).alias("deceased"), F.lit(None).cast("string").alias("born"),
+        k.alias("id"), F.col("o_orderpriority").alias("name"), F.array().cast("array<string>").alias("aliases"), F.array("o_orderstatus").alias("source"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("retrieved"), (k % 11 == 0).alias("deceased"), F.when(k % 3 == 1, "").otherwise(made("b", 3, 0)).alias("born"), made("d", 4, 2).alias("died"),
+        F.coalesce(made("n", 5, 1), F.lit("")).alias("notes"), made("k", 7, 3).alias("name_native"), F.when(k % 2 == 0, k % 9).alias("current_rank"),
     )
-    return merge.absorb(clusters, persons).select("id", "name", F.array_join("aliases", ",").alias("aliases"), F.array_join("source", ",").alias("source"), "retrieved", "deceased")
+    out = merge.absorb(clusters, persons)
+    return out.withColumns({"aliases": F.array_join("aliases", ","), "source": F.array_join("source", ",")})

@@ -48,18 +48,23 @@ def boxes(*bs):
 
 
 def ops(*os):
-    kind = "array<struct<op:string,idx:array<int>,boxes:array<struct<x:int,y:int,w:int,h:int>>>>"
-    return F.array(*(F.struct(F.lit(o).alias("op"), F.array(*map(F.lit, i)).alias("idx"), boxes(*b).alias("boxes")) for o, i, b in os)).cast(kind)
+    kind = "array<struct<op:string,idx:array<int>,boxes:array<struct<x:int,y:int,w:int,h:int>>,by:string>>"
+    return F.array(*(F.struct(F.lit(o).alias("op"), F.array(*map(F.lit, i)).alias("idx"), boxes(*b).alias("boxes"), F.lit(by[0] if by else None).alias("by")) for o, i, b, *by in os)).cast(kind)
 
 
 def test_region_ops(spark):
-    three = boxes((0, 0, 10, 10), (20, 0, 10, 10), (50, 50, 5, 5))
-    run = lambda *o: [tuple(b) for b in one(spark, overlay.region_ops(three, ops(*o)))]
-    assert run(("drop", [2], [])) == [(0, 0, 10, 10), (20, 0, 10, 10)]
-    assert run(("drop", [2], []), ("merge", [0, 1], [])) == [(0, 0, 30, 10)]
-    assert run(("merge", [0, 1], [])) == [(50, 50, 5, 5), (0, 0, 30, 10)]
-    assert run(("order", [1, 0, 9], [])) == [(20, 0, 10, 10), (0, 0, 10, 10)]
-    assert run(("manual", [], [(1, 1, 1, 1)])) == [(1, 1, 1, 1)]
+    a, b, c = (0, 0, 10, 10, "cell"), (20, 0, 10, 10, "cell"), (50, 50, 5, 5, "cell")
+    three = F.transform(boxes(a[:4], b[:4], c[:4]), lambda x: x.withField("kind", F.lit("cell")))
+    run = lambda *o, start=three: [tuple(x) for x in one(spark, overlay.region_ops(start, ops(*o)))]
+    assert run(("drop", [2], [])) == [a, b]
+    assert run(("drop", [2], []), ("merge", [0, 1], [])) == [(0, 0, 30, 10, "row")]
+    assert run(("merge", [1, 0], [])) == [c, (0, 0, 30, 10, "row")]
+    assert run(("merge", [0], [])) == run(("merge", [0, 3], [])) == run() == [a, b, c]
+    assert run(("manual", [], [(1, 1, 1, 1)])) == [(1, 1, 1, 1, "photo")]
+    mixed = [(40, 3, 10, 10), (0, 30, 10, 12), (5, 0, 10, 10), (20, 33, 10, 10), (0, 8, 4, 10)]
+    start = F.transform(boxes(*mixed), lambda x: x.withField("kind", F.lit("cell")))
+    assert [x[:4] for x in run(("order", [], [], "column"), start=start)] == sorted(mixed)
+    assert [x[:4] for x in run(("order", [], []), start=start)] == [mixed[2], mixed[0], mixed[4], mixed[1], mixed[3]]
 
 
 def test_forced_caption(spark):

@@ -110,7 +110,26 @@ def test_teaching_edges(spark):
     edge = intervals.teaching_edges(intervals.copresence(rows)).collect()
     assert len(edge) == 1
     assert (edge[0]["student"], edge[0]["teacher"], edge[0]["kind"], edge[0]["period"]) == ("s", "t", "uchi-deshi", "1955-1960")
-    assert edge[0]["notes"] == "overlap at d1 1955-1960; overlap at d2 1971-1972"
+    assert edge[0]["notes"] == "inferred from co-presence at d1 (1955-1960); inferred from co-presence at d2 (1971-1972)"
+
+
+def test_edges_of_a_committed_map(spark):
+    """The inferred edges of a map that is given as data: GOLDEN_MAP names a folder with tenures.json and edges.json."""
+    import json
+    import os
+    import pathlib
+
+    folder = pathlib.Path(os.environ.get("GOLDEN_MAP", "none"))
+    if not folder.exists():
+        pytest.skip("no such data here")
+    stays, want = json.loads((folder / "tenures.json").read_text()), json.loads((folder / "edges.json").read_text())
+    fields = ("id", "person", "dojo", "role", "start", "end", "source", "retrieved")
+    rows = spark.createDataFrame([tuple(t.get(f) for f in fields) for t in stays], "id string, person string, dojo string, role string, start string, end string, source array<string>, retrieved string")
+    got = {r["id"]: r for r in intervals.teaching_edges(intervals.copresence(rows), rows).collect()}
+    inferred = [e for e in want if e["confidence"] == "inferred"]
+    assert len(inferred) > 5
+    for e in inferred:
+        assert all(got[e["id"]][f] == e[f] for f in ("student", "teacher", "kind", "period", "notes", "source", "retrieved", "confidence", "status"))
 
 
 def people(spark, *rows):
@@ -128,7 +147,57 @@ def test_cluster_tiers(spark):
     assert got == {("p0", "p1", "p2"): ("medium", None)}
     assert found(spark, ("Morihei Ueshiba", "植芝"), ("Ueshiba Kaiso Founder", "植芝")) == {("p0", "p1"): ("high", "p1")}
     assert found(spark, ("Ann Bee", None), ("Ann Bee", None), ("Ann Bee", None)) == {("p0", "p1", "p2"): ("high", "p2")}
-    assert found(spark) == {}
+    # a native name that one member lacks, and one that is empty
+    assert found(spark, ("Ada Bell", "N1"), ("Ada Bell", None), ("Cora Dunn", "N1")) == {("p0", "p1", "p2"): ("medium", None)}
+    assert found(spark, ("Eve Fox", ""), ("Gus Hill", ""), ("Ian Jay", "")) == {}
+    assert found(spark, ("A. Smith", None), ("A. Smith", None)) == {("p0", "p1"): ("medium", None)}
+    assert found(spark, ("A. Smith", "N2"), ("A. Smith", "N2")) == {("p0", "p1"): ("high", "p1")}
+    assert found(spark, ("Ann L Bee", None), ("Ann Louise Bee", None), ("Ann Bee", None)) == {("p0", "p1", "p2"): ("high", "p1")}
+    assert found(spark, ("Ann L Bee", None), ("Ann Max Bee", None)) == {("p0", "p1"): ("medium", None)}
+    assert found(spark, ("Ann L M Bee", None), ("Ann L Bee", None)) == {("p0", "p1"): ("medium", None)}
+    assert found(spark, ("Ann L Bee", "N3"), ("Ann P Bee", "N3"), ("Ann Bee", "N4")) == {("p0", "p1", "p2"): ("high", "p1")}
+    assert found(spark, ("Mono", "N5"), ("Solo", "N5")) == {("p0", "p1"): ("high", "p1")}
+
+
+def test_cluster_tiers_against_all_pairs(spark):
+    """Random names with initials, middles and native names."""
+    r = random.Random(12)
+    rows = []
+    for _ in range(260):
+        middle = " ".join(r.choice(["L", "P", "Lou", "Pat"]) for _ in range(r.choice([0, 0, 1, 1, 2])))
+        rows.append((" ".join(x for x in (r.choice(["Ann", "A", "Andy", "Bob"]), middle, f"S{r.randrange(40)}") if x), r.choice([None, None, None, "", f"N{r.randrange(30)}"])))
+    tokens = [n.lower().split() for n, _ in rows]
+    fits = lambda x, y: x == y or (len(x) == 1 and y.startswith(x)) or (len(y) == 1 and x.startswith(y))
+
+    def tier(a, b):
+        if a[-1] != b[-1] or not fits(a[0], b[0]):
+            return None
+        ma, mb = a[1:-1], b[1:-1]
+        middles = not ma or not mb or len(ma) == len(mb) and all(map(fits, ma, mb))
+        return "high" if a[0] == b[0] and len(a[0]) > 1 and middles else "medium"
+
+    native = lambda i, j: bool(rows[i][1]) and rows[i][1] == rows[j][1]
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if tier(tokens[i], tokens[j]) or native(i, j):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(top(i), []).append(i)
+    want = {}
+    for members in groups.values():
+        if len(members) > 1:
+            high = all(native(i, j) or tier(tokens[i], tokens[j]) == "high" for i in members for j in members if i < j)
+            best = max(members, key=lambda i: (len(tokens[i]), f"p{i}"))
+            want[tuple(sorted(f"p{i}" for i in members))] = ("high", f"p{best}") if high else ("medium", None)
+    assert found(spark, *rows) == want and {t for t, _ in want.values()} == {"high", "medium"}
 
 
 def test_components(spark):
@@ -151,13 +220,21 @@ def test_components(spark):
 
 def test_absorb_and_repoint(spark):
     persons = spark.createDataFrame(
-        [("a", "William R. Ross", ["Bill"], ["u1"], "2024", False, None), ("b", "William Ross", [], ["u2", "u1"], "2025", True, "1950"), ("c", "Other", [], ["u3"], "2020", False, "")],
-        "id string, name string, aliases array<string>, source array<string>, retrieved string, deceased boolean, born string",
+        [
+            ("a", "William R. Ross", ["Bill"], ["u1"], "2024", False, None, None, "", "own", None, "x"), ("b", "William Ross", [], ["u2", "u1"], "2025", True, "1950", "N", "1999", "other", None, "y"),
+            ("c", "Other", [], ["u3"], "2020", False, "", None, None, None, None, "z"), ("e", "W. Ross", None, ["u4"], "2019", None, "1951", "M", None, None, (4, "t"), "w"),
+        ],
+        "id string, name string, aliases array<string>, source array<string>, retrieved string, deceased boolean, born string, name_native string, died string, notes string, current_rank struct<dan:int,title:string>, status string",
     )
-    mapping = spark.createDataFrame([("b", "a")], "id string, canonical string")
+    mapping = spark.createDataFrame([("b", "a"), ("e", "a"), ("c", "gone")], "id string, canonical string")
     got = {r["id"]: r for r in merge.absorb(mapping, persons).collect()}
     assert set(got) == {"a", "c"}
-    assert tuple(got["a"])[1:] == ("William R. Ross", ["Bill", "William Ross"], ["u1", "u2"], "2025", True, "1950")
+    assert tuple(got["a"])[1:] == ("William R. Ross", ["Bill", "W. Ross", "William Ross"], ["u1", "u2", "u4"], "2025", True, "1950", "N", "1999", "own", (4, "t"), "x")
+    mapping = mapping.filter("id = 'b'")
+    edges = spark.createDataFrame([(0, "edge:b+x", "b", "x", ["s1"], "inferred"), (1, "edge:a+x", "a", "x", ["s0"], "stated"), (2, "edge:a+b", "a", "b", ["s2"], "stated"), (3, "edge:y+y", "y", "y", ["s3"], "stated")], "seq long, id string, student string, teacher string, source array<string>, confidence string")
+    rules = {"student": "last", "teacher": "last", "source": "union", "confidence": "strongest"}
+    moved = merge.rekey(edges, mapping, ["student", "teacher"], S.edge_id(F.col("student"), F.col("teacher")), rules, "seq", F.col("student") == F.col("teacher"))
+    assert sorted(map(tuple, moved.collect())) == [("edge:a+x", "a", "x", ["s0", "s1"], "stated"), ("edge:y+y", "y", "y", ["s3"], "stated")]
     dojos = spark.createDataFrame([("d", "b", ["a", "b", "x"])], "id string, chief string, instructors array<string>")
     assert tuple(merge.repoint(dojos, mapping, ["chief"], ["instructors"]).first()) == ("d", "a", ["a", "x"])
 

@@ -14,7 +14,7 @@ def test_reviews(spark):
     saved = spark.createDataFrame([("t1", "ok", "", "s", None, "n"), ("t2", "bad", "N", None, None, "")], "technique string, verdict string, name string, slots string, keyframes string, note string")
     rows = review.review_rows(saved, techniques, "Ann B", "2024-01-01")
     assert sorted((r["technique"], r["target"]) for r in rows.collect()) == [("t1", "note"), ("t1", "parse.slots"), ("t1", "verdict"), ("t2", "name"), ("t2", "verdict")]
-    assert rows.filter("target = 'verdict' and technique = 't1'").first()["id"] == "ref:verdict:technique:t1:ann-b"
+    assert rows.filter("target = 'verdict' and technique = 't1'").first()["id"] == "ref:verdict:t1:ann-b"
     stored = rows.withColumn("seq", F.lit(1).cast("long")).unionByName(spark.createDataFrame([("x", "technique", "t1", "verdict", "late", "Ann B", "2025", "ok", 9), ("y", "technique", "t3", "note", "no verdict", "Ann B", "2025", "ok", 9)], "id string, level string, technique string, target string, payload string, author string, date string, status string, seq long"))
     got = {r["technique"]: (r["verdict"], r["name"], r["parse_slots"], r["note"]) for r in review.reviews(stored, "Ann B").collect()}
     assert got == {"t1": ("ok", None, "s", "n"), "t2": ("bad", "N", None, None)}
