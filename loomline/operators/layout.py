@@ -126,7 +126,7 @@ def nearest_anchor(items: DataFrame, anchors: DataFrame, by: list[str], item: st
     return near.select(*by, F.col("i").alias(item), nearer["a"].alias(anchor))
 
 
-def _cover(start: str, stop: str) -> Column:
+def aligned_cover(start: str, stop: str) -> Column:
     """The aligned spans of two to the power of ``k``, numbered ``at``, that make up whole numbers start to stop, stop exclusive."""
     left, right = f"-shiftright(-({start}), k)", f"shiftright({stop}, k)"
     one = lambda n, odd: f"if({left} < {right} and ({odd} & 1) = 1, named_struct('k', k, 'at', {n}), null)"
@@ -142,7 +142,7 @@ def box_holding_center(items: DataFrame, boxes: DataFrame, by: list[str]) -> Dat
     Distances count twice, so that a center between two numbers is a number too.
     """
     whole = boxes.select(*by, "n", *((F.col(c).cast("long") * 2).alias(c) for c in "xywh")).filter("w >= 0 and h >= 0")
-    spans = whole.select(*by, "n", F.explode(_cover("x", "x + w + 1")).alias("sx"), _cover("y", "y + h + 1").alias("sy")).select(*by, "n", "sx", F.explode("sy").alias("sy"))
+    spans = whole.select(*by, "n", F.explode(aligned_cover("x", "x + w + 1")).alias("sx"), aligned_cover("y", "y + h + 1").alias("sy")).select(*by, "n", "sx", F.explode("sy").alias("sy"))
     first = spans.groupBy(*by, "sx", "sy").agg(F.min("n").alias("n"))
     twice = lambda c: F.when(F.abs(c) < 2**60, F.floor(c) + F.ceil(c)).cast("long")
     spots = items.withColumns({"__x": twice(F.col("cx")), "__y": twice(F.col("cy"))})
@@ -155,13 +155,14 @@ def box_holding_center(items: DataFrame, boxes: DataFrame, by: list[str]) -> Dat
 
 
 def merge_bilingual(captions: DataFrame) -> DataFrame:
-    """Captions (page, y, romaji, native, technique, attack, direction) of one page in two scripts put together.
+    """Captions (book, page, at, y, romaji, native, technique, attack, direction, form, qualifiers) of one page in two scripts put together.
 
-    Greedy in the order of y: a caption joins the first earlier one where exactly one
-    of both has a Latin name, no slot differs and technique or attack agree.  The
-    order decides, so each page is folded in Python.
+    Greedy in the order of ``at``: a caption joins the first earlier one where exactly
+    one of both has a Latin name, no slot differs and technique or attack agree.  Forms
+    and qualifiers unite.  The order decides, so each page is folded in Python; earlier
+    captions that could agree are found by their technique or attack.
     """
-    schema = "page long, y long, romaji string, native string, technique string, attack string, direction string, n_merged long"
+    schema = "book string, page long, at long, y long, romaji string, native string, technique string, attack string, direction string, form array<string>, qualifiers array<string>, n_merged long"
     slots = ("technique", "attack", "direction")
 
     def latin(s: object) -> bool:
@@ -169,19 +170,28 @@ def merge_bilingual(captions: DataFrame) -> DataFrame:
 
     def fold_page(page: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
-        for c in page.sort_values(["y", "romaji"], na_position="last").astype(object).where(lambda d: d.notna(), None).to_dict("records"):
-            for e in out:
-                agree = all(not (c[s] and e[s]) or c[s] == e[s] for s in slots) and any(c[s] and c[s] == e[s] for s in slots[:2])
-                if agree and latin(c["romaji"]) != latin(e["romaji"]):
-                    named, other = (c, e) if latin(c["romaji"]) else (e, c)
-                    name, native = named["romaji"], e["native"] or other["native"] or other["romaji"]
-                    e.update({s: e[s] or c[s] for s in slots}, romaji=name, native=native, y=min(e["y"], c["y"]), n_merged=e["n_merged"] + 1)
-                    break
+        by_slot: dict[tuple, list[int]] = {}
+        for c in page.sort_values("at").astype(object).to_dict("records"):
+            c = {k: list(v) if hasattr(v, "__len__") and not isinstance(v, str) else None if v is None or v != v else v for k, v in c.items()}
+            c |= {k: c[k] or [] for k in ("form", "qualifiers")} | {"n_merged": 1}
+            near = sorted({i for s in slots[:2] if c[s] for i in by_slot.get((s, c[s]), ())})
+            at = next((i for i in near if latin(c["romaji"]) != latin(out[i]["romaji"]) and all(not (c[s] and out[i][s]) or c[s] == out[i][s] for s in slots)), None)
+            if at is None:
+                at = len(out)
+                out.append(c)
             else:
-                out.append(c | {"n_merged": 1})
+                e = out[at]
+                own, other = (c, e) if latin(c["romaji"]) else (e, c)
+                e.update(
+                    {s: e[s] or c[s] for s in slots}, romaji=own["romaji"], native=e["native"] or other["native"] or other["romaji"], y=min(e["y"], c["y"]), n_merged=e["n_merged"] + 1,
+                    form=list(dict.fromkeys(e["form"] + c["form"])), qualifiers=list(dict.fromkeys(e["qualifiers"] + c["qualifiers"])),
+                )
+            for s in slots[:2]:
+                if out[at][s] and at not in by_slot.setdefault((s, out[at][s]), []):
+                    by_slot[s, out[at][s]].append(at)
         return pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 
-    return captions.groupBy("page").applyInPandas(fold_page, schema)
+    return captions.groupBy("book", "page").applyInPandas(fold_page, schema)
 
 
 def dark_bands(mask_rows: Iterator[bool], least: int) -> list[tuple[int, int]]:

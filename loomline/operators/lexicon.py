@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.functions import vocabulary as V
 from loomline.functions.scalars import fold, slug, squeezed
 from loomline.operators.merge import first_known, union_in_order
+from loomline.storage import Scratch, bound_batches
 
 SLOTS = ("technique", "attack", "direction", "form")
 Entry = tuple[str, str, str]
@@ -120,24 +125,53 @@ def parse_weapon_caption(line: Column) -> Column:
     )
 
 
+#: Spellings of one automaton.
+SPELLINGS = 50_000
+
+
+def _finder(rows):
+    """(key, term, kanji) of the spellings that each text holds, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for term, kanji in rows.value:
+            automaton.add_word(kanji, (term, kanji))
+        automaton.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                hits = {hit for _, hit in automaton.iter(text)} if text else ()
+                at += [i] * len(hits)
+                found += hits
+            terms = pa.array([t for t, _ in found], batch.schema.field("kind").type)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int64())), terms, pa.array([k for _, k in found], pa.string())], ["key", "term", "kanji"])
+
+    return run
+
+
 def retrieve_terms(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """Terms (term, kanji) whose spelling a text holds, once per spelling, longest first.
 
-    The glossary is one literal within the expression, so every text is searched where
-    it lies; a glossary too long for that is searched in parts.
+    The spellings are dealt into automata of at most SPELLINGS; every text streams
+    through each where it lies, so a glossary of any size takes one scan for each.
     """
-    rows = [(r["term"], r["kanji"]) for r in terms.filter("kanji <> ''").groupBy("kanji").agg(F.min("term").alias("term")).collect()]
-    rows.sort(key=lambda r: (-len(r[1]), r[1]))
-    size = 2000
-    parts = []
-    for i in range(0, max(1, len(rows)), size):
-        lexicon = F.array(*(F.struct(F.lit(i + k).alias("at"), F.lit(t).alias("term"), F.lit(s).alias("kanji")) for k, (t, s) in enumerate(rows[i : i + size])))
+    spark = texts.sparkSession
+    bound_batches(spark)
+    known = Scratch(spark).cut(terms.filter("kanji <> ''").groupBy("kanji").agg(F.min("term").alias("term")), "spellings")
+    parts = max(1, -(-known.count() // SPELLINGS))
+    # a bound on each part, since hashes don't deal evenly
+    parts = parts if parts == 1 else 2 * parts
+    kinds = {"key": texts.schema[key].dataType, "term": known.schema["term"].dataType}
+    schema = T.StructType([T.StructField("key", kinds["key"]), T.StructField("term", kinds["term"]), T.StructField("kanji", T.StringType())])
+    source = texts.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lit(None).cast(kinds["term"]).alias("kind"))
+    out = None
+    for i in range(parts):
+        rows = [(r["term"], r["kanji"]) for r in known.filter(F.pmod(F.xxhash64("kanji"), F.lit(parts)) == i).collect()]
         if rows:
-            parts.append(texts.select(key, F.inline(F.filter(lexicon, lambda e: F.col(text).contains(e["kanji"])))))
-    out = parts[0] if parts else texts.select(key, F.lit(0).alias("at"), F.lit("").alias("term"), F.lit("").alias("kanji")).limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("n", F.row_number().over(W.partitionBy(key).orderBy("at"))).drop("at")
+            found = source.mapInArrow(_finder(spark.sparkContext.broadcast(rows)), schema)
+            out = found if out is None else out.unionByName(found)
+    out = spark.createDataFrame([], schema) if out is None else out
+    return out.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy(-F.length("kanji"), "kanji"))).withColumnRenamed("key", key)
 
 
 def prompt(text: Column, terms: Column) -> Column:

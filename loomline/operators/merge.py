@@ -96,6 +96,12 @@ def keep_last(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return won.select(*(F.col(c) if c in key else F.col("__r")[c].alias(c) for c in rows.columns))
 
 
+def keep_last_in_place(rows: DataFrame, key: list[str], order: str, place: str = "place") -> DataFrame:
+    """The last row of each key, with the order of its first one in ``place``."""
+    first = rows.groupBy(*key).agg(F.min(order).alias(place))
+    return keep_last(rows, key, F.col(order)).join(first, key)
+
+
 def keep_first(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     won = rows.groupBy(*key).agg(F.min_by(F.struct(*(c for c in rows.columns if c not in key)), F.struct(*order)).alias("__r"))
     return won.select(*(F.col(c) if c in key else F.col("__r")[c].alias(c) for c in rows.columns))

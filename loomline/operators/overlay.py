@@ -7,10 +7,16 @@ record is ordered from broad to narrow scope, then by date, then as stored.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.functions.scalars import slug
+from loomline.operators.layout import aligned_cover
 
 #: Levels from broad to narrow, and for each target its levels and how payloads combine.
 LEVELS = ("process", "corpus", "book", "section", "page", "sequence", "technique")
@@ -82,8 +88,9 @@ def matching(units: DataFrame, corrections: DataFrame, equal: list[str], between
     ``equal``: columns that both sides have; a selector's null matches all, a unit's
     null only such a selector.  ``between``: (unit column, first, last of the
     selector), inclusive.  Corrections are split by which of their selectors are set,
-    so each part is an equality join on just these and none compares all pairs; only
-    corrections that select by range alone are compared with every unit.
+    so each part is an equality join on just these and none compares all pairs; those
+    that select by range alone meet the units in ``holding``.  A correction without any
+    selector belongs to every unit.
     """
     active = corrections.filter(F.coalesce(F.col("status"), F.lit("")) != "retired").withColumn("rank", F.struct(level_rank(F.col("level")).alias("level"), F.col("date").alias("date"), F.col("seq").alias("seq")))
     keep = ["target", "payload", "rank", "author"]
@@ -92,19 +99,31 @@ def matching(units: DataFrame, corrections: DataFrame, equal: list[str], between
     for used in sorted(r[0] for r in active.select(mask).distinct().collect()):  # 2 ** len(equal) at most
         on = [c for c, bit in zip(equal, used) if bit == "1"]
         part = active.filter(mask == used).select(*keep, *on, *(between[1:] if between else ()))
-        if on:
-            joined = units.join(part, on)
-        elif part.count() <= 10_000:  # corrections of everything: few, or else by nested loops over them
-            joined = units.join(F.broadcast(part), F.lit(True))
-        else:
-            joined = units.join(part, F.lit(True))
         if between:
             at, first, last = between
-            joined = joined.filter(F.coalesce(F.col(first).isNull() | F.col(at).between(F.col(first), F.col(last)), F.lit(False))).drop(first, last)
+            held = holding(units, part.filter(F.col(first).isNotNull()), on, at, first, last).drop(first, last)
+            part = part.filter(F.col(first).isNull()).drop(first, last)
+        joined = units.join(part, on) if on else units.join(part, F.lit(True))
+        joined = joined.unionByName(held) if between else joined
         out = joined if out is None else out.unionByName(joined)
     return out if out is not None else units.join(active.select(*keep).limit(0), F.lit(True))
 
 
+def holding(units: DataFrame, ranges: DataFrame, on: list[str], at: str, first: str, last: str) -> DataFrame:
+    """``units`` with every one of the ``ranges`` (whole numbers, inclusive) of equal ``on`` that holds ``at``.
+
+    A range is cut into aligned spans of two to the power of k, of which a position lies
+    in one at most, and positions look up the span of each size: a join by equal keys.
+    """
+    none = F.col(first).isNotNull() & F.col(last).isNotNull() & (F.col(first) <= F.col(last))
+    cut = ranges.filter(none).withColumns({"__f": F.col(first).cast("long"), "__l": F.col(last).cast("long")})
+    cells = cut.withColumn("__c", F.explode(aligned_cover("__f", "__l + 1"))).withColumns({"__k": F.col("__c.k"), "__at": F.col("__c.at")}).drop("__c", "__f", "__l")
+    top = cut.agg(F.expr("length(bin(max(__l - __f) + 1)) - 1").alias("__top")).filter("__top is not null")
+    spots = units.select(*on, at).filter(F.col(at).isNotNull()).distinct().withColumn("__u", F.col(at).cast("long")).join(F.broadcast(top), F.lit(True))  # one row
+    probes = spots.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__top")))).withColumn("__at", F.expr("shiftright(__u, __k)")).drop("__u", "__top")
+    return units.join(probes.join(cells, [*on, "__k", "__at"]).drop("__k", "__at"), [*on, at])
+
+
 def override(matched: DataFrame, units: DataFrame, key: str, base: Column) -> DataFrame:
     """The narrowest and latest payload, else the base; a payload replaces it as a whole."""
     won = matched.groupBy(key).agg(F.max_by("payload", "rank").alias("payload"), F.count("*").alias("n_matching"))
@@ -116,27 +135,53 @@ def composed(matched: DataFrame, key: str) -> DataFrame:
     return matched.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "payload"))), lambda x: x["payload"]).alias("payloads"))
 
 
-def additive(matched: DataFrame, units: DataFrame, key: str, base: Column) -> DataFrame:
-    """Array payloads added to an array base, each item once, in order."""
+def additive(matched: DataFrame, units: DataFrame, key: str, base: Column, fold: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Array payloads added to an array base, each item once, in order; or put together by ``fold(value, payload)``."""
+    if fold is not None:
+        folded = F.when(F.col("payloads").isNotNull(), F.aggregate("payloads", F.col("__base"), fold)).otherwise(F.col("__base"))
+        return units.withColumn("__base", base).join(composed(matched, key), key, "left").withColumn("value", folded).drop("__base")
     return units.join(composed(matched, key), key, "left").withColumn("value", F.array_distinct(F.concat(base, F.coalesce(F.flatten("payloads"), F.expr("cast(array() as array<string>)")))))
 
 
+@F.pandas_udf(T.StringType())
+def joined_payloads(base: pd.Series, payloads: pd.Series) -> pd.Series:
+    """JSON objects put together in order: lists gain what they lack, objects are merged one level deep, anything else is replaced."""
+
+    def one(start: str | None, more) -> str:
+        out = json.loads(start) if start else {}
+        for text in () if more is None else more:
+            for k, v in (json.loads(text) if text else {}).items():
+                old = out.get(k)
+                if isinstance(v, list) and isinstance(old, list):
+                    out[k] = old + [x for x in v if x not in old]
+                else:
+                    out[k] = old | v if isinstance(v, dict) and isinstance(old, dict) else v
+        return json.dumps(out, ensure_ascii=False)
+
+    return pd.Series([one(b, p) for b, p in zip(base, payloads)])
+
+
 def range_lookup(units: DataFrame, ranges: DataFrame, on: list[str], at: str, first: str = "first", last: str = "last", order: str = "seq") -> DataFrame:
     """``units`` with the earliest of the ``ranges`` that hold ``at``; rows without one keep nulls.
 
     Units are reduced to distinct positions before the join and get the result back by equality.
     """
-    spots = units.select(*on, at).distinct()
     fields = [c for c in ranges.columns if c not in (*on, first, last)]
-    inside = F.col(at).between(F.col(first), F.col(last))
-    if on:
-        held = spots.join(ranges, on).filter(inside)
-    else:
-        held = spots.join(F.broadcast(ranges) if ranges.count() <= 10_000 else ranges, inside)
+    held = holding(units.select(*on, at).distinct(), ranges, on, at, first, last)
     found = held.groupBy(*on, at).agg(F.min_by(F.struct(*fields), order).alias("found"))
     return units.join(found, [*on, at], "left").select(*units.columns, *(F.col(f"found.{c}").alias(c) for c in fields if c != order))
 
 
+def confirmed(stored: DataFrame, ids: DataFrame) -> DataFrame:
+    """Corrections of ``ids(id)`` confirmed; an unknown id changes nothing."""
+    named = ids.select("id").distinct().withColumn("__named", F.lit(True))
+    return stored.join(named, "id", "left").withColumn("status", F.when(F.col("__named"), "confirmed").otherwise(F.col("status"))).select(*stored.columns)
+
+
+def removed(stored: DataFrame, ids: DataFrame) -> DataFrame:
+    return stored.join(ids.select("id"), "id", "left_anti").select(*stored.columns)
+
+
 def upsert_corrections(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """By id; a replaced correction moves to the end."""
     from loomline.operators.merge import keep_last

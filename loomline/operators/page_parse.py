@@ -68,3 +68,61 @@ def records(captions: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFra
     frames = placed.withColumn("step_index", step).select(F.format_string("kf:%s-%02d", "base", "step_index").alias("id"), F.col("id").alias("technique"), "step_index", "book", "page", F.array("x", "y", "w", "h").alias("bbox"))
     counts = frames.groupBy(F.col("technique").alias("id")).agg(F.count("*").alias("step_count"))
     return techniques.join(counts, "id"), frames
+
+
+def parsed(
+    pages: DataFrame, lines: DataFrame, regions: DataFrame, seed: DataFrame, section_corrections: DataFrame | None = None, forced: DataFrame | None = None,
+    operations: DataFrame | None = None, links: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Techniques, keyframes and captions of whole pages (book, page).
+
+    lines(book, page, at, text, y0) are read for captions by their page's section,
+    captions in two scripts are merged, forced(book, page, name, suppress) stands for
+    them or behind them, regions(book, page, boxes) go through operations(book, page,
+    ops) of ``overlay.region_ops``, and links(book, page, assign) of (caption_index,
+    regions) decide which boxes a caption has, else the nearest caption does.  Skipped
+    pages and captions without a box give nothing.
+    """
+    on = ["book", "page"]
+    sections = readable(sections_of(pages.select(*on).distinct(), seed, section_corrections))
+    told = layout.native_beside(lines, on, "at").withColumnRenamed("native", "beside")
+    found = captions_of(told.join(sections.select(*on, "weapon"), on), F.col("weapon"))
+    found = found.select(*on, "at", F.col("y0").cast("long").alias("y"), F.col("name").alias("romaji"), F.coalesce("native", "beside").alias("native"), "technique", "attack", "direction", "slug", "weapon")
+    none = F.lit(None).cast("array<string>")
+    armed = F.coalesce("weapon", F.lit("")) != ""
+    plain = layout.merge_bilingual(found.filter(~armed).select(*on, "at", "y", "romaji", "native", "technique", "attack", "direction", none.alias("form"), none.alias("qualifiers")))
+    plain = plain.join(found.select(*on, "at", "slug"), [*on, "at"])
+    fields = [*on, "at", "y", "romaji", "native", "technique", "attack", "direction", "slug"]
+    captions = plain.select(*fields).unionByName(found.filter(armed).select(*fields))
+    if forced is not None:
+        own = forced.join(sections.select(*on), on, "left_semi")
+        hidden = own.filter(F.coalesce("suppress", F.lit(True))).select(*on)
+        extra = own.select(*on, F.lit(1 << 40).alias("at"), F.lit(0).cast("long").alias("y"), F.col("name").alias("romaji"), slug(fold(F.col("name"))).alias("slug"))
+        captions = captions.join(hidden, on, "left_anti").unionByName(extra, allowMissingColumns=True)
+    captions = captions.withColumn("cap", F.row_number().over(W.partitionBy(*on).orderBy("at")) - 1)
+    boxes = regions.join(sections.select(*on), on, "left_semi")
+    if operations is not None:
+        changed = boxes.join(operations, on, "left")
+        boxes = changed.select(*on, F.when(F.col("ops").isNull(), F.col("boxes").cast(overlay.BOXES)).otherwise(overlay.region_ops(F.col("boxes"), F.coalesce("ops", F.array().cast(changed.schema["ops"].dataType)))).alias("boxes"))
+    each = boxes.select(*on, F.posexplode("boxes").alias("n", "b")).select(*on, "n", *(F.col("b")[c].alias(c) for c in ("x", "y", "w", "h")))
+    items = each.withColumn("cy", F.col("y") + F.col("h") / 2)
+    linked = layout.nearest_anchor(items, captions.select(*on, "cap", F.col("y").alias("y0")), on, "n", "cy", "cap", "y0").filter("cap is not null").withColumn("step", F.col("n"))
+    if links is not None:
+        given = links.select(*on, F.posexplode("assign").alias("k", "a")).select(*on, F.col("a.caption_index").alias("cap"), F.posexplode("a.regions").alias("step", "n"))
+        given = given.join(each.select(*on, "n"), [*on, "n"], "left_semi").join(captions.select(*on, "cap"), [*on, "cap"], "left_semi")
+        linked = linked.join(links.select(*on), on, "left_anti").select(*on, "cap", "n", "step").unionByName(given.select(*on, "cap", "n", "step"))
+    shown = captions.join(linked.select(*on, "cap").distinct(), [*on, "cap"], "left_semi").join(sections, on)
+    seq = F.row_number().over(W.partitionBy(*on).orderBy("cap"))
+    weapon = F.coalesce("weapon", F.lit("")) != ""
+    stand_in = slug(F.concat_ws("-", F.coalesce(F.nullif("weapon", F.lit("")), F.col("context")), "kind", F.col("seq").cast("string")))
+    named = shown.withColumn("seq", seq).withColumn("slug", F.when(weapon & F.col("slug").isin("technique", ""), stand_in).otherwise(F.col("slug")))
+    base = F.concat_ws("-", "book", F.concat(F.lit("p"), "page"), "slug")
+    techniques = named.select(
+        F.concat(F.lit("tech:"), base).alias("id"), *on, "cap", "seq", F.col("romaji").alias("name_romaji"), F.col("native").alias("name_native"), "kind", "context", "weapon", "form",
+        F.struct("technique", F.when(~weapon, F.col("attack")).alias("attack"), "direction").alias("slots"), F.lit("ocr").alias("confidence"), F.lit("provisional").alias("status"), base.alias("base"),
+    )
+    placed = linked.join(each, [*on, "n"]).join(techniques.select(*on, "cap", "id", "base"), [*on, "cap"])
+    step = F.row_number().over(W.partitionBy(*on, "cap").orderBy("step", "n"))
+    frames = placed.withColumn("step_index", step).select(F.format_string("kf:%s-%02d", "base", "step_index").alias("id"), F.col("id").alias("technique"), "step_index", *on, F.array("x", "y", "w", "h").alias("bbox"), F.lit("provisional").alias("status"))
+    counts = frames.groupBy(F.col("technique").alias("id")).agg(F.count("*").alias("step_count"))
+    return techniques.drop("base", "cap").join(counts, "id"), frames, captions

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.plans import corrections, linkage, pages
+from loomline.plans import corrections, linkage, pages, records
 from loomline.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corrections", "linkage", "pages"]
+__all__ = ["ORACLES", "QUERIES", "corrections", "linkage", "pages", "records"]

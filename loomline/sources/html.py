@@ -139,11 +139,22 @@ def hint_links(pages: DataFrame, key: str, url: str, html: str, hint: str = HINT
 
 #: Patterns of a name and of what stands beside a teacher's.
 _NAME = r"[A-Z][a-zA-Z'’.\-]+(?:\s+[A-Z][a-zA-Z'’.\-]+){1,2}"
+#: Words that are in no personal name.
+NOT_NAME = (
+    "aikido", "aikikai", "dojo", "sensei", "shihan", "shidoin", "fukushidoin",
+    "federation", "association", "alliance", "ki", "society", "school", "schools",
+    "martial", "arts", "class", "classes", "children", "youth", "adult", "home",
+    "about", "contact", "schedule", "privacy", "copyright", "instructor", "instructors",
+    "dan", "kyu", "cho", "project", "legacy", "center", "centre", "club", "hombu",
+    "welcome", "rights", "reserved", "the", "and", "our", "main", "head", "chief",
+)
+#: What a name in a directory looks like.
+DIRECTORY_NAME = r"^[A-Z][A-Za-z.'\-]*(?:\s+[A-Za-z.'\-]+){0,4}$"
 _CHIEF = rf"(?i)(?:Chief|Head|Founding|Dojo[- ]?cho)\s+Instructor[:,\s]+({_NAME})\b"
 _OTHERS = (rf"\b({_NAME})\s+Sensei\b", rf"\bSensei\s+({_NAME})\b", rf"\b({_NAME}),?\s+\d(?:st|nd|rd|th)\s+[Dd]an\b")
 
 
-def looks_like_name(c: Column, stop: tuple[str, ...] = ()) -> Column:
+def looks_like_name(c: Column, stop: tuple[str, ...] = NOT_NAME) -> Column:
     """Two or three capitalised words or initials, two words at least, none of ``stop``."""
     parts = F.filter(F.transform(F.split(c, r"\s+"), lambda t: F.trim(F.regexp_replace(t, r"^\.+|\.+$", ""))), lambda t: t != "")
     word = lambda t: t.rlike("^[A-Z][a-z]+$")
@@ -151,7 +162,7 @@ def looks_like_name(c: Column, stop: tuple[str, ...] = ()) -> Column:
     return F.size(parts).between(2, 3) & fine & (F.size(F.filter(parts, word)) >= 2)
 
 
-def instructors(pages: DataFrame, key: str, html: str, stop: tuple[str, ...] = ()) -> DataFrame:
+def instructors(pages: DataFrame, key: str, html: str, stop: tuple[str, ...] = NOT_NAME) -> DataFrame:
     """(key, name, role) from lines of at most 160 characters; chief beats instructor."""
     lines = pages.select(key, F.explode(F.split(html_to_text(html), BREAKS)).alias("line")).withColumn("line", F.trim("line")).filter(F.length("line").between(1, 160))
     chief = F.transform(F.regexp_extract_all("line", F.lit(_CHIEF)), lambda n: F.struct(n.alias("name"), F.lit(1).alias("rank")))
@@ -160,6 +171,12 @@ def instructors(pages: DataFrame, key: str, html: str, stop: tuple[str, ...] = (
     return found.groupBy(key, "name").agg(F.max("rank").alias("rank")).select(key, "name", F.when(F.col("rank") == 1, "chief").otherwise("instructor").alias("role"))
 
 
+def directory_name(c: Column) -> Column:
+    """A name of a directory entry without its parentheses, if it looks like one, else null."""
+    name = F.trim(F.regexp_replace(c, r"\s*\([^)]*\)", ""))
+    return F.when(name.rlike(DIRECTORY_NAME), name)
+
+
 def labelled(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, record, label, text, href) of dt/dd and th/td pairs; a heading of level 3 opens a record."""
     rows = pages.select(key, F.posexplode(html_fields(html)).alias("at", "f")).select(key, "at", "f.*")

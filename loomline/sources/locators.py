@@ -39,7 +39,7 @@ def directory(pages: DataFrame, key: str, html: str, org: Column) -> DataFrame:
     people = F.flatten(F.transform("n", lambda x: split_names(x["text"])))
     return found.withColumn("people", people).select(
         key, entity_id("dojo", F.col("heading")).alias("id"), F.col("heading").alias("name"), F.array(org).alias("org"), location(F.col("address")).alias("location"),
-        F.get("people", 0).alias("chief_instructor"), F.slice("people", 2, 10_000).alias("instructors"), "website", "record",
+        F.get("people", 0).alias("chief_instructor"), F.slice("people", 2, F.greatest(F.size("people"), F.lit(1))).alias("instructors"), "website", "record",
     ).filter("id is not null")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.functions.scalars import cache_key
-from loomline.operators.merge import keep_last
+from loomline.operators.merge import keep_last, upsert
 
 _PROVENANCE = "source array<string>, retrieved string"
 SCHEMAS = {
@@ -42,6 +42,25 @@ def read_collection(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return keep_last(rows.withColumn("__at", F.monotonically_increasing_id()), ["id"], F.col("__at")).drop("__at")
 
 
+#: Seeds in the order in which they are laid over what is stored.
+SEEDS = (("organizations", "organization"), ("persons", "person"), ("dojos", "dojo"), ("tenures", "tenure"))
+
+
+def load_seeds(spark: SparkSession, folder: str, stored: dict[str, DataFrame], rules: dict[str, dict[str, str]]) -> dict[str, DataFrame]:
+    """Stored collections with the seeds of a folder (`name.json`) laid over them by ``rules``, in the order of SEEDS; a missing file changes nothing."""
+    out = dict(stored)
+    for name, kind in SEEDS:
+        rows = read_collection(spark, f"{folder}/{name}.json", kind).withColumn("seq", F.monotonically_increasing_id())
+        base = out.get(name, spark.createDataFrame([], schema(kind)))
+        out[name] = upsert(base.select("id", *rules[name]), rows.select("id", "seq", *rules[name]), "id", "seq", rules[name])
+    return out
+
+
+def since_today(rows: DataFrame, column: str = "retrieved") -> DataFrame:
+    """Rows without a date get today's."""
+    return rows.withColumn(column, F.coalesce(column, F.date_format(F.current_date(), "yyyy-MM-dd")))
+
+
 def write_collection(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Sorted by id; Spark's committer puts the files in place when all are written."""
     rows.orderBy("id").write.mode("overwrite").format(fmt).save(path)

@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.operators.merge import upsert
-from loomline.sources.tables import exists
+from loomline.operators.merge import merge_by_key
 
 
-def merge_stream(stream: DataFrame, path: str, checkpoint: str, key: str, seq: str, rules: Mapping[str, str]):
-    """Folds each micro-batch into versions of a Parquet table below ``path``; the newest is the table.
+def merge_stream(stream: DataFrame, path: str, checkpoint: str):
+    """Appends each micro-batch's versions to a log below ``path``, of which ``merged_table`` is the table.
 
-    A version is named by its batch, so a batch that runs again writes the same one.
+    A batch writes its own rows and nothing else, under the checkpoint's name and its
+    number: one that runs again writes the same part, and a new checkpoint beside it
+    writes parts of its own.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
-    def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = f"{path}/v={number - 1}"
-        fresh = batch
-        if number and exists(spark, before):
-            merged = upsert(spark.read.parquet(before), fresh, key, seq, rules)
-        else:
-            merged = upsert(fresh.limit(0).drop(seq), fresh, key, seq, rules)
-        merged.write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold).trigger(availableNow=True).start()
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add).trigger(availableNow=True).start()
+
+
+def merged_table(spark: SparkSession, path: str, schema: str, key: str, seq: str, rules: Mapping[str, str]) -> DataFrame:
+    """All versions of a log, folded by ``rules`` in the order of ``seq``, whichever batch brought them."""
+    return merge_by_key(spark.read.schema(schema).option("basePath", path).parquet(f"{path}/run=*/batch=*"), key, seq, rules)
 
 
 def tumbling(events: DataFrame, time: str, every: str, late: str, *by: str) -> DataFrame:

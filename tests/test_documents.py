@@ -74,6 +74,24 @@ def test_forced_caption(spark):
     assert one(spark, overlay.forced_caption(caps, F.lit(None).cast("string"), F.lit(True))) == ["a"]
 
 
+def test_ranges_against_all_pairs(spark):
+    r = random.Random(9)
+    units = [(g, r.choice([None, *range(-30, 90)])) for g in "ab" for _ in range(60)]
+    ranges = [(r.choice("ab"), a, a + r.randrange(-2, 40), i) for i, a in enumerate(r.randrange(-40, 90) for _ in range(40))] + [("a", None, 5, 98), ("b", 5, None, 99)]
+    u, c = spark.createDataFrame(units, "g string, at int"), spark.createDataFrame(ranges, "g string, first int, last int, n int")
+    for on in (["g"], []):
+        got = overlay.holding(u, c if on else c.drop("g"), on, "at", "first", "last").select("g", "at", "n").collect()
+        want = [(g, x, n) for g, x in units for h, a, b, n in ranges if (g == h or not on) and None not in (x, a, b) and a <= x <= b]
+        assert sorted(map(tuple, got)) == sorted(want)
+    corrections = spark.createDataFrame(
+        [("a", 0, 10, 0), ("a", None, None, 1), (None, 5, 60, 2), (None, None, None, 3)], "g string, first int, last int, seq int"
+    ).selectExpr("*", "'page' as level", "'2024' as date", "'' as status", "'t' as target", "'p' as payload", "'x' as author")
+    got = overlay.matching(u.distinct(), corrections, ["g"], ("at", "first", "last")).select("g", "at", F.col("rank.seq").alias("n")).collect()
+    rows = [("a", 0, 10, 0), ("a", None, None, 1), (None, 5, 60, 2), (None, None, None, 3)]
+    want = [(g, x, n) for g, x in set(units) for h, a, b, n in rows if h in (None, g) and (a is None or x is not None and a <= x <= b)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_section_lookup(spark):
     ranges = spark.createDataFrame([("v", 1, 10, "skip", 1), ("v", 5, 20, "jo", 2)], "book string, first int, last int, kind string, seq int")
     pages = spark.createDataFrame([("v", 5), ("v", 5), ("v", 11), ("v", 30), ("w", 5)], "book string, page int")
@@ -182,10 +200,16 @@ def test_nearest_anchor_against_all_pairs(spark):
 
 
 def test_bilingual_captions(spark):
-    rows = [(1, 5, "Shomenuchi Ikkyo", None, "ikkyo", "shomen-uchi", None), (1, 9, None, "正面打ち一教", "ikkyo", "shomen-uchi", "omote"), (2, 1, "Ikkyo Omote", None, "ikkyo", None, "omote"), (2, 2, "Ikkyo Ura", None, "ikkyo", None, "ura")]
-    got = sorted(map(tuple, layout.merge_bilingual(spark.createDataFrame(rows, "page long, y long, romaji string, native string, technique string, attack string, direction string")).collect()))
-    assert got[0] == (1, 5, "Shomenuchi Ikkyo", "正面打ち一教", "ikkyo", "shomen-uchi", "omote", 2)
-    assert len(got) == 3
+    none = (None, None)
+    rows = [
+        ("a", 1, 0, 5, "Shomenuchi Ikkyo", None, "ikkyo", "shomen-uchi", None, ["x"], ["q"]), ("a", 1, 1, 3, None, "正面打ち一教", "ikkyo", "shomen-uchi", "omote", ["y", "x"], ["r"]),
+        ("a", 2, 0, 1, "Ikkyo Omote", None, "ikkyo", None, "omote", *none), ("a", 2, 1, 2, "Ikkyo Ura", None, "ikkyo", None, "ura", *none),
+        ("b", 1, 0, 7, None, "一教", "ikkyo", None, None, *none), ("b", 1, 1, 9, "Nikyo", None, "nikyo", None, None, *none),
+    ]
+    kind = "book string, page long, at long, y long, romaji string, native string, technique string, attack string, direction string, form array<string>, qualifiers array<string>"
+    got = sorted(map(tuple, layout.merge_bilingual(spark.createDataFrame(rows, kind)).collect()))
+    assert got[0] == ("a", 1, 0, 3, "Shomenuchi Ikkyo", "正面打ち一教", "ikkyo", "shomen-uchi", "omote", ["x", "y"], ["q", "r"], 2)
+    assert len(got) == 5
 
 
 def test_captions(spark):
@@ -237,11 +261,13 @@ def test_taught_words(spark):
     assert one(spark, c)["technique"] == ["new-waza"] and one(spark, lexicon.classify(F.lit("Neo ura")))["technique"] == []
 
 
-def test_glossary(spark):
+def test_glossary(spark, monkeypatch):
     terms = spark.createDataFrame([("t1", "四方"), ("t2", "四方投げ"), ("t3", "四方"), ("t4", "")], "term string, kanji string")
     texts = spark.createDataFrame([(1, "これは四方投げ"), (2, "none")], "k int, text string")
     assert [(r["kanji"], r["n"]) for r in lexicon.retrieve_terms(texts, "k", "text", terms).orderBy("n").collect()] == [("四方投げ", 1), ("四方", 2)]
     assert lexicon.retrieve_terms(texts, "k", "text", terms.limit(0)).count() == 0
+    monkeypatch.setattr(lexicon, "SPELLINGS", 1)
+    assert [(r["kanji"], r["n"]) for r in lexicon.retrieve_terms(texts, "k", "text", terms).orderBy("n").collect()] == [("四方投げ", 1), ("四方", 2)]
     assert lexicon.curated_terms(spark).count() == sum(map(len, __import__("loomline.functions.vocabulary", fromlist=["x"]).SPELLINGS.values()))
     assert one(spark, lexicon.prompt(F.lit("x"), F.array(F.lit("a")))) == "Use these terms:\n- a\n\nTranslate:\nx"
 
@@ -327,9 +353,12 @@ def test_streams(spark, tmp_path):
     for n, rows in enumerate([[(1, 0, ["a"], "x"), (2, 1, ["b"], None)], [(1, 2, ["b", "a"], None), (3, 3, [], "z")]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(schema).parquet(folder)
-        upserts.merge_stream(stream, f"{tmp_path}/out", f"{tmp_path}/ck", "id", "seq", rules).awaitTermination()
-    got = {r["id"]: (r["names"], r["last"]) for r in spark.read.parquet(f"{tmp_path}/out/v=1").collect()}
-    assert got == {1: (["a", "b"], "x"), 2: (["b"], None), 3: ([], "z")}
+        upserts.merge_stream(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    table = lambda: {r["id"]: (r["names"], r["last"]) for r in upserts.merged_table(spark, f"{tmp_path}/out", schema, "id", "seq", rules).collect()}
+    assert table() == {1: (["a", "b"], "x"), 2: (["b"], None), 3: ([], "z")}
+    # a new checkpoint reads everything again, beside what is there: merging twice changes nothing
+    upserts.merge_stream(spark.readStream.schema(schema).parquet(folder), f"{tmp_path}/out", f"{tmp_path}/other").awaitTermination()
+    assert table() == {1: (["a", "b"], "x"), 2: (["b"], None), 3: ([], "z")}
     events = spark.createDataFrame([(f"2024-01-01 00:{m:02d}:00", 1, 1.0) for m in (0, 1, 30, 59)], "ts string, user int, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted(r["n"] for r in upserts.sessions(events, "ts", "5 minutes", "1 hour", "user").collect()) == [1, 1, 2]
 
