@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
     """Bounds Arrow batches, so that a batch of very long texts fits a Python worker.
 
     Values that the session has set lower stay.
