@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.scalars import edge_id, range_label, year_of
 from loomline.operators.merge import strength
+from loomline.operators.overlay import holding
 
 #: Roles that teach and roles that learn; the end of a stay without one.
 TEACHES = ("founder", "chief-instructor", "instructor")
@@ -24,15 +25,21 @@ def copresence(tenures: DataFrame) -> DataFrame:
 
     tenures(id, person, dojo, role, start, end, source, retrieved); years as strings or
     numbers.  Bounds are inclusive, a null end is open; a stay without a known start,
-    or with an end that is no year, can't be placed.  The join is on the dojo, with
-    the years as its condition; adaptive execution splits a dojo that has many stays.
+    or with an end that is no year, can't be placed.  Two stays share a year if the one
+    that starts later starts within the other, so starts are met with stays by dojo and
+    aligned spans of years: no pair is made that doesn't overlap.
     """
     low, high = year_of(F.col("start")), F.when(F.col("end").isNull(), OPEN).otherwise(year_of(F.col("end")))
-    placed = tenures.select("id", "person", "dojo", "role", low.alias("lo"), high.alias("hi"), *(c for c in ("source", "retrieved") if c in tenures.columns)).filter("lo is not null and hi is not null")
-    a = placed.select(*(F.col(c).alias(f"a_{c}") if c != "dojo" else F.col(c) for c in placed.columns))
-    b = placed.select(*(F.col(c).alias(f"b_{c}") if c != "dojo" else F.col(c) for c in placed.columns))
+    placed = tenures.select("id", "person", "dojo", "role", low.alias("lo"), high.alias("hi"), *(c for c in ("source", "retrieved") if c in tenures.columns)).filter("lo <= hi")
+    fields = [c for c in placed.columns if c != "dojo"]
+    side = lambda mark: [F.col(c).alias(f"{mark}_{c}") for c in fields]
+    starts = placed.select("dojo", *side("s"), F.col("lo").alias("__start"))
+    stays = placed.select("dojo", *side("t"), F.col("lo").alias("__first"), F.col("hi").alias("__last"))
+    met = holding(starts, stays, ["dojo"], "__start", "__first", "__last")
+    met = met.filter((F.col("s_id") != F.col("t_id")) & (F.col("s_person") != F.col("t_person")) & ((F.col("s_lo") > F.col("t_lo")) | (F.col("s_id") < F.col("t_id"))))
+    first = F.col("s_id") < F.col("t_id")
+    pairs = met.select("dojo", *(F.when(first, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{z}_{c}") for z, x, y in (("a", "s", "t"), ("b", "t", "s")) for c in fields))
     lo, hi = F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi")
-    pairs = a.join(b, "dojo").filter((F.col("a_id") < F.col("b_id")) & (F.col("a_person") != F.col("b_person")) & (lo <= hi))
     return pairs.withColumns({"lo": lo, "hi": F.when(hi < OPEN, hi), "direction": direction(F.col("a_role"), F.col("b_role"))})
 
 

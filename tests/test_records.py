@@ -105,6 +105,15 @@ def test_copresence(spark):
     assert pairs(("a", "d", "student", "1931", None), ("a", "d", "founder", "1930", None), ("b", "e", "student", "1930", None)) == []
 
 
+def test_copresence_against_all_pairs(spark):
+    r = random.Random(4)
+    rows = [(f"p{r.randrange(25)}", f"d{r.randrange(3)}", r.choice(["founder", "student", "uchi-deshi", "guest"]), str(1950 + r.randrange(30)), r.choice([None, "x", *(str(1950 + r.randrange(45)) for _ in range(6))])) for _ in range(90)]
+    table = tenures(spark, *rows)
+    stays = [(x["id"], x["person"], x["dojo"], int(x["start"]), 9999 if x["end"] is None else int(x["end"])) for x in table.collect() if x["end"] != "x"]
+    want = sorted((a[0], b[0], max(a[3], b[3]), min(a[4], b[4])) for a in stays for b in stays if a[0] < b[0] and a[1] != b[1] and a[2] == b[2] and max(a[3], b[3]) <= min(a[4], b[4]))
+    assert want == sorted((x["a_id"], x["b_id"], x["lo"], x["hi"] or 9999) for x in intervals.copresence(table).collect())
+
+
 def test_teaching_edges(spark):
     rows = tenures(spark, ("t", "d1", "founder", "1950", "1960"), ("s", "d1", "student", "1955", None), ("t", "d2", "instructor", "1970", None), ("s", "d2", "uchi-deshi", "1971", "1972"))
     edge = intervals.teaching_edges(intervals.copresence(rows)).collect()
