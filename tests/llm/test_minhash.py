@@ -115,5 +115,13 @@ def test_repeated_null_and_clashing_columns(spark):
     assert got == [(1, 1, True), (1, 1, True), (3, 1, False), (None, None, True)]
 
 
+def test_very_long_text(spark):
+    r = random.Random(6)
+    long = [f"w{r.randrange(10**6)}" for _ in range(200_000)]
+    other = [w if r.random() > 0.02 else f"x{i}" for i, w in enumerate(long)]
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[:120_000])), (4, "z" * 2_000_000)]
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows)
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0

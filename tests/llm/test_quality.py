@@ -132,7 +132,9 @@ def test_ordinal_held_out(spark):
 def test_ordinal_edges(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert op10_ordinal(spark, sf_dir).count() == n
-    docs = spark.createDataFrame([(1, None, 0.1), (1, "a", 0.2), (None, "b", 0.3)], "doc_id bigint, text string, score double")
+    docs = spark.createDataFrame([(1, None, 0.1), (1, "a", 0.2), (None, "b " * 300_000 + "c" * 1_000_000, 0.3)], "doc_id bigint, text string, score double")
+    kept = score(docs, train(docs, docs.selectExpr("doc_id", "1 as grade")), keep=("score", "text")).collect()
+    assert sorted(r["row"]["score"] for r in kept) == [0.1, 0.2, 0.3] and all(isinstance(r["score"], float) for r in kept)
     ratings = spark.createDataFrame([(1, 2), (1, 0), (None, 1), (3, None), (4, 9)], "doc_id bigint, grade int")
     assert score(docs, train(docs, ratings)).count() == 3
     assert score(docs, train(docs, ratings.limit(0))).count() == 3
