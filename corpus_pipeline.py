@@ -33,8 +33,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     order = (F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
     numbered = docs.orderBy(*order).select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number"))
-    rows = Scratch(spark).cut(numbered, "rows")
-    kept = near_duplicates(rows.select("number", "row.text"), "number").filter("kept").select("number")
+    scratch = Scratch(spark)
+    rows = scratch.cut(numbered, "rows")
+    # written, so that the join knows its size: few numbers go to every task, many are joined by shuffle
+    kept = scratch.cut(near_duplicates(rows.select("number", "row.text"), "number").filter("kept").select("number"), "kept")
     return rows.join(kept, "number", "left_semi").select("row.*")
 
 
