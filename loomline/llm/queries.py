@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomline.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from loomline.llm.lattice import op5_lattice
 from loomline.llm.minhash import op1_minhash
 from loomline.llm.ordinal import op10_ordinal
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_winnowing": op8_winnowing,
     "op9_url_filter": op9_url_filter,
     "op10_ordinal": op10_ordinal,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 _LISTED = f"""listed as (
@@ -53,4 +55,5 @@ ORACLES: dict[str, str] = {
                     else 'allow' end as verdict
         from r
     """,
+    "op11_hard_negatives": OP11_SQL,
 }
