@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from loomline.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from loomline.llm.lattice import op5_lattice
+from loomline.llm.media import op12_png
 from loomline.llm.minhash import op1_minhash
 from loomline.llm.ordinal import op10_ordinal
 from loomline.llm.packing import op6_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_ordinal": op10_ordinal,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_png": op12_png,
 }
 
 _LISTED = f"""listed as (
