@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomline.llm.alignment import op13_alignment
 from loomline.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from loomline.llm.lattice import op5_lattice
 from loomline.llm.media import op12_png
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_ordinal": op10_ordinal,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_png": op12_png,
+    "op13_alignment": op13_alignment,
 }
 
 _LISTED = f"""listed as (
