@@ -22,6 +22,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +69,10 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         #: No piece holds a space behind another character, so none crosses the start of a unit.
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.a_size = np.array([len(x) for x in self.a_bytes])
-        self.b_size = np.array([len(x) for x in self.b_bytes])
+        self.a_table, self.b_table = pa.array(self.a_bytes, pa.large_binary()), pa.array(self.b_bytes, pa.large_binary())
+        self.a_size, self.b_size = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
+        #: Each id as text with what may follow it: another id of its side, the other side, another group.
+        self.written = pa.array([f"{i}{mark}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in ",|;"], pa.large_string())
 
     def units(self, text: str) -> list[str]:
         """A space and the text, cut ahead of each space that follows a visible character."""
@@ -77,14 +80,38 @@ class Pair:
 
     def tokens(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
         """Ids of each unit by either tokenizer, and whether both spell it byte by byte."""
-        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         b = self.b.encode([u[1:] for u in units], num_threads=1)
-        sound = []
-        for unit, x, y in zip(units, a, b):
-            whole = unit.encode()
-            sound.append(b"".join(map(self.a_bytes.__getitem__, x)) == whole == b"".join(map(self.b_bytes.__getitem__, y)))
+        whole = [u.encode() for u in units]
+        if self._spell(whole, a, self.a_table) and self._spell(whole, b, self.b_table):
+            return a, b, [True] * len(units)
+        sound = [b"".join(map(self.a_bytes.__getitem__, x)) == u == b"".join(map(self.b_bytes.__getitem__, y)) for u, x, y in zip(whole, a, b)]
         return a, b, sound
 
+    @staticmethod
+    def _spell(whole: list[bytes], ids: list[list[int]], table: pa.Array) -> bool:
+        """Whether all units' tokens are their bytes."""
+        data, ends = _taken(table, _flat(ids))
+        stops = np.append(0, ends)[np.cumsum(_lengths(ids))]
+        return bool((stops == np.cumsum(_lengths(whole))).all()) and data == b"".join(whole)
+
+
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64)
+
+
+def _lengths(lists: list) -> np.ndarray:
+    return np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+def _taken(table: pa.Array, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bytes of the table's values at these places in a row, and where each ends."""
+    if not len(at):
+        return b"", np.empty(0, np.int64)
+    found = table.take(pa.array(at))
+    ends = np.frombuffer(found.buffers()[1], np.int64)[: len(at) + 1]
+    return found.buffers()[2].to_pybytes()[ends[0] : ends[-1]], ends[1:] - ends[0]
+
 
 def _ends(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes, dtype=np.int64)
@@ -113,7 +140,8 @@ class Units:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.texts: list[str | None] = []
+        #: groups as text, each with a semicolon behind it; None where the bytes differ
+        self.texts: list[bytes | None] = []
         #: of each unit: tokens of a, of b, groups, links, and where its codes start
         self.counts = np.zeros((1024, 5), np.int64)
         self.codes, self.used = np.empty(1 << 16, np.uint64), 0
@@ -124,18 +152,22 @@ class Units:
         while len(self.counts) < n + len(units):
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
         good = [i for i, s in enumerate(sound) if s]
-        self.texts.extend(["" if s else None for s in sound])
+        self.texts.extend([b"" if s else None for s in sound])
         self.at.update((u, n + i) for i, u in enumerate(units))
         if not good:
             return
-        good_a, good_b = [a[i] for i in good], [b[i] for i in good]
-        flat_a, flat_b = (np.fromiter((t for x in side for t in x), np.int64) for side in (good_a, good_b))
+        if len(good) < len(units):
+            a, b = [a[i] for i in good], [b[i] for i in good]
+        flat_a, flat_b, a_count, b_count = _flat(a), _flat(b), _lengths(a), _lengths(b)
         a_end, b_end = _ends(self.pair.a_size[flat_a]), _ends(self.pair.b_size[flat_b])
-        a_count, b_count = (np.array([len(x) for x in side]) for side in (good_a, good_b))
         link_a, link_b = links(a_end, b_end)
         unit_of = np.repeat(np.arange(len(good)), a_count)
         link_count = np.bincount(unit_of[link_a], minlength=len(good))
-        closes_a, closes_b = np.isin(a_end, b_end), np.isin(b_end, a_end)
+        # both rows of ends rise, so a token closes a group if its end is among the other's
+        met = np.searchsorted(b_end, a_end)
+        closes_a = b_end[met] == a_end
+        closes_b = np.zeros(len(b_end), bool)
+        closes_b[met[closes_a]] = True
         group_count = np.bincount(unit_of[closes_a], minlength=len(good))
         codes = flat_b[link_b].astype(np.uint64) << np.uint64(32) | flat_a[link_a].astype(np.uint64)
         if self.used + len(codes) > len(self.codes):
@@ -145,33 +177,42 @@ class Units:
         starts = self.used + np.cumsum(link_count) - link_count
         self.counts[places] = np.stack([a_count, b_count, group_count, link_count, starts], 1)
         self.used += len(codes)
-        # a group's ids as text: a's joined, a bar, b's joined
-        shut_a, shut_b = closes_a.tolist(), closes_b.tolist()
-        i = j = 0
-        for place, x, y in zip(places.tolist(), good_a, good_b):
-            sides: tuple[list[str], list[str]] = ([], [])
-            for ids, shut, at, side in ((x, shut_a, i, sides[0]), (y, shut_b, j, sides[1])):
-                run: list[str] = []
-                for k, t in enumerate(ids):
-                    run.append(str(t))
-                    if shut[at + k]:
-                        side.append(",".join(run))
-                        run = []
-            i, j = i + len(x), j + len(y)
-            self.texts[place] = ";".join(map("|".join, zip(*sides)))
-
-    def places(self, units: list[str]) -> np.ndarray:
-        """Where each unit is remembered."""
+        for place, text in zip(places.tolist(), self._groups(flat_a, closes_a, flat_b, closes_b, group_count)):
+            self.texts[place] = text
+
+    def _groups(self, flat_a: np.ndarray, closes_a: np.ndarray, flat_b: np.ndarray, closes_b: np.ndarray, group_count: np.ndarray) -> Iterator[bytes]:
+        """Each unit's groups as text: a's ids joined by commas, a bar, b's, a semicolon."""
+        a_group, b_group = (np.cumsum(c) - c for c in (closes_a, closes_b))
+        # a token stands behind those of earlier groups, of its side, and of the other side's part ahead of it
+        a_place = np.arange(len(flat_a)) + np.searchsorted(b_group, a_group, "left")
+        b_place = np.arange(len(flat_b)) + np.searchsorted(a_group, b_group, "right")
+        written = np.empty(len(flat_a) + len(flat_b), np.int64)
+        written[a_place] = flat_a * 3 + closes_a
+        written[b_place] = flat_b * 3 + 2 * closes_b
+        data, ends = _taken(self.pair.written, written)
+        stops = ends[np.sort(b_place[closes_b])[np.cumsum(group_count) - 1]].tolist()
+        start = 0
+        for stop in stops:
+            yield data[start:stop]
+            start = stop
+
+    def prepare(self, units: list[str]) -> None:
+        """Remembers units ahead of ``places``, all at once."""
         if len(self.texts) > MEMO:
             self.forget()
         new = list(dict.fromkeys(u for u in units if u not in self.at))
         if new:
             self.learn(new)
-        found = np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
-        for u in new:
+
+    def places(self, units: list[str]) -> np.ndarray:
+        """Where each unit is remembered."""
+        return np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
+
+    def trim(self, units: list[str]) -> None:
+        """Forgets long units, which hardly come again."""
+        for u in units:
             if len(u) > REMEMBERED:
-                del self.at[u]
-        return found
+                self.at.pop(u, None)
 
 
 def _summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,24 +223,33 @@ def _summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[starts], np.add.reduceat(times, starts) if len(codes) else times
 
 
-def aligned(text: str, units: Units) -> tuple[list[int], str, np.ndarray, np.ndarray] | None:
-    """(tokens of a, of b, groups, links), digest of the groups, distinct codes and their multiplicities; None without tokens."""
+def aligned(text: str, units: Units, cut: list[str] | None = None) -> tuple[list[int], str, np.ndarray, np.ndarray] | None:
+    """(tokens of a, of b, groups, links), digest of the groups, distinct codes and their multiplicities; None without tokens.
+
+    ``cut`` are the text's units if they are prepared already.
+    """
     if not text:
         return None
-    cut = units.pair.units(text)
+    ready = cut is not None
+    cut = cut or units.pair.units(text)
     totals, digest, parts = np.zeros(4, np.int64), hashlib.sha256(), []
     start = 0
     while start < len(cut):
         stop, size = start, 0
-        while stop < len(cut) and size < STRETCH:
+        while stop < len(cut) and (ready or size < STRETCH):
             size += len(cut[stop])
-            stop += 1
+            stop = len(cut) if ready else stop + 1
+        if not ready:
+            units.prepare(cut[start:stop])
         places = units.places(cut[start:stop])
-        texts = list(map(units.texts.__getitem__, places))
+        texts = list(map(units.texts.__getitem__, places.tolist()))
+        if not ready:
+            units.trim(cut[start:stop])
         if None in texts:
             # the units' bytes differ; those of the whole text decide
             return _unsound(text, units.pair) if len(cut) > 1 else None
-        digest.update(((";" if start else "") + ";".join(texts)).encode())
+        written = b"".join(texts)
+        digest.update(written if stop < len(cut) else written[:-1])
         place, times = np.unique(places, return_counts=True)
         counts = units.counts[place]
         totals += (counts[:, :4] * times[:, None]).sum(0)
@@ -209,12 +259,24 @@ def aligned(text: str, units: Units) -> tuple[list[int], str, np.ndarray, np.nda
     return totals.tolist(), digest.hexdigest(), codes, times
 
 
+def aligned_all(texts: list[str], units: Units) -> list[tuple | None]:
+    """``aligned`` for each text; the new units of all are tokenized together, unless there is more than a stretch of text."""
+    if sum(map(len, texts)) > STRETCH:
+        return [aligned(t, units) for t in texts]
+    cuts = [units.pair.units(t) for t in texts]
+    every = list(chain.from_iterable(cuts))
+    units.prepare(every)
+    found = [aligned(t, units, c) for t, c in zip(texts, cuts)]
+    units.trim(every)
+    return found
+
+
 def _unsound(text: str, pair: Pair) -> tuple[list[int], str, np.ndarray, np.ndarray] | None:
     whole = Units(pair)
     whole.learn([" " + text])
     if whole.texts[0] is None:
         return None
-    return whole.counts[0, :4].tolist(), hashlib.sha256(whole.texts[0].encode()).hexdigest(), *_summed(whole.codes[: whole.used], np.ones(whole.used, np.int64))
+    return whole.counts[0, :4].tolist(), hashlib.sha256(whole.texts[0][:-1]).hexdigest(), *_summed(whole.codes[: whole.used], np.ones(whole.used, np.int64))
 
 
 #: One for each worker process, for all of its tasks.
@@ -234,7 +296,7 @@ def _aligner(paths: tuple[str, str]):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _units(paths)
         for batch in slices(batches, "__text"):
-            found = [aligned(t or "", units) for t in batch.column("__text").to_pylist()]
+            found = aligned_all([t or "" for t in batch.column("__text").to_pylist()], units)
             new = {n: pa.array([f[0][i] if f else 0 for f in found], pa.int64()) for i, n in enumerate(_COUNTS)}
             new["groups_sha256"] = pa.array([f[1] if f else "" for f in found])
             new["codes"] = pa.array([f[2].astype("<u8").tobytes() if f else b"" for f in found], pa.binary())
