@@ -103,10 +103,9 @@ def numbered(rows: DataFrame, by: list[str], *order: str, name: str = "n") -> Da
 
 
 def native_beside(lines: DataFrame, by: list[str], *order: str) -> DataFrame:
-    """The longest run of kana and kanji in this line, else in the line before."""
-    runs = F.regexp_extract_all("text", F.lit("([぀-ヿ㐀-鿿々]{2,})"))
-    longest = F.when(F.size(runs) > 0, F.element_at(F.filter(runs, lambda r: F.length(r) == F.array_max(F.transform(runs, F.length))), 1))
-    rows = lines.withColumn("__r", longest)
+    """The first run of kana, kanji and their marks in this line, if it has two characters, else such a run in the line before."""
+    run = F.btrim(F.regexp_extract("text", "[぀-ヿ㐀-鿿\u3000-〿]+", 0), F.lit("\u3000"))
+    rows = lines.withColumn("__r", F.when(F.length(run) >= 2, run))
     return rows.withColumn("native", F.coalesce("__r", F.lag("__r").over(W.partitionBy(*by).orderBy(*order)))).drop("__r")
 
 
@@ -183,7 +182,9 @@ def merge_bilingual(captions: DataFrame) -> DataFrame:
                 e = out[at]
                 own, other = (c, e) if latin(c["romaji"]) else (e, c)
                 e.update(
-                    {s: e[s] or c[s] for s in slots}, romaji=own["romaji"], native=e["native"] or other["native"] or other["romaji"], y=min(e["y"], c["y"]), n_merged=e["n_merged"] + 1,
+                    {s: e[s] or c[s] for s in slots}, romaji=own["romaji"],
+                    # the name of a caption that was there first has given way to the Latin one by then
+                    native=e["native"] or other["native"] or (own if other is e else other)["romaji"], y=min(e["y"], c["y"]), n_merged=e["n_merged"] + 1,
                     form=list(dict.fromkeys(e["form"] + c["form"])), qualifiers=list(dict.fromkeys(e["qualifiers"] + c["qualifiers"])),
                 )
             for s in slots[:2]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -19,6 +20,8 @@ from loomline.storage import Scratch, bound_batches
 
 SLOTS = ("technique", "attack", "direction", "form")
 Entry = tuple[str, str, str]
+#: Spellings of one automaton.
+SPELLINGS = 50_000
 
 
 def seed() -> tuple[list[Entry], list[Entry]]:
@@ -29,46 +32,164 @@ def seed() -> tuple[list[Entry], list[Entry]]:
 
 
 def taught(entries: list[Entry], corrections: list[dict], kanji: bool) -> list[Entry]:
-    """Entries with those of corrections {slot, canonical, variants, kanji}; a name's taught spellings are sorted."""
-    out = list(entries)
+    """Entries with those of corrections {slot, canonical, variants, kanji}, slot by slot and name by name; a name's taught spellings are sorted."""
+    names: dict[tuple[str, str], list[str]] = {}
+    for s, slot, name in entries:
+        names.setdefault((slot, name), []).append(s)
     for c in corrections:
-        spellings = c.get("kanji") or [] if kanji else sorted(re.sub("[^a-z0-9]", "", v.lower()) for v in [c["canonical"], *(c.get("variants") or [])])
-        out += [(s, c["slot"], c["canonical"]) for s in spellings if (s, c["slot"], c["canonical"]) not in out]
-    return out
+        own = names.setdefault((c["slot"], c["canonical"]), [])
+        if kanji:
+            own += [s for s in c.get("kanji") or [] if s not in own]
+        else:
+            bare = [re.sub("[^a-z0-9]", "", v.lower()) for v in [c["canonical"], *(c.get("variants") or [])]]
+            own[:] = [bare[0], *sorted({*own, *bare} - {bare[0]})]
+    slots = list(dict.fromkeys(slot for slot, _ in names))
+    return [(s, slot, name) for slot in slots for (of, name), spellings in names.items() if of == slot for s in spellings]
 
 
-def _longest_first(entries: list[Entry]) -> list[Entry]:
-    return sorted((e for e in entries if e[0]), key=lambda e: -len(e[0]))
+def taught_by(corrections: DataFrame) -> tuple[list[Entry], list[Entry]]:
+    """The seed's entries (kanji, folded) with a table's corrections (slot, canonical, variants, kanji, seq), in the order of seq.
 
+    The table is counted first: beyond SPELLINGS taught spellings ``classify_by`` is the way.
+    """
+    size = corrections.agg(F.sum(1 + F.coalesce(F.size("variants"), F.lit(0)) + F.coalesce(F.size("kanji"), F.lit(0)))).first()[0] or 0
+    if size > SPELLINGS:
+        raise ValueError(f"{size} taught spellings; one automaton holds {SPELLINGS}, classify_by takes more")
+    rows = [r.asDict() for r in corrections.filter("slot is not null and slot <> '' and canonical is not null and canonical <> ''").orderBy("seq").collect()]
+    kanji, latin = seed()
+    return taught(kanji, rows, True), taught(latin, [r for r in rows if r["slot"] in SLOTS], False)
 
-def classify(text: Column, kanji: list[Entry] | None = None, latin: list[Entry] | None = None) -> Column:
-    """Names per slot that a text holds, as a struct of arrays in the order found.
 
-    Longer spellings go first and are blotted out once their name is found, so that a
-    part of them is not found again; a name found already blots out nothing.  The
-    lexicon is an ordered literal, folded over in one expression without Python.
-    """
-    own = seed()
-    entry = lambda es: F.array(*(F.struct(F.lit(s).alias("s"), F.lit(slot).alias("slot"), F.lit(n).alias("n")) for s, slot, n in _longest_first(es)))
+_BARE = bytes(c for c in range(128) if not (48 <= c < 58 or 97 <= c < 123))
 
-    def passed(hay: Column, found: Column, entries: Column) -> Column:
-        def step(acc: Column, e: Column) -> Column:
-            key = F.concat_ws(":", e["slot"], e["n"])
-            new = acc["hay"].contains(e["s"]) & ~F.array_contains(acc["found"], key)
-            return F.struct(
-                F.when(new, F.replace(acc["hay"], e["s"], F.lit("·"))).otherwise(acc["hay"]).alias("hay"), F.when(new, F.concat(acc["found"], F.array(key))).otherwise(acc["found"]).alias("found")
-            )
 
-        return F.aggregate(entries, F.struct(hay.alias("hay"), found.alias("found")), step, lambda acc: acc["found"])
+def _tight(text: str) -> str:
+    return "".join(text.split())
 
-    none = F.expr("cast(array() as array<string>)")
-    first = passed(F.regexp_replace(text, r"(?U)\s+", ""), none, entry(own[0] if kanji is None else kanji))
-    found = passed(squeezed(text), first, entry(own[1] if latin is None else latin))
 
-    def of(slot: str) -> Column:
-        return F.transform(F.filter(found, lambda x: x.startswith(slot + ":")), lambda x: F.substring_index(x, ":", -1)).alias(slot)
+def _squeezed(text: str) -> str:
+    """Folded, a-z0-9 only."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).lower()
+    return text.lower().encode("ascii", "ignore").translate(None, _BARE).decode()
 
-    return F.struct(*map(of, SLOTS))
+
+class Consumer:
+    """Names that a text holds, in the order found.
+
+    Entries go longest first.  One that occurs, and whose name isn't found yet, blots
+    itself out, so a part of it isn't found again.  An automaton tells which spellings
+    occur at all; blotting out brings up no other, so only these are gone through.
+    """
+
+    def __init__(self, entries: list[Entry]):
+        self.entries = sorted((e for e in entries if e[0]), key=lambda e: -len(e[0]))
+        self.automaton = ahocorasick.Automaton()
+        by_spelling: dict[str, list[int]] = {}
+        for i, (s, _, _) in enumerate(self.entries):
+            by_spelling.setdefault(s, []).append(i)
+        for s, at in by_spelling.items():
+            self.automaton.add_word(s, at)
+        #: entries that hold the mark itself could come up
+        self.always = [i for i, (s, _, _) in enumerate(self.entries) if "·" in s]
+        if self.entries:
+            self.automaton.make_automaton()
+
+    def into(self, hay: str, found: list[tuple[str, str]]) -> None:
+        if not self.entries or not hay:
+            return
+        met = {i for _, at in self.automaton.iter(hay) for i in at}
+        if not met:
+            return
+        for i in sorted(met.union(self.always)):
+            s, slot, name = self.entries[i]
+            if s in hay and (slot, name) not in found:
+                found.append((slot, name))
+                hay = hay.replace(s, "·")
+
+
+_FOUND = T.StructType([T.StructField(s, T.ArrayType(T.StringType())) for s in SLOTS])
+
+
+def _slotted(found: list[list[tuple[str, str]] | None]) -> pa.StructArray:
+    """One struct of lists for each text; null for a null text."""
+    columns = []
+    for slot in SLOTS:
+        ends, flat = [0], []
+        for pairs in found:
+            if pairs:
+                flat += [name for s, name in pairs if s == slot]
+            ends.append(len(flat))
+        columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string())))
+    return pa.StructArray.from_arrays(columns, list(SLOTS), mask=pa.array([f is None for f in found], pa.bool_()))
+
+
+#: Consumers of a worker process, by their entries.
+_CONSUMERS: dict[tuple, tuple[Consumer, Consumer]] = {}
+
+
+def classify(text: Column, kanji: list[Entry] | None = None, latin: list[Entry] | None = None) -> Column:
+    """Names per slot that a text holds, as a struct of arrays in the order found; null for a null text.
+
+    Kanji spellings are sought in the text without white space, then Latin ones in its
+    folded letters and digits.  Longer spellings go first and are blotted out once
+    their name is found, so that a part of them is not found again; a name found
+    already blots out nothing.  One automaton a script finds the spellings that occur.
+    """
+    own = seed()
+    key = (tuple(own[0] if kanji is None else kanji), tuple(own[1] if latin is None else latin))
+
+    def run(texts: pa.Array) -> pa.Array:
+        if key not in _CONSUMERS:
+            _CONSUMERS[key] = (Consumer(list(key[0])), Consumer(list(key[1])))
+        first, second = _CONSUMERS[key]
+        out: list[list[tuple[str, str]] | None] = []
+        for t in texts.to_pylist():
+            found: list[tuple[str, str]] | None = None if t is None else []
+            if t:
+                first.into(_tight(t), found)
+                second.into(_squeezed(t), found)
+            out.append(found)
+        return _slotted(out)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, _FOUND)(text)
+
+
+def classify_by(texts: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
+    """``texts`` with ``found`` as ``classify`` gives it, by a table of entries (spelling, slot, name, latin, seq) of any size.
+
+    seq is the order of entries of one length.  Up to SPELLINGS entries are one
+    lexicon; more are dealt into automata, which find the entries that a text holds,
+    and each text consumes those.  Keys are expected to be unique.
+    """
+    spark = texts.sparkSession
+    bound_batches(spark)
+    sound = entries.filter("spelling <> ''").select("spelling", "slot", "name", F.coalesce("latin", F.lit(False)).alias("latin"), "seq")
+    if sound.count() <= SPELLINGS:
+        rows = sound.orderBy("seq").collect()
+        kanji, latin = ([(r["spelling"], r["slot"], r["name"]) for r in rows if r["latin"] == side] for side in (False, True))
+        return texts.withColumn("found", classify(F.col(text), kanji, latin))
+    spelled = sound.select("latin", "spelling").distinct().withColumn("kanji", F.concat(F.when(F.col("latin"), "l").otherwise("k"), "spelling")).select(F.col("kanji").alias("term"), F.col("spelling").alias("kanji"), "latin")
+    hays = texts.select(F.col(key).alias("key"), F.regexp_replace(F.col(text), r"(?U)\s+", "").alias("k"), squeezed(F.col(text)).alias("l"))
+    met = None
+    for side, hay in ((False, "k"), (True, "l")):
+        one = retrieve_terms(hays, "key", hay, spelled.filter(F.col("latin") == side).drop("latin")).select("key", F.col("kanji").alias("spelling"), F.lit(side).alias("latin"))
+        met = one if met is None else met.unionByName(one)
+    held = met.join(sound, ["spelling", "latin"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "latin", "spelling", "slot", "name"))).alias("__e"))
+
+    def run(values: pa.Array, entries: pa.Array) -> pa.Array:
+        out: list[list[tuple[str, str]] | None] = []
+        for t, es in zip(values.to_pylist(), entries.to_pylist()):
+            found: list[tuple[str, str]] | None = None if t is None else []
+            for latin, hay in ((False, _tight), (True, _squeezed)):
+                if t and es:
+                    Consumer([(e["spelling"], e["slot"], e["name"]) for e in es if e["latin"] == latin]).into(hay(t), found)
+            out.append(found)
+        return _slotted(out)
+
+    run.__annotations__ = {"values": pa.Array, "entries": pa.Array, "return": pa.Array}
+    return texts.join(held, texts[key] == held["key"], "left").drop(held["key"]).withColumn("found", F.arrow_udf(run, _FOUND)(F.col(text), F.col("__e"))).drop("__e")
 
 
 def is_prose(line: Column) -> Column:
@@ -81,8 +202,9 @@ def is_prose(line: Column) -> Column:
     )
 
 
-def is_caption(line: Column) -> Column:
-    found = classify(line)
+def is_caption(line: Column, found: Column | None = None) -> Column:
+    """Whether a line names a technique or an attack and isn't prose; ``found`` is its classification, if there is one already."""
+    found = classify(line) if found is None else found
     return ~is_prose(line) & ((F.size(found["technique"]) > 0) | (F.size(found["attack"]) > 0))
 
 
@@ -102,16 +224,22 @@ def is_weapon_caption(line: Column) -> Column:
     return ~is_section_header(line) & ~is_prose(line) & few & (word | line.rlike(NUMBER))
 
 
-def parse_caption(line: Column) -> Column:
+def caption_slug(name: Column, qualifiers: Column, attack: Column, technique: Column, direction: Column, form: Column) -> Column:
+    """From the name and qualifiers, else from the slots, else ``technique``."""
+    base = slug(fold(F.concat_ws(" ", name, F.array_join(qualifiers, " "))))
+    slots = slug(F.concat_ws("-", attack, technique, direction, F.array_join(form, "-")))
+    return F.coalesce(F.nullif(base, F.lit("")), F.nullif(slots, F.lit("")), F.lit("technique"))
+
+
+def parse_caption(line: Column, found: Column | None = None) -> Column:
     """Name without qualifiers, the qualifiers in parentheses, the first name per slot and all forms."""
-    found = classify(line)
+    found = classify(line) if found is None else found
     name = F.regexp_replace(F.regexp_replace(line, r"\([^)]*\)", ""), "^[ .,-]+|[ .,-]+$", "")
     quals = F.filter(F.transform(F.regexp_extract_all(line, F.lit(r"\(([^)]*)\)")), lambda x: F.trim(x)), lambda q: q != "")
     first = lambda s: F.get(found[s], 0)
     fields = {"technique": first("technique"), "attack": first("attack"), "direction": first("direction"), "form": found["form"]}
-    base = slug(fold(F.concat_ws(" ", name, F.array_join(quals, " "))))
-    slots = slug(F.concat_ws("-", fields["attack"], fields["technique"], fields["direction"], F.array_join(fields["form"], "-")))
-    return F.struct(name.alias("name"), quals.alias("qualifiers"), *(c.alias(n) for n, c in fields.items()), F.coalesce(F.nullif(base, F.lit("")), F.nullif(slots, F.lit("")), F.lit("technique")).alias("slug"))
+    own = caption_slug(name, quals, fields["attack"], fields["technique"], fields["direction"], fields["form"])
+    return F.struct(name.alias("name"), quals.alias("qualifiers"), *(c.alias(n) for n, c in fields.items()), own.alias("slug"))
 
 
 def parse_weapon_caption(line: Column) -> Column:
@@ -125,10 +253,6 @@ def parse_weapon_caption(line: Column) -> Column:
     )
 
 
-#: Spellings of one automaton.
-SPELLINGS = 50_000
-
-
 def _finder(rows):
     """(key, term, kanji) of the spellings that each text holds, once each."""
 

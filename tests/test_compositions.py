@@ -181,3 +181,47 @@ def test_parsed_pages(spark):
     forced = make([("b", 1, "Own name", True), ("b", 4, "Late name", False)], "book string, page int, name string, suppress boolean")
     named = page_parse.parsed(pages, lines, regions, seed, forced=forced)[2].groupBy("page").agg(F.array_sort(F.collect_list("romaji")).alias("n")).collect()
     assert {r["page"]: r["n"] for r in named if r["page"] in (1, 4)} == {1: ["Own name"], 4: ["Late name", "Ryotedori Kokyu Nage", "Shomenuchi Ikkyo"]}
+
+
+def test_parsed_names_and_numbers(spark):
+    """Forms and qualifiers go through the merge and into the name; captions are numbered before those without boxes go; steps count by caption."""
+    make = spark.createDataFrame
+    pages = make([("b", i) for i in range(1, 7)], "book string, page int")
+    seed = make([("b", 2, 3, "aiki-jo", "suburi", "jo", "31", 0), ("b", 5, 5, "taijutsu", "technique", None, None, 1)], "book string, first int, last int, context string, kind string, weapon string, form string, seq int")
+    lines = make(
+        [
+            ("b", 1, 0, "四方投げ", 0), ("b", 1, 1, "Shiho-nage (Tachi dori)", 20),
+            ("b", 2, 0, "突き", 10), ("b", 2, 1, "打ち", 500),
+            ("b", 3, 0, "ただの ぶんしょう です", 10),
+            ("b", 4, 0, "Ikkyo Omote", 0), ("b", 4, 1, "Ikkyo Omote", 500),
+            ("b", 5, 0, "片手取り 呼吸投げ", 10), ("b", 5, 1, "Katate-dori Kokyu-nage", 15),
+            ("b", 6, 0, "plain words", 5),
+        ],
+        "book string, page int, at long, text string, y0 int",
+    )
+    box = lambda *ys: [(0, y, 10, 10, "photo") for y in ys]
+    regions = make([("b", 1, box(30)), ("b", 2, box(500)), ("b", 3, box(5)), ("b", 4, box(0, 20, 510)), ("b", 5, [(50, 10, 10, 10, "row"), (0, 12, 10, 10, None)]), ("b", 6, box(1))], f"book string, page int, boxes {overlay.BOXES}")
+    books = make([("b", "Title", "person:a", "A", "1970s", "line")], "book string, full_title string, performer string, performer_name string, era string, lineage string")
+    techniques, frames, captions = page_parse.parsed(pages, lines, regions, seed, books=books, images="out", retrieved="2024-01-01")
+    got = {r["id"]: r for r in techniques.collect()}
+    one = got["tech:b-p1-shiho-nage-tachi-dori"]
+    assert (one["qualifiers"], one["slots"]["form"], one["name_native"], one["raw_caption"]) == (["Tachi dori"], ["tachi-dori"], "四方投げ", "四方投げ")
+    assert one["source"].asDict() == {"book": "b", "title": "Title", "pdf_page": 1} and one["provenance"]["era"] == "1970s" and one["provenance"]["medium"] == "book"
+    assert set(got) == {"tech:b-p1-shiho-nage-tachi-dori", "tech:b-p2-jo-suburi-2", "tech:b-p3-jo-suburi-1", "tech:b-p4-ikkyo-omote", "tech:b-p5-katate-dori-kokyu-nage"}
+    assert got["tech:b-p2-jo-suburi-2"]["seq"] == 2 and got["tech:b-p3-jo-suburi-1"]["raw_caption"] == "aiki-jo jo suburi" and got["tech:b-p2-jo-suburi-2"]["form"] == "31"
+    # two captions of one id: the later stays, with its own count; of its keyframes those that it has
+    assert (got["tech:b-p4-ikkyo-omote"]["step_count"], got["tech:b-p4-ikkyo-omote"]["seq"], got["tech:b-p4-ikkyo-omote"]["keyframes"]) == (1, 2, ["kf:b-p4-ikkyo-omote-01"])
+    shots = {r["id"]: r for r in frames.collect()}
+    assert {k: (r["bbox"][1], r["step_count"]) for k, r in shots.items() if "p4" in k} == {"kf:b-p4-ikkyo-omote-01": (510, 1), "kf:b-p4-ikkyo-omote-02": (20, 2)}
+    assert shots["kf:b-p1-shiho-nage-tachi-dori-01"]["image"] == "out/b/p1-shiho-nage-tachi-dori/step_01.png" and shots["kf:b-p1-shiho-nage-tachi-dori-01"]["retrieved"] == "2024-01-01"
+    # one caption has all boxes as they are, not in reading order
+    assert [(shots[f"kf:b-p5-katate-dori-kokyu-nage-0{i}"]["bbox"][0], shots[f"kf:b-p5-katate-dori-kokyu-nage-0{i}"]["granularity"]) for i in (1, 2)] == [(50, "row"), (0, "photo")]
+    assert {(r["page"], r["cap"]): r["technique"] for r in captions.collect()} == {(1, 0): "shiho-nage", (2, 0): None, (2, 1): None, (3, 0): None, (4, 0): "ikkyo", (4, 1): "ikkyo", (5, 0): "kokyu-nage"}
+    links = make([("b", 4, [(1, [0, 9]), (5, [1]), (0, [1])])], "book string, page int, assign array<struct<caption_index:int,regions:array<int>>>")
+    linked = page_parse.parsed(pages, lines, regions, seed, links=links)[0].filter("page = 4").collect()
+    assert [(r["id"], r["seq"], r["step_count"]) for r in linked] == [("tech:b-p4-ikkyo-omote", 2, 1)]
+    forced = make([("b", 6, "Own (x)", True, ["q"], ["kumijo"], "ikkyo")], "book string, page int, name string, suppress boolean, qualifiers array<string>, form array<string>, technique string")
+    own = page_parse.parsed(pages, lines, regions, seed, forced=forced)[0].filter("page = 6").collect()
+    assert [(r["id"], r["slots"]["form"], r["slots"]["technique"]) for r in own] == [("tech:b-p6-own-x-q", ["kumijo"], "ikkyo")]
+    drawn = make([("b", 6, [("manual", [], [(1, 2, 3, 4)], None)])], "book string, page int, ops array<struct<op:string,idx:array<int>,boxes:array<struct<x:int,y:int,w:int,h:int>>,by:string>>")
+    assert page_parse.parsed(pages, lines, regions.filter("page <> 6"), seed, forced=forced, operations=drawn)[1].filter("page = 6").first()["bbox"] == [1, 2, 3, 4]

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators import page_parse, review
+from loomline.operators import overlay, page_parse, review
 from loomline.sources import fetch, locators
 
 
@@ -87,9 +87,9 @@ def test_page_parse(spark):
     assert page_parse.readable(page_parse.sections_of(pages, seed)).count() == 3
 
     lines = spark.createDataFrame([("v", 60, 0, "Shihonage Omote", 10, None), ("v", 60, 1, "refer to Ikkyo", 20, None), ("v", 60, 2, "Ikkyo Ura", 200, None), ("v", 60, 3, "Nikyo", 900, None), ("v", 86, 0, "(1) 直 突き", 5, "jo")], "book string, page int, cap int, text string, y0 int, weapon string")
-    caps = page_parse.captions_of(lines, F.col("weapon"))
+    caps = page_parse.captions_of(lines, F.col("weapon").isNotNull())
     assert {(r["page"], r["cap"]): (r["slug"], r["technique"], r["native"]) for r in caps.collect()} == {(60, 0): ("shihonage-omote", "shiho-nage", None), (60, 2): ("ikkyo-ura", "ikkyo", None), (60, 3): ("nikyo", "nikyo", None), (86, 0): ("1", None, "直突き")}
-    regions = spark.createDataFrame([("v", 60, n, 0, y, 10, 10) for n, y in ((1, 10), (2, 30), (3, 210))], "book string, page int, n int, x int, y int, w int, h int")
-    techniques, frames = page_parse.records(caps, regions)
+    regions = spark.createDataFrame([("v", 60, [(0, y, 10, 10, "photo") for y in (10, 30, 210)])], f"book string, page int, boxes {overlay.BOXES}")
+    techniques, frames, _ = page_parse.parsed(pages, lines.withColumnRenamed("cap", "at"), regions, seed)
     assert {r["id"]: (r["seq"], r["step_count"]) for r in techniques.collect()} == {"tech:v-p60-shihonage-omote": (1, 2), "tech:v-p60-ikkyo-ura": (2, 1)}
     assert sorted(r["id"] for r in frames.collect()) == ["kf:v-p60-ikkyo-ura-01", "kf:v-p60-shihonage-omote-01", "kf:v-p60-shihonage-omote-02"]
