@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomline.functions import scalars as S
-from loomline.operators import layout, lexicon, lines
+from loomline.operators import layout, lexicon, lines, overlay, page_parse
 from loomline.sources import crawl, html
 from loomline.plans.base import query
 from loomline.storage import bound_batches
@@ -172,3 +172,53 @@ def bounded_walk(spark, t):
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
 def tumbling_counts(spark, t):
     return upserts.tumbling(t("events"), "ts", "1 hour", "10 minutes", "event_type").select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+def _made_pages(t):
+    """Pages of eight shapes by part: captions in two scripts, one caption, prose, no photo, two captions, null and noise, movements of a weapon with and without a caption."""
+    k = F.col("p_partkey")
+    pages = t("part").select(k.cast("int").alias("page"), F.lit("b").alias("book"), (k % 8).alias("k"), "p_name")
+    shapes = {
+        0: [("四方投げ", 0), ("Shiho-nage (Tachi dori)", 20)], 1: [("Shomenuchi Ikkyo Omote", 10)], 2: [("refer to Ikkyo", 10)], 3: [("Nikyo", 10)], 4: [("Ikkyo (x)", 0), ("Sankyo", 900)],
+        5: [(None, 5), ("Kotegaeshi", 40), ("「小手返し」の ような もの です", 60)], 6: [("突き の 部", 1), ("(3) 突き", 20)], 7: [("この ときは した時の ような", 4)],
+    }
+    boxes = {0: [30], 1: [40, 20], 2: [10], 3: [], 4: [10, 890, 450], 5: [35], 6: [25], 7: [1, 300]}
+    row = lambda i, x, y: F.struct(F.lit(i).cast("long").alias("at"), F.lit(x).cast("string").alias("text"), F.lit(y).alias("y0"))
+    told = F.array(*(F.array(*(row(i, x, y) for i, (x, y) in enumerate(shapes[n]))) for n in range(8)))
+    drawn = F.array(*(F.array(*(F.struct(F.lit(0).alias("x"), F.lit(y).alias("y"), F.lit(10).alias("w"), F.lit(10).alias("h"), F.lit("photo").alias("kind")) for y in boxes[n])).cast(overlay.BOXES) for n in range(8)))
+    at = (F.col("k") + 1).cast("int")
+    noise = F.struct(F.lit(9).cast("long").alias("at"), F.col("p_name").alias("text"), F.lit(2000).alias("y0"))
+    texts = pages.select("book", "page", F.explode(F.array_append(F.element_at(told, at), noise)).alias("l")).select("book", "page", "l.*")
+    regions = pages.select("book", "page", F.element_at(drawn, at).alias("boxes"))
+    none = F.lit(None).cast("string")
+    seed = pages.filter("k >= 6").select(
+        "book", F.col("page").alias("first"), F.col("page").alias("last"), F.lit("aiki-jo").alias("context"), F.lit("suburi").alias("kind"), F.lit("jo").alias("weapon"), none.alias("form"), F.lit(0).alias("seq"),
+    )
+    return page_parse.parsed(pages.select("book", "page"), texts, regions, seed)
+
+
+_SHAPES = """s(k, seq, slug, name, native, quals, technique, attack, direction, forms, kind, tops) as (values
+    (0, 1, 'shiho-nage-tachi-dori', 'Shiho-nage', '四方投げ', 'Tachi dori', 'shiho-nage', null, null, 'tachi-dori', 'technique', [30]),
+    (1, 1, 'shomenuchi-ikkyo-omote', 'Shomenuchi Ikkyo Omote', null, '', 'ikkyo', 'shomen-uchi', 'omote', '', 'technique', [40, 20]),
+    (4, 1, 'ikkyo-x', 'Ikkyo', null, 'x', 'ikkyo', null, null, '', 'technique', [10]),
+    (4, 2, 'sankyo', 'Sankyo', null, '', 'sankyo', null, null, '', 'technique', [450, 890]),
+    (5, 1, 'kotegaeshi', 'Kotegaeshi', null, '', 'kote-gaeshi', null, null, '', 'technique', [35]),
+    (6, 1, '3', '', '突き', '3', null, null, null, '', 'suburi', [25]),
+    (7, 1, 'jo-suburi-1', '', null, '', null, null, null, '', 'suburi', [1, 300])), p as (
+        select *, 'b-p' || p_partkey || '-' || slug as base from part join s on s.k = p_partkey % 8)"""
+
+
+@query(f"""
+    with {_SHAPES} select 'tech:' || base as id, p_partkey::integer as page, seq, name as name_romaji, native as name_native, quals as qualifiers, technique, attack, direction, forms, kind,
+        case when k >= 6 then 'jo' end as weapon, len(tops)::integer as step_count from p
+""")
+def page_techniques(spark, t):
+    found = _made_pages(t)[0]
+    return found.select("id", "page", "seq", "name_romaji", "name_native", F.array_join("qualifiers", ",").alias("qualifiers"), "slots.technique", "slots.attack", "slots.direction", F.array_join("slots.form", ",").alias("forms"), "kind", "weapon", "step_count")
+
+
+@query(f"""
+    with {_SHAPES} select 'kf:' || base || '-0' || i as id, 'tech:' || base as technique, i::integer as step_index, len(tops)::integer as step_count, tops[i]::integer as top, attack from p, unnest(range(1, len(tops) + 1)) as u(i)
+""")
+def page_keyframes(spark, t):
+    return _made_pages(t)[1].select("id", "technique", "step_index", "step_count", F.get("bbox", 1).alias("top"), "attack")

@@ -8,7 +8,7 @@ from loomline.functions import scalars as S
 from loomline.operators import bundle, entities, lexicon, lines, overlay, promotions, report, review
 from loomline.plans.base import query
 from loomline.plans.linkage import _CLUSTERS, _names
-from loomline.sources import glossary, html, locators
+from loomline.sources import directories, glossary, html, locators
 
 
 @query(r"""
@@ -269,3 +269,58 @@ def reviews(spark, t):
     )
     rows = t("labels").select(F.col("doc_id").alias("technique"), F.inline(said)).filter("payload is not null").withColumns({"author": F.lit("a"), "status": F.lit("provisional"), "seq": F.col("technique")})
     return review.reviews(rows).select("technique", "verdict", "name", "note")
+
+
+def _directory_pages(spark, t):
+    """A directory page for each customer: four readers, each with a sound, a poor and a broken page."""
+    k = F.col("c_custkey").cast("string")
+    put = lambda text: F.replace(F.lit(text), F.lit("@"), k)
+    pages = {
+        ("headings", 0): "<ul><li><h3><a href='/dojos/x/'>House @</a></h3><dl><dt>Chief Instructors</dt><dd>Ann Bee</dd><dd>Carl Dee @</dd><dt>Address</dt><dd>1 St<br>Springfield, IL 62701</dd><dt>Website</dt><dd><a href='http://h@.org'>w</a></dd></dl></li></ul>",
+        ("headings", 1): "<li><h3><a href='/dojos/y'>Hall @</a></h3><dl><dt>Address</dt><dd>2 Rue<br/>Lyon,<br/>France<dt>Website<dd>h@.fr",
+        ("headings", 2): "<li><h3><a href='/about/'>No @</a></h3><h3>None</h3><dl><dt>Instructors</dt></dl>",
+        ("table", 0): "<a href='/nation/usa/'>USA</a><a href='/nation/ohio/'>ohio</a><table><tr><th>Chief Instructor</th><td>Eve Fox</td></tr><tr><th>Affiliation</th><td><a href='/department/mid/'>Mid Federation (MF)</a></td></tr></table>",
+        ("table", 1): "<tr><th>Affiliation</th><td><a href='/department/lake'>Lake Society</a></td></tr><tr><th>Website</th><td><a href=''>x</a></td></tr>", ("table", 2): "<tr><td>",
+        ("blocks", 0): "<h1>Hill @</h1><div class='bde-text'>Gus Hale (6th dan)</div><div class='bde-text'><a href='https://maps.google.com/maps'>1 Rd<br>Austin, TX 78701</a></div><div class='a bde-text'><a href='https://b.org/@'>w</a></div>",
+        ("blocks", 1): "<div class='bde-text'>tel 5</div><div class='bde-text'><a href='https://maps.app.goo.gl/1'>Calle<br>Madrid<br>Spain</a></div>", ("blocks", 2): "<p class='bde'>Gus Hale</p></div></div>",
+        ("rows", 0): "<tr><td class='D'>Dojo Name</td><td class='D'>Lake @</td></tr><tr><td class='D'>Chief Instructor</td><td class='D'>Ida Jay, Kim Lee and Moe Noe</td></tr><tr><td class='D'>Address</td><td class='D'>5 St<br>Toronto, ON</td></tr>",
+        ("rows", 1): "<tr><td class='D'>Dojo Name</td><td class='D'>Reno @</td></tr><tr><td class='D'>Address</td><td class='D'>Reno, NV</td></tr><tr><td class='D'>Dojo Name</td></tr>", ("rows", 2): "<tr><td class='D'>Address</td><td class='D'>Reno, NV</td></tr>",
+    }
+    keys = list(directories.READERS)
+    html = F.coalesce(*(F.when((F.col("c_custkey") % 4 == keys.index(r)) & (F.floor(F.col("c_custkey") / 4) % 3 == n), put(text)) for (r, n), text in pages.items()))
+    reader = F.element_at(F.array(*map(F.lit, keys)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    made = t("customer").select(reader.alias("directory"), reader.alias("reader"), html.alias("html"), F.concat(F.lit("u/"), k).alias("url"), F.concat(F.lit("Listed "), k).alias("name"), F.lit("2024-01-01").alias("retrieved"), F.col("c_custkey").alias("seq"))
+    owners = spark.createDataFrame([*((d, None, f"org:{d}") for d in ("headings", "table", "rows")), ("blocks", "USA", "org:home"), ("blocks", None, "org:abroad")], "directory string, country string, org string")
+    lineages = spark.createDataFrame([("table", "line", "org:table")], "directory string, lineage string, parent_org string")
+    return directories.upserted({}, directories.records(directories.read_pages(made), owners, lineages))
+
+
+_KINDS = "c as (select c_custkey as k, (c_custkey % 4) * 3 + (c_custkey // 4) % 3 as shape from customer)"
+
+
+@query(f"""
+    with {_KINDS}, d(shape, id, name, org, city, region, country, chief, instructors, website) as (values
+        (0, 'house-', 'House ', 'org:headings', 'Springfield', 'IL', 'USA', 'person:ann-bee', 'person:carl-dee-@', 'http://h@.org'), (1, 'hall-', 'Hall ', 'org:headings', 'Lyon', null, 'France', null, '', null),
+        (3, 'listed-', 'Listed ', 'org:table,org:mid-federation', null, 'Ohio', 'USA', 'person:eve-fox', '', null), (4, 'listed-', 'Listed ', 'org:table,org:lake-society', null, null, null, null, '', null),
+        (5, 'listed-', 'Listed ', 'org:table', null, null, null, null, '', null),
+        (6, 'hill-', 'Hill ', 'org:home', 'Austin', 'TX', 'USA', 'person:gus-hale', '', 'https://b.org/@'), (7, 'listed-', 'Listed ', 'org:abroad', null, null, 'Spain', null, '', null),
+        (8, 'listed-', 'Listed ', 'org:home', null, null, null, null, '', null),
+        (9, 'lake-', 'Lake ', 'org:rows', 'Toronto', 'ON', 'Canada', 'person:ida-jay', 'person:kim-lee,person:moe-noe', null), (10, 'reno-', 'Reno ', 'org:rows', 'Reno', 'NV', 'USA', null, '', null))
+    select 'dojo:' || id || k as id, name || k as name, org, city, region, country, chief as chief_instructor, replace(instructors, '@', k::varchar) as instructors, replace(website, '@', k::varchar) as website from c join d using (shape)
+""")
+def directory_places(spark, t):
+    found = _directory_pages(spark, t)["dojos"]
+    return found.select("id", "name", F.array_join("org", ",").alias("org"), "location.city", "location.region", "location.country", "chief_instructor", F.array_join("instructors", ",").alias("instructors"), "website")
+
+
+@query(f"""
+    with {_KINDS}, n as (
+        select 'person:carl-dee-' || k as id, 'Carl Dee ' || k as name, null as kind, k from c where shape = 0
+        union all select p.id, p.name, p.kind, k from c join (values (0, 'person:ann-bee', 'Ann Bee', null), (3, 'person:eve-fox', 'Eve Fox', null), (3, 'org:mid-federation', 'Mid Federation (MF)', 'federation'), (4, 'org:lake-society', 'Lake Society', 'association'),
+            (6, 'person:gus-hale', 'Gus Hale', null), (9, 'person:ida-jay', 'Ida Jay', null), (9, 'person:kim-lee', 'Kim Lee', null), (9, 'person:moe-noe', 'Moe Noe', null)) as p(shape, id, name, kind) using (shape))
+    select id, name, kind, count(*) as pages from n group by all
+""")
+def directory_people(spark, t):
+    found = _directory_pages(spark, t)
+    persons = found["persons"].select("id", F.col("name_romaji").alias("name"), F.lit(None).cast("string").alias("kind"), "source")
+    return persons.unionByName(found["orgs"].select("id", "name", F.col("type").alias("kind"), "source")).select("id", "name", "kind", F.size("source").cast("long").alias("pages"))
