@@ -55,6 +55,25 @@ def candidate_pairs(names: DataFrame) -> DataFrame:
     return linked.unionByName(copies).unionByName(native.withColumn("tier", F.lit("high")))
 
 
+def name_links(names: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the same names as ``candidate_pairs``, in rows linear in the names.
+
+    Names of one last and one first token form a star around their smallest id.  An
+    initial fits every first token of its letter, so where a surname has one, the stars
+    of that letter are linked to the smallest of their ids.  Names of one native name
+    form a star too.
+    """
+    whole = names.filter("size(tokens) >= 2").select("id", last_of(F.col("tokens")).alias("last"), F.get("tokens", 0).alias("first"))
+    stars = whole.groupBy("last", "first").agg(F.min("id").alias("a"))
+    own = whole.join(stars, ["last", "first"]).select("a", F.col("id").alias("b"))
+    letter = stars.withColumn("letter", F.substring("first", 1, 1))
+    tops = letter.groupBy("last", "letter").agg(F.min("a").alias("top"), F.max(F.length("first") == 1).alias("initial")).filter("initial")
+    between = letter.join(tops, ["last", "letter"]).select(F.col("top").alias("a"), F.col("a").alias("b"))
+    written = names.withColumn("native", named(F.col("native"))).filter("native is not null")
+    native = written.join(written.groupBy("native").agg(F.min("id").alias("a")), "native").select("a", F.col("id").alias("b"))
+    return own.unionByName(between).unionByName(native).filter("a <> b")
+
+
 def tokens_of(names: DataFrame, id_col: str, name_col: str, native_col: str | None = None, sources: str | None = None) -> DataFrame:
     return names.select(
         F.col(id_col).alias("id"), name_tokens(fold(F.col(name_col))).alias("tokens"), (F.col(native_col) if native_col else F.lit(None).cast("string")).alias("native"),
@@ -91,7 +110,7 @@ def clusters(names: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(names.sparkSession)
     names = scratch.cut(names.withColumn("native", named(F.col("native"))), "names")
-    found = connected_components(candidate_pairs(names), scratch)
+    found = connected_components(name_links(names), scratch)
     placed = scratch.cut(names.join(found, "id"), "placed")
     unlike = scratch.cut(_unlike(placed), "unlike")
     kinds = placed.join(unlike, "component", "left_semi").groupBy("component", "tokens", "native").agg(F.count("*").alias("n"))

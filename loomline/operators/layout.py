@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.functions.scalars import script_of
+from loomline.storage import Scratch
 
 #: A gap between columns as a share of the page's width; between passages and rows as multiples of the upper median height.
 COLUMN_GAP, PASSAGE_GAP, ROW_TOLERANCE = 0.16, 1.8, 0.6
@@ -23,6 +24,41 @@ def upper_median(c: Column) -> Column:
     return F.get(F.sort_array(F.collect_list(c)), F.floor(F.count(c) / 2).cast("int"))
 
 
+def _parts(rows: DataFrame, by: list[str], order: list, amount: Column, scratch: Scratch) -> DataFrame:
+    """``rows`` with ``__upto``, the sum of ``amount`` over the rows of their group up to each, in order.
+
+    Rows are dealt into ranges of group and order, so a group of any size lies in as
+    many parts as it needs; each part is summed by itself and raised by what the parts
+    ahead of it hold.  Ties are cut by the place where a row was read.
+    """
+    placed = rows.withColumns({f"__o{i}": c if isinstance(c, Column) else F.col(c) for i, c in enumerate(order)} | {"__n": amount, "__tie": F.monotonically_increasing_id()})
+    inner = [*(f"__o{i}" for i in range(len(order))), "__tie"]
+    parted = scratch.cut(placed.repartitionByRange(*by, *inner).withColumn("__part", F.spark_partition_id()), "parts")
+    totals = parted.groupBy(*by, "__part").agg(F.sum("__n").alias("__all"))
+    # a row for each part of each group
+    before = totals.withColumn("__before", F.coalesce(F.sum("__all").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__all")
+    own = F.sum("__n").over(W.partitionBy(*by, "__part").orderBy(*inner).rowsBetween(W.unboundedPreceding, 0))
+    told = [F.col(c).eqNullSafe(F.col(f"__b{i}")) for i, c in enumerate(by)]
+    right = before.select(*(F.col(c).alias(f"__b{i}") for i, c in enumerate(by)), F.col("__part").alias("__p"), "__before")
+    out = parted.withColumn("__own", own).join(right, [F.col("__part") == F.col("__p"), *told])
+    return out.select(*rows.columns, F.col("__n"), (F.col("__before") + F.col("__own")).alias("__upto"))
+
+
+def upper_medians(rows: DataFrame, by: list[str], value: str, name: str, scratch: Scratch | None = None) -> DataFrame:
+    """One row a group: the ``upper_median`` of ``value``, by counts of values and their running totals; nulls don't count.
+
+    No group is gathered: its distinct values lie in as many parts as they need.
+    """
+    scratch = scratch or Scratch(rows.sparkSession)
+    counted = scratch.cut(rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c")), "values")
+    totals = counted.groupBy(*by).agg(F.sum("__c").alias("__all"))
+    at = F.floor(F.col("__all") / 2)
+    met = _parts(counted, by, [value], F.col("__c"), scratch)
+    keys = [F.col(c).eqNullSafe(F.col(f"__t{i}")) for i, c in enumerate(by)]
+    found = met.join(totals.select(*(F.col(c).alias(f"__t{i}") for i, c in enumerate(by)), "__all"), keys).filter((F.col("__upto") > at) & (F.col("__upto") - F.col("__n") <= at))
+    return found.select(*by, F.col(value).alias(name))
+
+
 def words_kept(words: DataFrame) -> DataFrame:
     return words.filter("trim(text) <> '' and conf >= 0")
 
@@ -98,8 +134,10 @@ def reading_order(boxes: pd.Series) -> pd.Series:
     return boxes.map(lambda b: None if b is None else _bands(list(b)))
 
 
-def numbered(rows: DataFrame, by: list[str], *order: str, name: str = "n") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+def numbered(rows: DataFrame, by: list[str], *order: str, name: str = "n", scratch: Scratch | None = None) -> DataFrame:
+    """Rows with their number in their group, from 1; a group of any size is numbered in parts."""
+    scratch = scratch or Scratch(rows.sparkSession)
+    return _parts(rows, by, list(order), F.lit(1).cast("long"), scratch).select(*rows.columns, F.col("__upto").alias(name))
 
 
 def native_beside(lines: DataFrame, by: list[str], *order: str) -> DataFrame:

@@ -60,7 +60,7 @@ def payload_key(target: Column, slot: Column | None = None, term: Column | None
     kinds = {m: [t for t, _, merge in TARGETS if merge == m] for m in ("additive", "compose")}
     listed = text(F.concat_ws("-", F.transform(indices, lambda i: i.cast("string")))) if indices is not None else F.lit("")
     added = slug(F.concat_ws("-", text(slot), F.coalesce(F.nullif(text(term), F.lit("")), text(slot))))
-    return F.when(target.isin(*kinds["additive"]), added).when(target.isin(*kinds["compose"]), slug(F.concat_ws("-", text(op), listed)))
+    return F.nullif(F.when(target.isin(*kinds["additive"]), added).when(target.isin(*kinds["compose"]), slug(F.concat_ws("-", text(op), listed))), F.lit(""))
 
 
 def correction_id(
@@ -161,6 +161,31 @@ def joined_payloads(base: pd.Series, payloads: pd.Series) -> pd.Series:
     return pd.Series([one(b, p) for b, p in zip(base, payloads)])
 
 
+def joined_variants(base: Column, payloads: Column) -> Column:
+    """``joined_payloads`` without Python: JSON objects put together in order as VARIANT, as JSON text with its keys in order.
+
+    A null base or payload is an empty object; values are equal if their JSON is.
+    """
+    kind = "map<string,variant>"
+    opened = lambda c: F.coalesce(F.parse_json(F.coalesce(F.nullif(c, F.lit("")), F.lit("{}"))).cast(kind), F.expr(f"cast(map() as {kind})"))
+    starts = lambda v, what: F.schema_of_variant(v).startswith(what)
+
+    def lists(a: Column, b: Column) -> Column:
+        old, new = a.cast("array<variant>"), b.cast("array<variant>")
+        return F.to_variant_object(F.concat(old, F.filter(new, lambda x: ~F.exists(old, lambda y: F.to_json(y) == F.to_json(x)))))
+
+    def objects(a: Column, b: Column) -> Column:
+        return F.to_variant_object(F.map_zip_with(a.cast(kind), b.cast(kind), lambda k, x, y: F.coalesce(y, x)))
+
+    def both(_: Column, a: Column, b: Column) -> Column:
+        return (
+            F.when(b.isNull(), a).when(a.isNull(), b).when(starts(a, "ARRAY") & starts(b, "ARRAY"), lists(a, b)).when(starts(a, "OBJECT") & starts(b, "OBJECT"), objects(a, b)).otherwise(b)
+        )
+
+    given = F.coalesce(payloads, F.array().cast("array<string>"))
+    return F.to_json(F.to_variant_object(F.aggregate(given, opened(base), lambda acc, p: F.map_zip_with(acc, opened(p), both))))
+
+
 def range_lookup(units: DataFrame, ranges: DataFrame, on: list[str], at: str, first: str = "first", last: str = "last", order: str = "seq") -> DataFrame:
     """``units`` with the earliest of the ``ranges`` that hold ``at``; rows without one keep nulls.
 

@@ -54,7 +54,7 @@ def gap_islands(spark, t):
 
 @query("select p_brand, list_sort(list(p_size))[1 + len(list(p_size)) // 2] as middle from part group by 1")
 def upper_median(spark, t):
-    return t("part").groupBy("p_brand").agg(layout.upper_median(F.col("p_size")).alias("middle"))
+    return layout.upper_medians(t("part").select("p_brand", "p_size"), ["p_brand"], "p_size", "middle")
 
 
 @query("select source, doc_id, row_number() over (partition by source order by doc_id) as n from documents")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomline.functions.scalars import dan_of, edge_id, entity_id, page_title
+from loomline.functions.scalars import dan_of, edge_id, entity_id, fold, page_title, slug
 from loomline.operators.merge import united
 from loomline.sources.glossary import unescaped
 from loomline.sources.locators import is_person_title
+from loomline.storage import Scratch
 
 #: Labels of rows that tell a style; links to categories and to articles.
 STYLE, CATEGORY, ARTICLE = r"(?i)style|martial art|discipline", r"/wiki/Category:", r"^/wiki/[^:]+$"
@@ -78,3 +80,52 @@ def people(articles: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFr
     pairs = pairs.filter("student <> teacher").withColumn("id", edge_id(F.col("student"), F.col("teacher")))
     edges = pairs.groupBy("id").agg(*(F.min_by(c, "seq").alias(c) for c in ("student", "teacher", "notes"))).join(united(pairs, "id", F.col("seq"), "source"), "id")
     return persons, edges.withColumns({"kind": F.lit("direct-student"), "confidence": F.lit("stated"), "status": F.lit("provisional")})
+
+
+def walk(pages: DataFrame, seeds: DataFrame, word: str, most: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """Breadth-first walk over fetched articles pages(title, html) from seeds(title, seq): (node, title, depth, place, state).
+
+    Titles of one slug are one node, under the title that was queued first.  At most
+    ``most`` nodes are visited, in the order of the queue: those that an article names
+    as students, then as teachers.  Only fetched articles of the domain are expanded
+    (state ``expanded``); others that were reached are ``boundary``, those without a
+    page ``missing``.  Each depth is one join of the frontier with the pages, and its
+    articles alone are read.
+    """
+    scratch = scratch or Scratch(pages.sparkSession)
+    node = slug(fold(F.col("title")))
+    fetched = pages.filter("html is not null and html <> ''").select(node.alias("node"), "html").groupBy("node").agg(F.min("html").alias("html"))
+    first = lambda df: df.filter("node <> ''").groupBy("node").agg(F.min(F.struct("ord", "title")).alias("f")).select("node", "f.title", "f.ord")
+    start = first(seeds.select(node.alias("node"), "title", F.array(F.col("seq").cast("long")).alias("ord")))
+    met, depth, n = None, 0, 0
+    while n < most:
+        fresh = start if met is None else start.join(met.select("node"), "node", "left_anti")
+        cut = scratch.cut(fresh.orderBy("ord").limit(most - n), "frontier")
+        read = scratch.cut(cut.join(fetched, "node").select("node", "html"), "read")
+        state = F.when(F.col("__in").isNotNull(), "expanded").when(F.col("__read").isNotNull(), "boundary").otherwise("missing")
+        own = in_domain(read, "node", "html", word).withColumn("__in", F.lit(True))
+        told = scratch.cut(cut.join(own, "node", "left").join(read.select("node", F.lit(True).alias("__read")), "node", "left").select("node", "title", "ord", F.lit(depth).alias("depth"), state.alias("state")), "told")
+        grown = told.count()
+        if not grown:
+            break
+        met, n, depth = (told if met is None else scratch.cut(met.unionByName(told), "met")), n + grown, depth + 1
+        open_ = told.filter("state = 'expanded'").select("node", "ord")
+        named = related(read, "node", "html").join(open_, "node")
+        at = [(F.col("kind") != "student").cast("long"), F.col("at.row").cast("long"), F.col("at.i").cast("long")]
+        start = first(named.select(slug(fold(F.col("name"))).alias("node"), F.col("name").alias("title"), F.concat("ord", F.array(*at)).alias("ord")))
+    # at most ``most`` rows
+    return met.withColumn("place", F.row_number().over(W.orderBy("depth", "ord")) - 1).select("node", "title", "depth", "place", "state") if met is not None else pages.sparkSession.createDataFrame([], "node string, title string, depth int, place int, state string")
+
+
+def walked(pages: DataFrame, seeds: DataFrame, word: str, most: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Persons and edges of a ``walk`` over pages(title, url, html), and the walk itself.
+
+    Expanded articles give persons and edges; whom they name are persons, expanded or not.
+    """
+    spark = pages.sparkSession
+    scratch = Scratch(spark)
+    nodes = scratch.cut(walk(pages, seeds, word, most, scratch), "walk")
+    held = pages.withColumn("node", slug(fold(F.col("title")))).filter("html is not null and html <> ''").groupBy("node").agg(F.min_by(F.struct("url", "html"), "html").alias("p"))
+    read = scratch.cut(nodes.filter("state = 'expanded'").join(held, "node").select("title", "p.url", F.col("place").alias("ord"), "p.html"), "expanded")
+    persons, edges = people(read.join(box_facts(read, "title", "html"), "title"), related(read, "title", "html"))
+    return persons, edges, nodes
