@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.llm.minhash import near_duplicates
 from loomline.llm.packing import pack_documents
@@ -29,14 +30,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: of the smallest id, one without an id only if none has any.
 
-    Groups are made of the rows' numbers, in any order, so ids may repeat or be null; which row stays is decided by id, then text, then number.
+    Where every row has an integer id of its own, groups are made of the ids.  Else rows
+    are numbered in the order of their ids, and groups are made of these numbers.
     """
-    placed = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("number"))
-    rows = Scratch(spark).cut(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number"), placed.alias("at")), "rows")
-    found = near_duplicates(rows.select("number", "row.text"), "number").select("number", "component_id")
-    kept = found.join(rows.select("number", "at"), "number").groupBy("component_id").agg(F.min("at").alias("at")).select("at.number")
-    # a task holds its share of the numbers, so the texts aren't sorted
-    return rows.join(kept.hint("shuffle_hash"), "number", "left_semi").select("row.*")
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    if whole and docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        kept = near_duplicates(docs).filter("kept").select("doc_id")
+        # a task holds its share of the ids, so the texts aren't sorted
+        return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    order = (F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    numbered = docs.orderBy(*order).select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number"))
+    rows = Scratch(spark).cut(numbered, "rows")
+    kept = near_duplicates(rows.select("number", "row.text"), "number").filter("kept").select("number")
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
