@@ -171,21 +171,6 @@ def book_rollup(spark, t):
     return report.rollup(t("documents").select("source", (F.col("doc_id") % 50).alias("page")), "source", "page")
 
 
-@query("""
-    with m as (select doc_id as key, substr(sha256(case when doc_id % 3 = 0 then text else text || 'x' end), 1, 12) as hash, doc_id % 5 + 1 as rev, '2024-01-01' as date from documents where doc_id % 2 = 0),
-    c as (select doc_id as key, substr(sha256(text), 1, 12) as hash from documents where doc_id % 5 <> 0)
-    select key, coalesce(c.hash, m.hash) as hash, case when c.hash is not null and c.hash is distinct from m.hash then coalesce(rev, 0) + 1 else rev end as rev,
-           case when c.hash is not null and c.hash is distinct from m.hash then '2025-05-05' else date end as date
-    from m full join c using (key)
-""")
-def revision_bump(spark, t):
-    d = t("documents")
-    h = lambda c: F.substring(F.sha2(c, 256), 1, 12)
-    text = F.col("text")
-    manifest = d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("key"), h(F.when(F.col("doc_id") % 3 == 0, text).otherwise(F.concat(text, F.lit("x")))).alias("hash"), (F.col("doc_id") % 5 + 1).alias("rev"), F.lit("2024-01-01").alias("date"))
-    return report.revisions(manifest, d.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("key"), h(text).alias("hash")), F.lit("2025-05-05"))
-
-
 @query("""
     with m as (select doc_id as key, substr(sha256(case when doc_id % 3 = 0 then text else text || 'x' end), 1, 12) as hash, doc_id % 5 + 1 as rev, '2024-01-01' as date from documents where doc_id % 2 = 0),
     c as (select doc_id as key, substr(sha256(text), 1, 12) as hash from documents where doc_id % 10 <> 0)

@@ -19,13 +19,6 @@ def entity_slug(spark, t):
     return t("part").select("p_partkey", S.slug(S.fold(F.col("p_name"))).alias("slug"), S.entity_id("part", F.col("p_name")).alias("id"))
 
 
-@query("""
-    select doc_id, trim(regexp_replace(lower(strip_accents(substr(text, 1, 80))), '[^a-z0-9]+', '-', 'g'), '-') as slug from documents
-""")
-def document_slug(spark, t):
-    return t("documents").select("doc_id", S.slug(S.fold(F.substring("text", 1, 80))).alias("slug"))
-
-
 @query("""
     select doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '-') as slug from documents
 """)

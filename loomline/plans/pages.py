@@ -73,18 +73,6 @@ def nearest_anchor(spark, t):
     return layout.nearest_anchor(items, anchors, ["user_id"], "item", "iy", "anchor", "ay")
 
 
-@query("""
-    with i as (select label, vec_id as i, cast(round(embedding[1] * 1000) as bigint) as cx, cast(round(embedding[2] * 1000) as bigint) as cy from embeddings),
-    b as (select label, i as n, cx - 60 as x, cy - 60 as y, 120 as w, 120 as h from i where i % 10 = 0)
-    select i.label, i.i, min(n) as n from i left join b on b.label = i.label and cx between x and x + w and cy between y and y + h group by 1, 2
-""")
-def box_holding_center(spark, t):
-    at = lambda k: F.round(F.element_at("embedding", k).cast("double") * 1000).cast("long")
-    items = t("embeddings").select("label", F.col("vec_id").alias("i"), at(1).alias("cx"), at(2).alias("cy"))
-    boxes = items.filter("i % 10 = 0").select("label", F.col("i").alias("n"), (F.col("cx") - 60).alias("x"), (F.col("cy") - 60).alias("y"), F.lit(120).alias("w"), F.lit(120).alias("h"))
-    return layout.box_holding_center(items, boxes, ["label"]).select("label", "i", "n")
-
-
 @query("""
     with i as (select label, vec_id as i, cast(round(embedding[1] * 1000) as bigint) as cx, cast(round(embedding[2] * 1000) as bigint) as cy from embeddings)
     select i.label, i.i, min(b.i) as n from i left join i b on b.label = i.label and i.cx between b.cx - 60 and b.cx + 60 and i.cy between b.cy - 60 and b.cy + 60 group by 1, 2
@@ -155,11 +143,6 @@ def hint_links(spark, t):
     return html.hint_links(t("pages"), "page_id", "url", "html", hint=r"(?i)[a-z]")
 
 
-@query()
-def page_instructors(spark, t):
-    return html.instructors(t("pages"), "page_id", "html")
-
-
 @query()
 def bounded_walk(spark, t):
     c = t("customer").select(F.col("c_custkey").alias("src"))
