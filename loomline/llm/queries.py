@@ -13,7 +13,7 @@ from loomline.llm.passages import op4_passages
 from loomline.llm.quality_rules import op2_quality_rules
 from loomline.llm.secrets import op3_secrets
 from loomline.llm.sharding import op7_jump_hash
-from loomline.llm.url_filter import ENDINGS, MIRRORS, SITES, op9_url_filter
+from loomline.llm.url_filter import ENDINGS, SITES, op9_url_filter
 from loomline.llm.winnowing import op8_winnowing
 
 QUERIES = {
@@ -32,18 +32,30 @@ QUERIES = {
     "op13_alignment": op13_alignment,
 }
 
-_LISTED = f"""listed as (
-            select site || case when n > 0 then cast(n as varchar) else '' end || '.example.' || ending as host
-            from unnest({list(SITES)}) as s(site), unnest({list(ENDINGS)}) as e(ending), range({MIRRORS + 1}) as r(n)
-        )"""
-
 ORACLES: dict[str, str] = {
     "op9_url_filter": rf"""
-        with {_LISTED}, p as (
-            select page_id, url,
+        with p as (
+            select page_id, url, nullif(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '') as article,
                    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
                    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
             from pages
+        ), bare as (
+            select *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$|\.$', ''), '^www\.', '') as site,
+                   regexp_replace(regexp_replace(regexp_replace(path, '/(index\.html?)?$', ''), '/{{2,}}', '/', 'g'), '^/', '') as page
+            from p
+        ), listed as (
+            select site || '.example.' || ending || '/' as key from unnest({list(SITES)}) as s(site), unnest({list(ENDINGS)}) as e(ending)
+            union
+            select site || '/' || page from bare join (select article, min(page_id) as first from p group by article) using (article)
+            where page_id > first and url is not null and site || page <> ''
+        ), keys as (
+            select page_id, url, site || '/' || page as key from bare where host <> ''
+            union all
+            select page_id, url, array_to_string(labels[i:], '.') || '/'
+            from (select page_id, url, string_split(site, '.') as labels from bare where host <> ''), range(1, 64) as n(i)
+            where i <= greatest(len(labels) - 1, 1)
+        ), blocked as (
+            select distinct page_id, url from keys semi join listed using (key)
         ), r as (
             select *, case
                 when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
@@ -55,9 +67,8 @@ ORACLES: dict[str, str] = {
         )
         select page_id, host, path, rule,
                case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
-                    when regexp_extract(regexp_replace(host, ':[0-9]*$|\.$', ''), '([^.]+\.example\.[a-z]+)$', 1) in (select host from listed) then 'block'
-                    else 'allow' end as verdict
-        from r
+                    when blocked.url is not null then 'block' else 'allow' end as verdict
+        from r left join blocked using (page_id, url)
     """,
     "op11_hard_negatives": OP11_SQL,
 }

@@ -26,8 +26,8 @@ from loomline.storage import Scratch, bound_batches
 
 #: host, path, verdict
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Sites that the query lists as a whole, with so many numbered mirrors of each, below each ending.
-SITES, ENDINGS, MIRRORS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"), ("com", "net", "org"), 3000
+#: Sites that the query lists as a whole, below each ending.
+SITES, ENDINGS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"), ("com", "net", "org")
 
 
 def host_of(url: Column) -> Column:
@@ -74,13 +74,21 @@ def _tester(table):
     return test
 
 
-def site_list(spark: SparkSession, mirrors: int = MIRRORS) -> DataFrame:
-    """The query's list: ``url`` of every site and of its mirrors, site1, site2 and so on."""
-    n, sites, endings = F.col("id"), F.array(*map(F.lit, SITES)), F.array(*map(F.lit, ENDINGS))
-    pick = lambda values, i: F.get(values, i.cast("int"))
-    number = F.floor(n / (len(SITES) * len(ENDINGS)))
-    host = F.concat(pick(sites, n % len(SITES)), F.when(number > 0, number.cast("string")).otherwise(""), F.lit(".example."), pick(endings, F.floor(n / len(SITES)) % len(ENDINGS)))
-    return spark.range((mirrors + 1) * len(SITES) * len(ENDINGS)).select(F.concat(F.lit("http://"), host, F.lit("/")).alias("url"))
+def site_list(spark: SparkSession) -> DataFrame:
+    """``url`` of every listed site's root."""
+    return spark.createDataFrame([(f"http://{s}.example.{e}/",) for s in SITES for e in ENDINGS], "url string")
+
+
+def copied_pages(pages: DataFrame) -> DataFrame:
+    """``url`` of each page whose article, to the letter, also stands on a page of a smaller id.
+
+    ``pages`` has page_id, url and html.  Pages without an article or an id copy nothing.
+    """
+    article = F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1)
+    keyed = pages.filter("page_id is not null and url is not null").filter(article != "").select("page_id", "url", F.sha2(article, 256).alias("article"))
+    keyed = Scratch(pages.sparkSession).cut(keyed, "articles")  # so that the pages are read once
+    firsts = keyed.groupBy("article").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last")
+    return keyed.join(firsts, "article").filter("page_id > first").select("url")
 
 
 def possible_urls(urls: DataFrame, table) -> DataFrame:
@@ -125,4 +133,6 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", id_co
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
-    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), site_list(spark)).drop("url")
+    """The list: roots of known sites, and the canonical URLs of pages that copy another's article."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return filter_urls(pages, site_list(spark).union(copied_pages(pages))).drop("url")

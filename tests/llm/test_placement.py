@@ -125,16 +125,26 @@ def test_urls(spark, sf_dir):
 def test_the_join_removes_false_positives(spark):
     """The filter lets some unlisted URLs through, never stops a listed one; the join drops the former."""
     from loomline.llm.bloom import build
-    from loomline.llm.url_filter import canonical, host_of, listed_urls, path_of, possible_urls, site_list
+    from loomline.llm.url_filter import canonical, host_of, listed_urls, path_of, possible_urls
 
-    listed = site_list(spark, 500)
-    assert listed.distinct().count() == listed.count() == 501 * 18
-    urls = spark.range(30_000).selectExpr("concat('http://host', id, '.example.com/', id) as url").union(listed)
+    listed = spark.range(9000).selectExpr("concat('https://www.host', id % 700, '.example.com/', id, '/index.html') as url")
+    urls = spark.range(30_000).selectExpr("concat('http://host', id % 700, '.example.com/', id, '?page=', id) as url")
     url = F.col("url")
     table = spark.sparkContext.broadcast(build(listed.select(canonical(host_of(url), path_of(url)).alias("key")), "key"))
-    maybe, sure = possible_urls(urls, table), listed_urls(urls, listed)
-    assert {r[0] for r in sure.collect()} == {r[0] for r in listed.collect()} < {r[0] for r in maybe.collect()}
-    assert maybe.count() < 1.2 * listed.count()
+    sure = {r[0] for r in listed_urls(urls, listed).collect()}
+    maybe = {r[0] for r in possible_urls(urls, table).collect()}
+    assert sure == {f"http://host{i % 700}.example.com/{i}?page={i}" for i in range(9000)}
+    assert sure < maybe and len(maybe - sure) < 0.1 * 21_000
+
+
+def test_copied_pages(spark):
+    from loomline.llm.url_filter import copied_pages
+
+    a, b = "<p>x</p><article>one\ntwo</article>", "<article>one\ntwo</article> other frame"
+    rows = [(3, "u3", a), (1, "u1", b), (2, "u2", a), (2, "u2", a), (4, None, a), (5, "u5", "<article></article>"), (6, "u6", None), (7, "u7", "<article>three</article>"), (None, "u8", a), (9, "u9", "<article></article>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert sorted(r["url"] for r in copied_pages(pages).collect()) == ["u2", "u2", "u3"]
+    assert copied_pages(pages.limit(0)).count() == 0
 
 
 def test_jump_hash_against_the_plain_loop(spark):
