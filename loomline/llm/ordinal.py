@@ -32,8 +32,10 @@ from pyspark.sql import types as T
 from loomline.llm.texts import binary, carried, handed_on, lists
 from loomline.storage import bound_batches
 
-#: Weights, labelled documents that the fit reads at most, steps of the fit, weight decay, share of documents that a feature is in at least.
-DIMENSIONS, MOST_LABELS, STEPS, DECAY, LEAST_SHARE = 1 << 18, 6000, 600, 1e-3, 0.006
+#: Weights, labelled documents that the fit reads at most, weight decay, share of documents that a feature is in at least.
+DIMENSIONS, MOST_LABELS, DECAY, LEAST_SHARE = 1 << 18, 6000, 1e-3, 0.006
+#: Steps at most, past steps that tell the curvature, and the largest slope at which the fit ends.
+STEPS, MEMORY, FLAT = 200, 10, 1e-6
 #: Letters of a word that are a feature of their own; the tail probability from which a text is kept.
 PREFIXES, LEAST = (4, 6), 0.83
 MEMO = 150_000
@@ -77,46 +79,75 @@ def features(text: bytes, memo: Buckets) -> np.ndarray:
     return np.unique(np.concatenate([distinct, np.array(shapes, np.int32)]))
 
 
+class _Loss:
+    """The penalised likelihood of weights and thresholds, over features numbered without gaps.  It is convex."""
+
+    def __init__(self, of: np.ndarray, index: np.ndarray, width: int, grades: np.ndarray, levels: int):
+        self.of, self.index, self.width, self.grades, self.levels = of, index, width, grades, levels
+        self.rows = np.arange(len(grades))
+
+    def __call__(self, point: np.ndarray) -> tuple[float, np.ndarray]:
+        weights, cuts = point[: self.width], point[self.width :]
+        n = len(self.grades)
+        if (np.diff(cuts) <= 0).any():
+            return np.inf, point
+        z = np.bincount(self.of, weights[self.index], n)
+        tail = 1 / (1 + np.exp(np.clip(cuts[None, :] - z[:, None], -40, 40)))  # P(grade >= 1), P(grade >= 2), ..
+        edge = np.pad(tail, ((0, 0), (1, 1)), constant_values=((0, 0), (1, 0)))
+        p = np.maximum(edge[self.rows, self.grades] - edge[self.rows, self.grades + 1], 1e-12)
+        slope = np.pad(tail * (1 - tail), ((0, 0), (1, 1)))
+        above, below = slope[self.rows, self.grades] / p / n, slope[self.rows, self.grades + 1] / p / n
+        of_cuts = np.bincount(self.grades, above, self.levels + 1) - np.bincount(self.grades + 1, below, self.levels + 1)
+        of_weights = np.bincount(self.index, (below - above)[self.of], self.width) + DECAY * weights
+        return -np.log(p).mean() + DECAY / 2 * (weights @ weights), np.concatenate([of_weights, of_cuts[1 : self.levels]])
+
+
+def _lowest(loss: _Loss, point: np.ndarray) -> np.ndarray:
+    """Limited-memory quasi-Newton steps with backtracking, until the slope is flat or no step helps."""
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    value, slope = loss(point)
+    for _ in range(STEPS):
+        if np.abs(slope).max() < FLAT:
+            break
+        way, shares = slope.copy(), []
+        for moved, turned in reversed(past):
+            shares.append((moved @ way) / (moved @ turned))
+            way -= shares[-1] * turned
+        if past:
+            moved, turned = past[-1]
+            way *= (moved @ turned) / (turned @ turned)
+        for (moved, turned), share in zip(past, reversed(shares)):
+            way += (share - (turned @ way) / (moved @ turned)) * moved
+        length, fall = 1.0, slope @ way
+        while length > 1e-10:
+            ahead, there = loss(point - length * way)
+            if ahead <= value - 1e-4 * length * fall:
+                break
+            length /= 2
+        else:
+            break
+        moved, turned = -length * way, there - slope
+        if moved @ turned > 0:
+            past = [*past, (moved, turned)][-MEMORY:]
+        point, value, slope = point + moved, ahead, there
+    return point
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by full-batch gradient steps with moment estimates."""
-    weights, thresholds = np.zeros(DIMENSIONS), np.linspace(-1.0, 1.0, levels - 1)
+    """(weights, thresholds) that minimise the penalised likelihood of ``grades`` from 0 to levels - 1."""
+    weights = np.zeros(DIMENSIONS)
     if not len(rows):
-        return weights, thresholds
-    lengths = np.array([len(r) for r in rows])
-    index = np.concatenate(rows)
-    often = np.bincount(index, minlength=DIMENSIONS) >= LEAST_SHARE * len(rows)
+        return weights, np.linspace(-1.0, 1.0, levels - 1)
     tails = np.array([((grades >= k).sum() + 0.5) / (len(rows) + 1) for k in range(1, levels)])
     thresholds = np.log((1 - tails) / tails) + 1e-3 * np.arange(levels - 1)
-    of = np.repeat(np.arange(len(rows)), lengths)[often[index]]
-    index = index[often[index]].astype(np.intp)
-    gaps = np.log(np.maximum(np.diff(thresholds), 1e-3))
-    base = thresholds[0]
-    size = DIMENSIONS + 1 + len(gaps)
-    m, v = np.zeros(size), np.zeros(size)
-    n = len(rows)
-    for t in range(1, STEPS + 1):
-        cut = base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        z = np.bincount(of, weights[index], n)
-        tail = 1 / (1 + np.exp(np.clip(cut[None, :] - z[:, None], -40, 40)))  # P(grade >= 1), P(grade >= 2)
-        edge = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], 1)
-        p = np.maximum(edge[np.arange(n), grades] - edge[np.arange(n), grades + 1], 1e-9)
-        slope = tail * (1 - tail)
-        slope = np.concatenate([np.zeros((n, 1)), slope, np.zeros((n, 1))], 1)
-        up, down = slope[np.arange(n), grades] / p, slope[np.arange(n), grades + 1] / p
-        gz = -(up - down) / n
-        gcut = np.zeros(levels + 1)
-        np.add.at(gcut, grades, up / n)
-        np.add.at(gcut, grades + 1, -down / n)
-        gcut = gcut[1:levels]
-        gw = np.bincount(index, gz[of], DIMENSIONS) + DECAY * weights
-        ggaps = np.array([gcut[k + 1 :].sum() * np.exp(gaps[k]) for k in range(len(gaps))])
-        g = np.concatenate([gw, [gcut.sum()], ggaps])
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        weights -= step[:DIMENSIONS]
-        base -= step[DIMENSIONS]
-        gaps -= step[DIMENSIONS + 1 :]
-    return weights, base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
+    index = np.concatenate(rows)
+    used = np.flatnonzero(np.bincount(index, minlength=DIMENSIONS) >= max(1, LEAST_SHARE * len(rows)))
+    number = np.full(DIMENSIONS, -1, np.int32)
+    number[used] = np.arange(len(used))
+    of, index = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), number[index]
+    found = _lowest(_Loss(of[index >= 0], index[index >= 0], len(used), grades, levels), np.concatenate([np.zeros(len(used)), thresholds]))
+    weights[used] = found[: len(used)]
+    return weights, found[len(used) :]
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

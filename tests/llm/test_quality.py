@@ -129,6 +129,15 @@ def test_ordinal_held_out(spark):
     assert mean[0] < mean[1] < mean[2]
 
 
+def test_ordinal_on_fresh_documents(spark):
+    """No setting was chosen on sf0.01, whose documents are others than those of sf0.1."""
+    read = lambda sf, name: spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet")
+    ratings = lambda sf: read(sf, "labels").selectExpr("doc_id", "quality + 1 - toxic as grade")
+    got = score(read("sf0.01", "documents"), train(read("sf0.1", "documents"), ratings("sf0.1"))).join(ratings("sf0.01"), "doc_id").collect()
+    assert np.mean([r["kept"] for r in got if r["grade"] == 2]) > 0.96
+    assert np.mean([r["kept"] for r in got if r["grade"] < 2]) < 0.15
+
+
 def test_ordinal_edges(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert op10_ordinal(spark, sf_dir).count() == n
