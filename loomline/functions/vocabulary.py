@@ -45,16 +45,19 @@ KANJI = {
 }
 
 PROSE = (
-    "the a an and or of is are was were as to in on at with for this that these those you your his her its it he she they we because have has had will would can"
-    " could when while then than from by but so if refer page see exercise explained consistently receive opponent there here which who what how why into about also"
-    " been being one two techniques technique through again pointers regarding case counteraction against develop conversely instance control remarks identity"
-    " requirements before foreword stage first second third method movements movement such thus must should may still another same becomes develops"
-).split()
+    "the", "a", "an", "and", "or", "of", "is", "are", "was", "were", "as", "to", "in", "on", "at", "with", "for", "this", "that", "these", "those",
+    "you", "your", "his", "her", "its", "it", "he", "she", "they", "we", "because", "have", "has", "had", "will", "would", "can", "could", "when",
+    "while", "then", "than", "from", "by", "but", "so", "if", "refer", "page", "see", "exercise", "explained", "consistently", "receive", "opponent",
+    "there", "here", "which", "who", "what", "how", "why", "into", "about", "also", "been", "being", "one", "two", "techniques", "technique",
+    "through", "again", "pointers", "regarding", "case", "counteraction", "against", "develop", "conversely", "instance", "control", "remarks",
+    "identity", "requirements", "before", "foreword", "stage", "first", "second", "third", "method", "movements", "movement", "such", "thus", "must",
+    "should", "may", "still", "another", "same", "becomes", "develops",
+)
 
 PROSE_MARKS = (
-    "は を が ます です から ので ため について により 説明 次の 参照 ました である します して など という 場合 時の 如く ように ながら つつ によ 以上 その この これ それ"
-    " 逃げ 返す おさえ 押さえ 出来 含め 移る 移行 要領 稽古法 注意 持た 場面 とき した時"
-).split()
+    "は", "を", "が", "ます", "です", "から", "ので", "ため", "について", "により", "説明", "次の", "参照", "ました", "である", "します", "して", "など", "という", "場合", "時の", "如く", "ように",
+    "ながら", "つつ", "によ", "以上", "その", "この", "これ", "それ", "逃げ", "返す", "おさえ", "押さえ", "出来", "含め", "移る", "移行", "要領", "稽古法", "注意", "持た", "場面", "とき", "した時",
+)
 
 MOVEMENTS = ("素振り", "合わせ", "合せ", "突き", "打ち込み", "打ち", "返し", "流し", "巻き", "払い", "受け", "張り", "切り", "斬り", "段")
 MOVEMENT_WORDS = ("suburi", "awase", "tsuki", "uchikomi", "uchi", "kaeshi", "nagashi", "tsuburi", "kata")
