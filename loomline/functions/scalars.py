@@ -142,6 +142,32 @@ def footer_date(text: Column) -> Column:
     return F.when(date != "", date)
 
 
+def display_name(text: Column, path: Column, mark: str) -> Column:
+    """The footer's name, else the file's, without its ending and what its first two underscores part off, underscores as spaces."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"(?s)([^/]*)/*$", 1), r"(?s)(?<=.)\.[^.]+$", "")
+    parts = F.split(stem, "_", 3)
+    return F.coalesce(footer_name(text, mark), F.replace(F.element_at(parts, -1), F.lit("_"), F.lit(" ")))
+
+
+def raster_links(text: Column) -> Column:
+    """Markdown links to .svg files as links to .png files."""
+    return F.regexp_replace(text, r"(\]\([^)]+?)\.svg\)", "$1.png)")
+
+
+def tenths(c: Column) -> Column:
+    """A double from 0 to 900 to one decimal by its exact binary value; exact halves go to the even digit.
+
+    Scaled by a power of two that leaves no fraction, so that ten times it is exact in 64 bits.
+    """
+
+    def at(bits: int) -> Column:
+        ten = (c * float(1 << bits)).cast("long") * 10
+        whole, rest, half = F.shiftright(ten, bits), ten.bitwiseAND((1 << bits) - 1), 1 << (bits - 1)
+        return (whole + ((rest > half) | ((rest == half) & (whole % 2 == 1))).cast("int")) / 10.0
+
+    return F.when(c < 1, at(58)).when(c < 16, at(52)).otherwise(at(48))
+
+
 def script_of(c: Column) -> Column:
     """ja if as many kana and kanji as Latin letters and any, en if more Latin letters, else other."""
     cjk, latin = F.regexp_count(c, F.lit(r"[぀-ヿ一-鿿]")), F.regexp_count(c, F.lit("[A-Za-z]"))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.functions.scalars import script_of
+from loomline.functions.scalars import script_of, stripped, tenths
 from loomline.storage import Scratch
 
 #: A gap between columns as a share of the page's width; between passages and rows as multiples of the upper median height.
@@ -92,7 +92,8 @@ def passages(lines: DataFrame, by: list[str]) -> DataFrame:
 
     A vertical gap over 1.8 upper medians of the height starts one, and within these
     so does a change of script from the passage's; a line without letters takes the
-    script it stands in.
+    script it stands in.  Lines are parted by line ends; conf is the mean to one decimal.
+    Passages of few characters that aren't white space, or of low confidence, go.
     """
     height = lines.groupBy(*by).agg(upper_median(F.col("y1") - F.col("y0")).alias("__h"))
     rows = lines.join(height, by).withColumn("__lang", script_of(F.col("text")))
@@ -106,10 +107,11 @@ def passages(lines: DataFrame, by: list[str]) -> DataFrame:
     seq = F.struct(*order)
     told = F.array_sort(F.collect_list(F.struct(*order, "text")))
     out = rows.groupBy(*by, "__gap", "__part").agg(
-        F.array_join(F.transform(told, lambda x: x["text"]), " ").alias("text"), F.min("x0").alias("x0"), F.min_by("y0", seq).alias("y0"), F.max("x1").alias("x1"), F.max_by("y1", seq).alias("y1"),
+        stripped(F.array_join(F.transform(told, lambda x: x["text"]), "\n")).alias("text"), F.min("x0").alias("x0"), F.min_by("y0", seq).alias("y0"), F.max("x1").alias("x1"), F.max_by("y1", seq).alias("y1"),
         F.avg("conf").alias("conf"), F.coalesce(F.max(known), F.lit("other")).alias("lang"), F.count("*").alias("n_lines"),
     )
-    out = out.filter((F.length("text") >= LEAST_CHARS) & (F.col("conf") >= LEAST_CONFIDENCE))
+    dense = F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", "")
+    out = out.filter((F.length(dense) >= LEAST_CHARS) & (F.col("conf") >= LEAST_CONFIDENCE)).withColumn("conf", tenths(F.col("conf")))
     return out.withColumn("block", F.row_number().over(W.partitionBy(*by).orderBy("y0", "x0", "__gap", "__part"))).drop("__gap", "__part")
 
 

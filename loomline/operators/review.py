@@ -70,3 +70,15 @@ def chosen_regions(captions: DataFrame, regions: Column, links: Column) -> DataF
     rows = captions.withColumns({"__l": F.filter(links, lambda x: x["caption_index"] == F.col("at")), "__r": regions})
     picked = F.flatten(F.transform("__l", lambda x: x["regions"]))
     return rows.filter(F.size("__l") > 0).withColumn("boxes", F.transform(F.filter(picked, lambda i: (i >= 0) & (i < F.size("__r"))), lambda i: F.get("__r", i))).drop("__l", "__r")
+
+
+def sections_listed(seed: DataFrame, corrections: DataFrame, book: str) -> DataFrame:
+    """What is said of a book's sections, in order: the seed's ranges, then corrections that aren't retired.
+
+    seed (book, first, last, context, kind, weapon, form, note, seq); corrections (book,
+    target, status, seq and others) of the target ``section``, each as one struct.
+    """
+    told = seed.filter(F.col("book") == book).select(F.lit("seed").alias("origin"), "seq", F.struct("first", "last", "context", "kind", "weapon", "form", "note").alias("section"))
+    said = corrections.filter((F.col("book") == book) & (F.col("target") == "section") & ~F.col("status").eqNullSafe("retired"))
+    said = said.select(F.lit("refinement").alias("origin"), "seq", F.struct(*(c for c in said.columns if c != "seq")).alias("refinement"))
+    return told.unionByName(said, allowMissingColumns=True).orderBy(F.desc("origin"), "seq")

@@ -21,10 +21,14 @@ SCHEMAS = {
     "section": "book string, first int, last int, context string, kind string, weapon string, form string, note string, seq int",
     "refinement": "id string, level string, book string, page int, first int, last int, sequence int, block int, technique string, target string, payload string, author string, basis string, confidence string, date string, note string, status string, seq bigint",
     "term": "id string, slug string, romaji string, kanji array<string>, kana array<string>, english string, category string, sources array<string>, status string, retrieved string",
-    "kineme": "id string, label string, articulator string, action string, axes array<string>, magnitude_scale string, directions array<string>, signature string, aikido_terms array<string>, source string, status string",
+    "kineme": "id string, label string, articulator string, action string, axes array<string>, magnitude_scale string, directions array<string>, signature string, crosswalk map<string,string>, aikido_terms array<string>, source string, status string",
 }
 
 
+#: Fixed values that a kineme has where its record says nothing.
+KINEME_SOURCE, KINEME_STATUS = "AML seed (P1)", "provisional"
+
+
 def schema(kind: str) -> T.StructType:
     return T._parse_datatype_string(SCHEMAS[kind])
 
@@ -106,3 +110,9 @@ def with_unsaved(saved: DataFrame, extra: DataFrame) -> DataFrame:
     """Stored rows, then unsaved ones behind them."""
     top = saved.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("__top"))
     return saved.unionByName(extra.join(F.broadcast(top), F.lit(True)).withColumn("seq", F.col("seq") + F.col("__top") + 1).drop("__top"))
+
+
+def kinemes(records: DataFrame) -> DataFrame:
+    """Kinemes as read, with empty lists and crosswalk, source and status where a record has none."""
+    none = {"directions": F.array().cast("array<string>"), "aikido_terms": F.array().cast("array<string>"), "crosswalk": F.create_map().cast("map<string,string>"), "source": F.lit(KINEME_SOURCE), "status": F.lit(KINEME_STATUS)}
+    return records.withColumns({c: F.coalesce(c, v) for c, v in none.items()})

@@ -167,7 +167,7 @@ def test_lines_and_passages(spark):
     got = layout.passages(found.withColumn("text", F.concat("text", F.lit(" words"))), ["book", "page"]).orderBy("block").collect()
     assert [(r["n_lines"], r["y0"], r["y1"]) for r in got] == [(2, 0, 25), (2, 100, 122)]
     got = layout.passages(found, ["book", "page"]).orderBy("block").collect()
-    assert [(r["text"], r["lang"]) for r in got] == [("one two three", "en"), ("四方投げ", "ja")]
+    assert [(r["text"], r["lang"]) for r in got] == [("one two\nthree", "en"), ("四方投げ", "ja")]
 
 
 def test_columns_and_medians(spark):
