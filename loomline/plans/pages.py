@@ -205,3 +205,51 @@ def page_techniques(spark, t):
 """)
 def page_keyframes(spark, t):
     return _made_pages(t)[1].select("id", "technique", "step_index", "step_count", F.get("bbox", 1).alias("top"), "attack")
+
+
+_WORDS = """w as (
+    select cast(l_orderkey % 10 as varchar) as book, cast(l_orderkey as bigint) as page, l_linenumber % 2 as block, l_linenumber % 3 as line, l_partkey % 500 as x, l_linenumber % 6 * (20 + l_orderkey % 30) as y,
+           10 + l_suppkey % 40 as wide, 10 + l_linenumber as high, case l_partkey % 6 when 0 then '四方' when 1 then '12' when 2 then ' ' else 'word' || l_linenumber end as text,
+           case when l_quantity < 3 then -1 else 20 + (l_orderkey + l_linenumber % 6 * 7) % 80 end as conf
+    from lineitem
+), l as (
+    select book, page, block, line, string_agg(text, ' ' order by x, y, text) as text, cast(min(x) as bigint) as x0, cast(min(y) as bigint) as y0, cast(max(x + wide) as bigint) as x1, cast(max(y + high) as bigint) as y1, cast(avg(conf) as double) as conf
+    from w where trim(text) <> '' and conf >= 0 group by book, page, block, line
+)"""
+
+
+def _word_lines(t):
+    """A word for each line of an order: six lines of a page in two blocks, in either script or without letters, some blank or not read."""
+    n, order = F.col("l_linenumber"), F.col("l_orderkey")
+    kind = F.col("l_partkey") % 6
+    words = t("lineitem").select(
+        (order % 10).cast("string").alias("book"), order.cast("bigint").alias("page"), (n % 2).alias("block"), F.lit(0).alias("par"), (n % 3).alias("line"),
+        (F.col("l_partkey") % 500).cast("bigint").alias("left"), (n % 6 * (20 + order % 30)).cast("bigint").alias("top"), (10 + F.col("l_suppkey") % 40).cast("bigint").alias("width"), (10 + n).cast("bigint").alias("height"),
+        F.when(kind == 0, "四方").when(kind == 1, "12").when(kind == 2, " ").otherwise(F.concat(F.lit("word"), n.cast("string"))).alias("text"),
+        F.when(F.col("l_quantity") < 3, -1).otherwise(20 + (order + n % 6 * 7) % 80).cast("double").alias("conf"),
+    )
+    return layout.lines_of_words(words)
+
+
+@query(f"with {_WORDS} select book, page, cast(block as integer) as block, cast(line as integer) as line, text, x0, y0, x1, y1, conf from l")
+def word_lines(spark, t):
+    return _word_lines(t).select("book", "page", F.col("block").cast("int").alias("block"), F.col("line").cast("int").alias("line"), "text", "x0", "y0", "x1", "y1", "conf")
+
+
+@query(f"""
+    with {_WORDS}, m as (select book, page, list_sort(list(y1 - y0))[count(*) // 2 + 1] as mid from l group by book, page),
+    c as (select *, len(regexp_extract_all(text, '[一-鿿]')) as han, len(regexp_extract_all(text, '[A-Za-z]')) as latin from l join m using (book, page)),
+    s as (select *, case when han > 0 and han >= latin then 'ja' when latin > han then 'en' end as known, case when y0 - lag(y1) over (partition by book, page order by y0, x0) > 1.8 * mid then 1 else 0 end as start from c),
+    g as (select *, sum(start) over (partition by book, page order by y0, x0) as gap from s),
+    k as (select *, last_value(known ignore nulls) over (partition by book, page, gap order by y0, x0 rows between unbounded preceding and 1 preceding) as before from g),
+    p as (select *, sum(case when known <> before then 1 else 0 end) over (partition by book, page, gap order by y0, x0) as part from k),
+    o as (
+        select book, page, string_agg(text, chr(10) order by y0, x0) as text, min(x0) as x0, min(y0) as y0, max(x1) as x1, arg_max(y1, y0) as y1, avg(conf) as conf, coalesce(max(known), 'other') as lang, count(*) as n_lines
+        from p group by book, page, gap, part
+    )
+    select book, page, cast(row_number() over (partition by book, page order by y0, x0) as integer) as block, text, x0, y0, x1, y1, round_even(conf, 1) as conf, lang, n_lines
+    from o where length(regexp_replace(text, '\\s', '', 'g')) >= 4 and conf >= 30
+""")
+def text_passages(spark, t):
+    """Every page's passages; means of at most six whole numbers, so what is cut lies on no half but a quarter."""
+    return layout.passages(_word_lines(t), ["book", "page"]).select("book", "page", F.col("block").cast("int").alias("block"), "text", "x0", "y0", "x1", "y1", "conf", "lang", "n_lines")
