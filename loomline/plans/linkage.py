@@ -77,7 +77,7 @@ def flatten_struct(spark, t):
 """)
 def child_table(spark, t):
     rows = relational.child(t("embeddings"), "vec_id", "embedding", ("vec_id", "x"), "pos")
-    return rows.select("vec_id", "pos", F.round(F.col("x").cast("double") * 1000).cast("long").alias("v"))
+    return rows.select("vec_id", "pos", F.round(F.col("x") * F.lit(1000).cast("float")).cast("long").alias("v"))
 
 
 @query("""

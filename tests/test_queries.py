@@ -84,3 +84,12 @@ def test_lexicon_classify(spark, sf_dir, tmp_path):
         assert {(r["doc_id"], r["line_no"]): tuple(r[s] for s in lexicon.SLOTS) for r in got} == want and len(got) == len(want)
         if folder == str(tmp_path):
             assert want[1, 2][0] == "ikkyo" and want[1, 3][0] == "shiho-nage" and want[1, 5][0] == "kote-gaeshi"
+
+
+def test_child_table(spark, db, tmp_path):
+    """Products that only in single precision lie on a half, and halves on either side of zero."""
+    x = [0.0025, -0.0025, 0.0015, 0.0005, -0.0005, 0.1235, 0.00749999983236194, 0.5]
+    spark.createDataFrame([(1, [(k + 0.5) / 1000 for k in range(-2000, 2000)]), (2, x), (3, None), (4, [None, 0.25])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["vec_id"], r["pos"]): r["v"] for r in QUERIES["child_table"](spark, str(tmp_path)).collect()}
+    want = db.sql(ORACLES["child_table"].replace("from embeddings", f"from '{tmp_path}/embeddings.parquet/*.parquet' as embeddings")).fetchall()
+    assert got == {(k, i): v for k, i, v in want} and len(got) == 4010
