@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from loomline.functions.scalars import edge_id, range_label, year_of
 from loomline.operators.merge import strength
 from loomline.operators.overlay import holding
+from loomline.storage import Scratch
 
 #: Roles that teach and roles that learn; the end of a stay without one.
 TEACHES = ("founder", "chief-instructor", "instructor")
 LEARNS = ("uchi-deshi", "deshi", "student")
 OPEN = 9999
+#: Pairs of stays whose notes one task writes, and the most tasks.
+PAIRS, TASKS = 1_000_000, 10_000
 
 
 def direction(role_a: Column, role_b: Column) -> Column:
@@ -75,6 +78,75 @@ def teaching_edges(pairs: DataFrame, tenures: DataFrame | None = None) -> DataFr
     return out.select(ids.alias("id"), "*", F.lit("inferred").alias("confidence"), F.lit("provisional").alias("status"))
 
 
+def inferred_edges(tenures: DataFrame) -> DataFrame:
+    """``teaching_edges(copresence(tenures), tenures)`` without a row for each pair of stays.
+
+    The notes name every pair, so the result grows with their number, but what is
+    shuffled doesn't: a person's stays at a dojo, on the side that teaches or the one
+    that learns, are one row.  Rows of both sides are met by the years that they
+    span, and each edge gets its two persons' stays.  Its pairs are made where it is
+    written, those of one stay at a time.  A stay's first pair is with the other side's
+    smallest id, so sources, period and date need no list of pairs.
+    """
+    scratch = Scratch(tenures.sparkSession)
+    more = [c for c in ("source", "retrieved") if c in tenures.columns]
+    low, high = year_of(F.col("start")), F.when(F.col("end").isNull(), OPEN).otherwise(year_of(F.col("end")))
+    rows = tenures.select("id", "person", "dojo", "role", low.alias("lo"), high.alias("hi"), F.when(F.col("role").isin(*TEACHES), "t").when(F.col("role").isin(*LEARNS), "l").alias("side"), *more)
+    fits = (F.col("lo") <= F.col("hi")) & F.col("side").isNotNull() & F.col("id").isNotNull()
+    stay = F.when(fits, F.struct("id", "side", "lo", "hi", "role", *more))
+    groups = scratch.cut(rows.groupBy("dojo", "person", "side").agg(F.min("id").alias("first"), F.min(stay["lo"]).alias("lo"), F.max(stay["hi"]).alias("hi"), F.sort_array(F.collect_list(stay)).alias("stays")), "stays")
+    opens = groups.groupBy("dojo").agg(F.min("first").alias("opens"))
+    spans = groups.filter("lo is not null and person is not null").select("dojo", "side", "person", "lo", "hi", F.size("stays").cast("long").alias("n"))
+    starts = spans.select("dojo", "side", *(F.col(c).alias(f"s_{c}") for c in ("person", "lo", "hi", "n")))
+    others = spans.select("dojo", F.when(F.col("side") == "t", "l").otherwise("t").alias("side"), *(F.col(c).alias(f"o_{c}") for c in ("person", "lo", "hi", "n")))
+    met = holding(starts, others, ["dojo", "side"], "s_lo", "o_lo", "o_hi").filter((F.col("s_person") != F.col("o_person")) & ((F.col("s_lo") > F.col("o_lo")) | (F.col("side") == "t")))
+    teaches = F.col("side") == "t"
+    of = lambda c: (F.when(teaches, F.col(f"s_{c}")).otherwise(F.col(f"o_{c}")).alias(f"t_{c}"), F.when(teaches, F.col(f"o_{c}")).otherwise(F.col(f"s_{c}")).alias(f"l_{c}"))
+    met = met.select("dojo", *of("person"), *of("lo"), *of("hi"), (F.col("s_n") * F.col("o_n")).alias("n")).join(opens, "dojo")
+    # ids are made here, so rows with notes don't wait for Python
+    met = scratch.cut(met.withColumn("id", edge_id(F.col("l_person").cast("string"), F.col("t_person").cast("string"))), "met")
+    tasks = min(TASKS, 1 + (met.agg(F.sum("n")).first()[0] or 0) // PAIRS)
+
+    def given(side: str, other: str) -> DataFrame:
+        """Each edge's stays of one side that begin and end within reach of the other's."""
+        own = groups.filter(F.col("side") == side).select("dojo", F.col("person").alias(f"{side}_person"), "stays").hint("merge")
+        near = F.filter("stays", lambda s: (s["lo"] <= F.col(f"{other}_hi")) & (s["hi"] >= F.col(f"{other}_lo")))
+        return met.join(own, ["dojo", f"{side}_person"]).select("id", F.col("l_person").alias("student"), F.col("t_person").alias("teacher"), F.struct("opens", "dojo", F.lit(side).alias("side"), near.alias("stays")).alias("p"))
+
+    parts = given("l", "t").unionByName(given("t", "l")).repartition(tasks, "student", "teacher").groupBy("id", "student", "teacher").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    learn, teach = F.filter("p", lambda x: x["side"] == "l"), F.filter("p", lambda x: x["side"] == "t")
+    dojos = parts.select("id", "student", "teacher", F.zip_with(learn, teach, lambda x, y: F.struct(x["dojo"].alias("dojo"), x["stays"].alias("l"), y["stays"].alias("t"))).alias("dojos"))
+    shared = lambda a, b: range_label(F.greatest(a["lo"], b["lo"]), F.nullif(F.least(a["hi"], b["hi"]), F.lit(OPEN)))
+
+    def stays_at(d: Column) -> Column:
+        """Stays with a partner, in the order of their ids: the first pair, and notes of the pairs with later stays."""
+        head = F.concat(F.lit("inferred from co-presence at "), d["dojo"], F.lit(" ("))
+
+        def told(a: Column) -> Column:
+            across = F.filter(F.when(a["side"] == "t", d["l"]).otherwise(d["t"]), lambda b: (b["lo"] <= a["hi"]) & (b["hi"] >= a["lo"]) & (b["id"] != a["id"]))
+            line = lambda p: F.array_join(F.transform(F.filter(p, lambda b: b["id"] > a["id"]), lambda b: F.concat(head, shared(a, b), F.lit(")"))), "; ")
+            # partners are sought once
+            return F.transform(F.array(across), lambda p: F.struct(a.alias("s"), F.get(p, F.lit(0)).alias("b"), line(p).alias("notes")))[0]
+
+        return F.filter(F.transform(F.array_sort(F.concat(d["l"], d["t"])), told), lambda x: x["b"].isNotNull())
+
+    found = dojos.select("id", "student", "teacher", F.filter(F.transform("dojos", stays_at), lambda x: F.size(x) > 0).alias("dojos")).filter(F.size("dojos") > 0)
+    extra = {}
+    if "source" in more:
+        pair = lambda x: (F.least(x["s"]["id"], x["b"]["id"]).alias("a"), F.greatest(x["s"]["id"], x["b"]["id"]).alias("b"), (x["s"]["side"] != "t").alias("learns"))
+        listed = lambda d: F.flatten(F.transform(F.array_sort(F.transform(d, lambda x: F.struct(*pair(x), F.coalesce(x["s"]["source"], F.array().cast("array<string>")).alias("source")))), lambda x: x["source"]))
+        extra["source"] = F.array_distinct(F.flatten(F.transform("dojos", listed)))
+    if "retrieved" in more:
+        extra["retrieved"] = F.array_max(F.transform("dojos", lambda d: F.array_max(F.transform(d, lambda x: x["s"]["retrieved"]))))
+    live_in = F.exists("dojos", lambda d: F.exists(d, lambda x: x["s"]["role"] == "uchi-deshi"))
+    start = F.col("dojos")[0][0]
+    return found.select(
+        "id", "student", "teacher", F.when(live_in, "uchi-deshi").otherwise("direct-student").alias("kind"), shared(start["s"], start["b"]).alias("period"),
+        F.array_join(F.transform("dojos", lambda d: F.array_join(F.filter(F.transform(d, lambda x: x["notes"]), lambda n: n != ""), "; ")), "; ").alias("notes"), *(v.alias(k) for k, v in extra.items()),
+        F.lit("inferred").alias("confidence"), F.lit("provisional").alias("status"),
+    )
+
+
 def keep_stated(edges: DataFrame) -> DataFrame:
     """The strongest confidence of each edge."""
     return edges.groupBy("student", "teacher").agg(F.max_by("confidence", strength(F.col("confidence"))).alias("confidence"))

@@ -244,8 +244,7 @@ def copresence_pairs(spark, t):
     from n join united using (student, teacher) group by student, teacher
 """)
 def copresence_edges(spark, t):
-    rows = _tenures(t)
-    return intervals.teaching_edges(intervals.copresence(rows), rows).withColumn("source", F.array_join("source", ","))
+    return intervals.inferred_edges(_tenures(t)).withColumn("source", F.array_join("source", ","))
 
 
 @query(f"with {_PAIRS} select dojo, count(*) filter (direction is not null) as directional, count(*) filter (direction is null) as peer from pairs group by 1")

@@ -122,6 +122,43 @@ def test_teaching_edges(spark):
     assert edge[0]["notes"] == "inferred from co-presence at d1 (1955-1960); inferred from co-presence at d2 (1971-1972)"
 
 
+def test_inferred_edges_against_pairs(spark):
+    """Equal to the edges made of a row for each pair, dates and sources that lack included."""
+    r = random.Random(6)
+    roles = ["founder", "instructor", "student", "uchi-deshi", "guest", None]
+    rows = [
+        (r.choice([None, *range(150)]) if i % 20 == 0 else 1000 + i, r.choice([None, *(f"p{k}" for k in range(12))]), r.choice([None, "d1", "d2", "d3"]), r.choice(roles), str(1950 + r.randrange(30)),
+         r.choice([None, "x", *(str(1950 + r.randrange(45)) for _ in range(6))]), r.choice([[], ["u1"], ["u2", "u1"], ["u3", None], [f"v{i}"]]), r.choice([None, "2023-01-02", "2024-05-06"]))
+        for i in range(400)
+    ]
+    table = spark.createDataFrame(rows, "id long, person string, dojo string, role string, start string, end string, source array<string>, retrieved string").dropDuplicates(["id"]).localCheckpoint()
+    want = {x["id"]: x.asDict() for x in intervals.teaching_edges(intervals.copresence(table), table).collect()}
+    got = intervals.inferred_edges(table)
+    assert got.columns == intervals.teaching_edges(intervals.copresence(table), table).columns
+    assert {x["id"]: x.asDict() for x in got.collect()} == want and len(want) > 50
+    bare = table.drop("source", "retrieved")
+    assert sorted(map(str, intervals.inferred_edges(bare).collect())) == sorted(map(str, intervals.teaching_edges(intervals.copresence(bare), bare).collect()))
+
+
+def test_inferred_edges_move_stays_and_not_pairs(spark, tmp_path):
+    """300 stays of a teacher and 300 of a student make 90,000 pairs; no operator hands on a row for each."""
+    n = 300
+    table = spark.range(2 * n).selectExpr("id", "if(id % 2 = 0, 't', 's') as person", "'d' as dojo", "if(id % 2 = 0, 'instructor', 'student') as role", "'1990' as start", "cast(null as string) as end")
+    edges = intervals.inferred_edges(table)
+    edge = edges.collect()
+    assert len(edge) == 1 and edge[0]["notes"] == "; ".join(["inferred from co-presence at d (1990-ongoing)"] * (n * n))
+
+    def nodes(plan):
+        yield plan
+        inner = [plan.executedPlan()] if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else [plan.plan()] if hasattr(plan, "plan") and plan.getClass().getSimpleName().endswith("QueryStageExec") else []
+        children = plan.children()
+        for p in inner + [children.apply(i) for i in range(children.size())]:
+            yield from nodes(p)
+
+    rows = [m.get().value() for p in nodes(edges._jdf.queryExecution().executedPlan()) if (m := p.metrics().get("numOutputRows")).isDefined()]
+    assert rows and max(rows) <= 4 * n
+
+
 def test_edges_of_a_committed_map(spark):
     """The inferred edges of a map that is given as data: GOLDEN_MAP names a folder with tenures.json and edges.json."""
     import json
