@@ -109,19 +109,21 @@ def matching(units: DataFrame, corrections: DataFrame, equal: list[str], between
     return out if out is not None else units.join(active.select(*keep).limit(0), F.lit(True))
 
 
-def holding(units: DataFrame, ranges: DataFrame, on: list[str], at: str, first: str, last: str) -> DataFrame:
+def holding(units: DataFrame, ranges: DataFrame, on: list[str], at: str, first: str, last: str, grown: bool = False) -> DataFrame:
     """``units`` with every one of the ``ranges`` (whole numbers, inclusive) of equal ``on`` that holds ``at``.
 
     A range is cut into aligned spans of two to the power of k, of which a position lies
     in one at most, and positions look up the span of each size: a join by equal keys.
+    Where both sides grow (``grown``) neither is broadcast: files tell too small a size.
     """
+    apart = lambda df: df.hint("merge") if grown else df
     none = F.col(first).isNotNull() & F.col(last).isNotNull() & (F.col(first) <= F.col(last))
     cut = ranges.filter(none).withColumns({"__f": F.col(first).cast("long"), "__l": F.col(last).cast("long")})
     cells = cut.withColumn("__c", F.explode(aligned_cover("__f", "__l + 1"))).withColumns({"__k": F.col("__c.k"), "__at": F.col("__c.at")}).drop("__c", "__f", "__l")
     top = cut.agg(F.expr("length(bin(max(__l - __f) + 1)) - 1").alias("__top")).filter("__top is not null")
     spots = units.select(*on, at).filter(F.col(at).isNotNull()).distinct().withColumn("__u", F.col(at).cast("long")).join(F.broadcast(top), F.lit(True))  # one row
     probes = spots.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__top")))).withColumn("__at", F.expr("shiftright(__u, __k)")).drop("__u", "__top")
-    return units.join(probes.join(cells, [*on, "__k", "__at"]).drop("__k", "__at"), [*on, at])
+    return units.join(apart(probes.join(apart(cells), [*on, "__k", "__at"]).drop("__k", "__at")), [*on, at])
 
 
 def override(matched: DataFrame, units: DataFrame, key: str, base: Column) -> DataFrame:
@@ -186,15 +188,15 @@ def joined_variants(base: Column, payloads: Column) -> Column:
     return F.to_json(F.to_variant_object(F.aggregate(given, opened(base), lambda acc, p: F.map_zip_with(acc, opened(p), both))))
 
 
-def range_lookup(units: DataFrame, ranges: DataFrame, on: list[str], at: str, first: str = "first", last: str = "last", order: str = "seq") -> DataFrame:
+def range_lookup(units: DataFrame, ranges: DataFrame, on: list[str], at: str, first: str = "first", last: str = "last", order: str = "seq", grown: bool = False) -> DataFrame:
     """``units`` with the earliest of the ``ranges`` that hold ``at``; rows without one keep nulls.
 
     Units are reduced to distinct positions before the join and get the result back by equality.
     """
     fields = [c for c in ranges.columns if c not in (*on, first, last)]
-    held = holding(units.select(*on, at).distinct(), ranges, on, at, first, last)
+    held = holding(units.select(*on, at).distinct(), ranges, on, at, first, last, grown)
     found = held.groupBy(*on, at).agg(F.min_by(F.struct(*fields), order).alias("found"))
-    return units.join(found, [*on, at], "left").select(*units.columns, *(F.col(f"found.{c}").alias(c) for c in fields if c != order))
+    return units.join(found.hint("merge") if grown else found, [*on, at], "left").select(*units.columns, *(F.col(f"found.{c}").alias(c) for c in fields if c != order))
 
 
 def confirmed(stored: DataFrame, ids: DataFrame) -> DataFrame:

@@ -19,6 +19,15 @@ _CAPTION = f"struct<cap:int,y:long,romaji:string,native:string,qualifiers:{_TEXT
 _BOOK = ("full_title", "performer", "performer_name", "era", "lineage")
 
 
+def _apart(pages: DataFrame) -> DataFrame:
+    """Rows by page, to be joined by sorting.
+
+    A page takes few bytes of a compressed file and many in memory, so Spark would
+    broadcast millions of them by the size of their files.
+    """
+    return pages.hint("merge")
+
+
 def sections_of(pages: DataFrame, seed: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
     """Pages (book, page) with context, kind, weapon and form.
 
@@ -27,14 +36,14 @@ def sections_of(pages: DataFrame, seed: DataFrame, corrections: DataFrame | None
     replaces weapon and form as they are, and context and kind where it names them.
     Ranges are met by aligned spans.
     """
-    found = overlay.range_lookup(pages, seed.select("book", "first", "last", "context", "kind", "weapon", "form", "seq"), ["book"], "page")
+    found = overlay.range_lookup(pages, seed.select("book", "first", "last", "context", "kind", "weapon", "form", "seq"), ["book"], "page", grown=True)
     found = found.withColumns({"context": F.coalesce("context", F.lit("taijutsu")), "kind": F.coalesce("kind", F.lit("technique"))})
     if corrections is None:
         return found
     latest = F.row_number().over(W.partitionBy("book").orderBy(F.desc_nulls_last("date"), F.desc_nulls_last("seq")))
     ranked = corrections.select("book", "first", "last", F.struct("context", "kind", "weapon", "form").alias("c"), latest.alias("seq"))
     own = F.col("c").isNotNull()
-    return overlay.range_lookup(found, ranked, ["book"], "page").select(
+    return overlay.range_lookup(found, ranked, ["book"], "page", grown=True).select(
         *pages.columns, F.coalesce("c.context", "context").alias("context"), F.coalesce("c.kind", "kind").alias("kind"),
         F.when(own, F.col("c.weapon")).otherwise(F.col("weapon")).alias("weapon"), F.when(own, F.col("c.form")).otherwise(F.col("form")).alias("form"),
     )
@@ -94,18 +103,18 @@ def _assigned(captions: Column, boxes: Column, assign: Column) -> Column:
 def _captions(lines: DataFrame, sections: DataFrame, forced: DataFrame | None, scratch: Scratch) -> DataFrame:
     """(book, page, captions): the page's captions in order, merged and forced."""
     on = ["book", "page"]
-    told = layout.native_beside(lines.join(sections.select(*on, "context"), on), on, "at").withColumnRenamed("native", "beside")
+    told = layout.native_beside(lines.join(_apart(sections.select(*on, "context")), on), on, "at").withColumnRenamed("native", "beside")
     found = captions_of(told, armed(F.col("context")), scratch)
     found = scratch.cut(found.select(
         *on, F.col("at").cast("long").alias("at"), F.col("y0").cast("long").alias("y"), F.col("name").alias("romaji"), F.when(armed(F.col("context")), F.col("native")).otherwise(F.col("beside")).alias("native"),
         "technique", "attack", "direction", "form", "qualifiers", "raw", "context",
     ), "captions")
     plain = layout.merge_bilingual(found.filter(~armed(F.col("context"))).drop("raw", "context"))
-    merged = plain.join(found.select(*on, "at", "raw"), [*on, "at"])
+    merged = plain.join(_apart(found.select(*on, "at", "raw")), [*on, "at"])
     fields = [F.col(c) for c in ("at", "y", "romaji", "native", "qualifiers", "technique", "attack", "direction", "form", "raw")]
     every = merged.select(*on, *fields).unionByName(found.filter(armed(F.col("context"))).select(*on, *fields))
     # a section of movements without a caption has one all the same
-    bare = sections.filter(armed(F.col("context"))).join(found.select(*on).distinct(), on, "left_anti")
+    bare = sections.filter(armed(F.col("context"))).join(_apart(found.select(*on).distinct()), on, "left_anti")
     placed = F.trim(F.concat(F.col("context"), F.lit(" "), F.coalesce("weapon", F.lit("")), F.lit(" "), F.col("kind")))
     none, empty = F.lit(None).cast("string"), F.array().cast(_TEXTS)
     every = every.unionByName(bare.select(
@@ -116,14 +125,14 @@ def _captions(lines: DataFrame, sections: DataFrame, forced: DataFrame | None, s
         known = forced
         for name, kind in (("native", "string"), ("qualifiers", _TEXTS), ("technique", "string"), ("attack", "string"), ("direction", "string"), ("form", _TEXTS)):
             known = known if name in known.columns else known.withColumn(name, F.lit(None).cast(kind))
-        own = known.join(sections.select(*on), on, "left_semi")
+        own = known.join(_apart(sections.select(*on)), on, "left_semi")
         hidden = own.filter(F.coalesce("suppress", F.lit(True))).select(*on).distinct()
         name = F.coalesce("name", F.lit(""))
         extra = own.select(
             *on, F.lit(1 << 40).alias("at"), F.lit(0).cast("long").alias("y"), name.alias("romaji"), "native", F.coalesce("qualifiers", empty).alias("qualifiers"), "technique", "attack", "direction",
             F.coalesce("form", empty).alias("form"), F.coalesce(F.nullif(name, F.lit("")), F.col("native"), F.lit("")).alias("raw"),
         )
-        every = every.join(hidden, on, "left_anti").unionByName(extra)
+        every = every.join(_apart(hidden), on, "left_anti").unionByName(extra)
     order = F.array_sort(F.collect_list(F.struct("at", F.struct(*(c for c in fields[1:])).alias("c"))))
     numbered = F.transform(order, lambda s, i: F.struct(i.alias("cap"), *(s["c"][c].alias(c) for c in ("y", "romaji", "native", "qualifiers", "technique", "attack", "direction", "form", "raw"))))
     return every.groupBy(*on).agg(numbered.cast(f"array<{_CAPTION}>").alias("captions"))
@@ -153,16 +162,16 @@ def parsed(
     scratch = Scratch(pages.sparkSession)
     sections = scratch.cut(readable(sections_of(pages.select(*on).distinct(), seed, section_corrections)), "sections")
     captions = scratch.cut(_captions(lines, sections, forced, scratch), "told")
-    boxes = regions.join(sections.select(*on), on, "left_semi").select(*on, F.col("boxes").cast(overlay.BOXES).alias("boxes"))
+    boxes = regions.join(_apart(sections.select(*on)), on, "left_semi").select(*on, F.col("boxes").cast(overlay.BOXES).alias("boxes"))
     if operations is not None:
         # pages without photos of their own may be given some
-        changed = boxes.join(operations.join(sections.select(*on), on, "left_semi"), on, "full")
+        changed = boxes.join(operations.join(_apart(sections.select(*on)), on, "left_semi"), on, "full")
         none = F.array().cast(overlay.BOXES)
         boxes = changed.select(*on, F.when(F.col("ops").isNull(), F.col("boxes")).otherwise(overlay.region_ops(F.coalesce("boxes", none), F.coalesce("ops", F.array().cast(changed.schema["ops"].dataType)))).alias("boxes"))
-    met = captions.join(sections, on).join(boxes, on)
+    met = captions.join(_apart(sections), on).join(_apart(boxes), on)
     linked = _linked(F.col("captions"), F.col("boxes"))
     if links is not None:
-        met = met.join(links.select(*on, "assign"), on, "left")
+        met = met.join(_apart(links.select(*on, "assign")), on, "left")
         # an empty list decides nothing
         linked = F.when(F.size(F.coalesce("assign", F.array().cast(links.schema["assign"].dataType))) > 0, _assigned(F.col("captions"), F.col("boxes"), F.col("assign"))).otherwise(linked)
     if books is not None:

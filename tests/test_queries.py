@@ -8,6 +8,7 @@ import pytest
 
 from loomline.operators import lexicon
 from loomline.plans.registry import ORACLES, QUERIES
+from loomline.storage import Scratch
 from tests.test_documents import sequential
 
 
@@ -93,3 +94,14 @@ def test_child_table(spark, db, tmp_path):
     got = {(r["vec_id"], r["pos"]): r["v"] for r in QUERIES["child_table"](spark, str(tmp_path)).collect()}
     want = db.sql(ORACLES["child_table"].replace("from embeddings", f"from '{tmp_path}/embeddings.parquet/*.parquet' as embeddings")).fetchall()
     assert got == {(k, i): v for k, i, v in want} and len(got) == 4010
+
+
+@pytest.mark.parametrize("name", ["page_techniques"])
+def test_pages_are_not_broadcast(spark, sf_dir, monkeypatch, name):
+    """Tables by page are joined by sorting, however small their files are; no page costs a call of its own."""
+    plans = []
+    cut = Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(self, df, label))
+    plans.append(QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 6 and sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "FlatMapGroups" in p]
