@@ -96,7 +96,7 @@ def test_child_table(spark, db, tmp_path):
     assert got == {(k, i): v for k, i, v in want} and len(got) == 4010
 
 
-@pytest.mark.parametrize("name", ["page_techniques"])
+@pytest.mark.parametrize("name", ["page_techniques", "page_keyframes"])
 def test_pages_are_not_broadcast(spark, sf_dir, monkeypatch, name):
     """Tables by page are joined by sorting, however small their files are; no page costs a call of its own."""
     plans = []
